@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import licenses, quality, sharding, urlfilter
 
-MODULES = (quality, sharding)
+MODULES = (quality, urlfilter, licenses, sharding)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
