@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, sharding, urlfilter, warc
+from . import decontaminate, licenses, packing, quality, sharding, urlfilter, warc
 
-MODULES = (warc, quality, urlfilter, licenses, sharding)
+MODULES = (warc, quality, urlfilter, licenses, decontaminate, packing, sharding)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
