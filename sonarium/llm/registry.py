@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, neardup, packing, quality, sharding, urlfilter, warc
+from . import decontaminate, html, licenses, neardup, packing, pii, quality, sharding, urlfilter, warc
 
-MODULES = (warc, quality, urlfilter, licenses, neardup, decontaminate, packing, sharding)
+MODULES = (warc, pii, quality, urlfilter, licenses, neardup, decontaminate, packing, html, sharding)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
