@@ -51,16 +51,16 @@ PROJECTIONS = {
         CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 97 END AS author, CAST(CASE WHEN p_size % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS fp_version,
         CAST(p_size * 1000 + 15000 AS BIGINT) AS duration_ms, CAST(p_size * 12 AS BIGINT) AS n_points, md5(CAST(p_partkey AS STRING)) AS hex_id,
         CASE WHEN p_partkey % 3 = 0 THEN 'k' || CAST(p_partkey % 50 AS STRING) END AS source_key FROM {part}""",
-    "votes_log": """SELECT ad, origin, value, reason, ts, row_number() OVER (PARTITION BY origin ORDER BY ts, o, n, ad, p) AS seq FROM (
+    "votes_log": """SELECT ad, origin, value, reason, ts, CAST(row_number() OVER (PARTITION BY origin ORDER BY ts, o, n, ad, p) AS BIGINT) AS seq FROM (
         SELECT l_partkey % 200 AS ad, l_suppkey AS origin, CAST(CASE WHEN l_returnflag = 'A' THEN 1 ELSE -1 END AS BIGINT) AS value,
         CASE WHEN l_returnflag = 'A' THEN 'good' WHEN l_linestatus = 'F' THEN 'not_ad' WHEN l_quantity > 25 THEN 'boundary' ELSE 'duplicate' END AS reason,
-        @MS[l_shipdate] AS ts, l_orderkey AS o, l_linenumber AS n, l_extendedprice AS p FROM {lineitem} WHERE l_returnflag <> 'N') x""",
+        @MS[l_shipdate] AS ts, l_orderkey AS o, l_linenumber AS n, l_extendedprice AS p FROM {lineitem} WHERE l_returnflag <> 'N') cast_votes""",
     "labels_log": """SELECT o_orderkey % 150 AS ad, o_custkey % 60 AS origin, o_orderpriority || '/' || CAST(o_orderkey % 13 AS STRING) AS label, @MS[o_orderdate] AS ts, o_orderkey AS seq FROM {orders}""",
     "dups": "SELECT p_partkey % 200 AS ad, p_partkey % 20 AS origin, max(p_partkey * 7 % 200) AS canonical FROM {part} WHERE p_size % 4 = 0 GROUP BY 1, 2",
     "pins": "SELECT p_partkey AS ad FROM {part} WHERE p_partkey % 37 = 0 AND p_partkey < 400",
     "ad_adds": "SELECT o_orderkey % 300 AS ad, o_orderkey % 97 AS origin, max(@MS[o_orderdate]) AS ts FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1, 2",
     "retractions": "SELECT o_orderkey % 300 AS ad, o_orderkey % 97 AS origin, max(@MS[o_orderdate]) AS ts FROM {orders} WHERE o_orderstatus = 'O' GROUP BY 1, 2",
-    "records": """SELECT event_id AS id, user_id AS origin, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+    "records": """SELECT event_id AS id, user_id AS origin, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
         CASE event_type WHEN 'signup' THEN 'ad.add' WHEN 'click' THEN 'ad.vote' WHEN 'error' THEN 'ad.dup' WHEN 'view' THEN 'ad.label' ELSE 'file.map' END AS kind,
         @PROP[props] AS ad, @MS[ts] AS ts, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 5 END AS via, @MS[ts] + event_id % 1000 AS received, value
         FROM {events}""",
@@ -72,7 +72,7 @@ PROJECTIONS = {
     "configured": "SELECT n_name AS name, 'https://' || lower(n_name) || '.example' AS url FROM {nation} WHERE n_nationkey % 3 = 0",
     "dets": """SELECT 'k' || CAST(l_orderkey % 200 AS STRING) AS file, l_partkey % 6 AS ad, CAST(l_linenumber * 20000 + CAST(floor(l_extendedprice) AS BIGINT) % 9000 AS BIGINT) AS start_ms,
         CAST(l_linenumber * 20000 + CAST(floor(l_extendedprice) AS BIGINT) % 9000 + 8000 + (l_partkey % 6) * 4000 AS BIGINT) AS end_ms, CAST(l_quantity AS BIGINT) AS score,
-        row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS ord FROM {lineitem} WHERE l_orderkey % 17 = 0""",
+        CAST(row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS ord FROM {lineitem} WHERE l_orderkey % 17 = 0""",
     "truth": """SELECT 'k' || CAST(o_orderkey % 200 AS STRING) AS file, o_orderkey % 6 AS ad, CAST(o_orderkey % 11 * 20000 + 3000 AS BIGINT) AS start_ms,
         CAST(o_orderkey % 11 * 20000 + 3000 + 8000 + (o_orderkey % 6) * 4000 AS BIGINT) AS end_ms, o_orderkey % 2 = 0 AS verified, o_orderkey AS label_id FROM {orders} WHERE o_orderkey % 19 = 0""",
     "samples": "SELECT doc_id AS file, n_chars * 1000 AS n FROM {documents}",

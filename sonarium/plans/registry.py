@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import intervals, match
+from . import catalogue, intervals, match
 
-MODULES = (match, intervals)
+MODULES = (match, intervals, catalogue)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
