@@ -64,6 +64,14 @@ PROJECTIONS = {
         CASE event_type WHEN 'signup' THEN 'ad.add' WHEN 'click' THEN 'ad.vote' WHEN 'error' THEN 'ad.dup' WHEN 'view' THEN 'ad.label' ELSE 'file.map' END AS kind,
         @PROP[props] AS ad, @MS[ts] AS ts, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 5 END AS via, @MS[ts] + event_id % 1000 AS received, value
         FROM {events}""",
+    "stored": "SELECT origin, seq, md5(CAST(id AS STRING)) AS hash, received FROM {records} WHERE id % 3 = 0",
+    "batch": """SELECT CAST(id * 10 + v AS BIGINT) AS arrival, origin, seq, CASE WHEN v = 2 THEN md5('x' || CAST(id AS STRING)) ELSE md5(CAST(id AS STRING)) END AS hash,
+        CASE WHEN id % 53 = 0 THEN 'Bad!' ELSE kind END AS kind, ts + CASE WHEN id % 29 = 0 THEN 100000000000 ELSE 0 END AS ts, id % 41 <> 0 AS sig_ok,
+        CAST(CASE WHEN id % 31 = 0 THEN 300000 ELSE 100 END AS BIGINT) AS body_len
+        FROM {records} CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2) versions
+        WHERE (v = 0 AND id % 3 <> 0) OR (v = 1 AND id % 5 = 0) OR (v = 2 AND id % 7 = 0)""",
+    "blocks": """SELECT 'c' || CAST(conv_id AS STRING) AS file, turn * 10000 AS block_from, turn * 10000 + 10000 AS block_to, length(text) % 4 AS ad,
+        turn * 10000 - length(text) % 5 * 60 - 3000 AS start, turn * 10000 - length(text) % 5 * 60 + 9000 AS `end`, CAST(30 + length(text) % 23 AS BIGINT) AS score, turn AS ord FROM {conversations}""",
     "intervals": "SELECT user_id AS file, @MS[ts] AS from_ms, @MS[ts] + CAST(floor(value * 60000) AS BIGINT) AS to_ms, event_id AS ord FROM {events}",
     "reports": """SELECT event_id AS id, 'u' || CAST(user_id % 7 AS STRING) AS user, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'k' || CAST(user_id % 20 AS STRING) END AS file_key,
         'n' || CAST(user_id % 20 AS STRING) AS norm, CAST(@MS[ts] % 86400000 AS BIGINT) AS pos_ms, props AS note, @MS[ts] AS created FROM {events} WHERE event_type = 'error'""",
@@ -99,7 +107,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in PROJECTIONS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = _expand(PROJECTIONS[name], False)
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+    used = {t: table(spark, sf_dir, t) for t in (*TABLES, *PROJECTIONS) if "{" + t + "}" in sql}
     # braces of patterns are none of ours
     return spark.sql(sql, **used)
 
