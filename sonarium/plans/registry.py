@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, ingest, intervals, match
+from . import catalogue, ingest, intervals, match, scalar
 
-MODULES = (match, intervals, catalogue, ingest)
+MODULES = (match, intervals, catalogue, ingest, scalar)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
