@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, ingest, intervals, match, scalar, streams
+from . import catalogue, ingest, intervals, match, more, scalar, streams
 
-MODULES = (match, intervals, catalogue, ingest, scalar, streams)
+MODULES = (match, intervals, catalogue, ingest, scalar, streams, more)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
