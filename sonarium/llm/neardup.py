@@ -12,10 +12,12 @@ of similarity 0.8 share no key with a chance of 6 in 10000, of 0.85 with 7 in
 3. In every table bucket, the class that shares most half-keys with others is
    the centre. Each class is first compared with its best centre only; links
    are confirmed on the full shingle sets. Their components settle most buckets.
-4. For buckets that still hold several components, all pairs of classes of
-   different components are compared, in blocks of BLOCK x BLOCK within tasks,
-   each pair in the first bucket that it shares. Nothing is dropped or capped;
-   a task returns at most a spanning forest of the links it finds.
+4. In buckets that still hold several components, all pairs of classes of
+   different components are compared, if their sizes allow a link. Buckets of
+   at most SMALL classes give their pairs as rows, each pair once; larger ones
+   compare blocks of BLOCK x BLOCK within tasks, each pair in the first bucket
+   that it shares. Nothing is dropped or capped; a block task returns at most a
+   spanning forest of the links it finds.
 
 Shingle sets are made again, only for classes in buckets, when links are
 confirmed: a filter of FILTER_BITS bits, a fixed size, tells which rows these
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 from . import common, shingles
 from .components import components
 
-SIDE, ROWS, PERCENT, BLOCK, FILTER_BITS = 8, 2, 80, 256, 1 << 23
+SIDE, ROWS, PERCENT, SMALL, BLOCK, FILTER_BITS = 8, 2, 80, 16, 256, 1 << 23
+#: Pairs of a block up to which sets are compared one by one; more are counted as a product of matrices, so many columns at a time.
+FEW, COLUMNS = 512, 8192
 _BITMAP = 1 << 15
 
 
@@ -102,14 +106,50 @@ def _confirm(percent: int):
     return confirm
 
 
-def _compare_blocks(percent: int, side: int):
-    """A group is one pair of blocks of one bucket: rows (node, component, halves, set, left, key): compare left with right rows."""
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each left set has in common with each right one."""
+    n, m = [len(x) for x in left], [len(x) for x in right]
+    values, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.concatenate((np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)))
+    is_left = np.arange(len(at)) < sum(n)
+    sides = np.zeros((2, len(values)), bool)
+    sides[0, at[is_left]] = True
+    sides[1, at[~is_left]] = True
+    new = np.where(sides.all(axis=0), np.cumsum(sides.all(axis=0)) - 1, -1)
+    col = new[at]
+    out = np.zeros((len(n), len(m)), np.float32)
+    for low in range(0, int(new.max()) + 1 if len(new) else 0, COLUMNS):
+        here = (col >= low) & (col < low + COLUMNS)
+        a, b = np.zeros((len(n), COLUMNS), np.float32), np.zeros((len(m), COLUMNS), np.float32)
+        a[row[here & is_left], col[here & is_left] - low] = 1
+        b[row[here & ~is_left], col[here & ~is_left] - low] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
 
-    def first_shared(x: np.ndarray, y: np.ndarray) -> int:
-        a, b = np.flatnonzero(x[:side] == y[:side]), np.flatnonzero(x[side:] == y[side:])
-        return int(a[0]) * side + int(b[0])
+def _compare_blocks(percent: int, side: int):
+    """A group is one pair of blocks of one bucket: rows (table, node, component, halves, set, left): compare left with right rows."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [group[group["left"]], group[~group["left"]]]
+        halves = [np.stack(p["halves"].to_list()) if len(p) else np.empty((0, 2 * side), np.int64) for p in parts]
+        nodes, of = ([p[c].to_numpy(np.int64) for p in parts] for c in ("node", "component"))
+        sets = [[np.frombuffer(x, np.uint64) for x in p["set"]] for p in parts]
+        size = [np.array([len(x) for x in y], np.int64) for y in sets]
+        same = halves[0][:, None, :] == halves[1][None, :, :]
+        a, b = same[:, :, :side], same[:, :, side:]
+        first = a.argmax(axis=2) * side + b.argmax(axis=2)
+        least, most = np.minimum(size[0][:, None], size[1][None, :]), np.maximum(size[0][:, None], size[1][None, :])
+        asked = a.any(axis=2) & b.any(axis=2) & (first == int(group["table"].iloc[0])) & (of[0][:, None] != of[1][None, :]) & (100 * least >= percent * most)
+        found = []
+        if int(asked.sum()) > FEW:
+            rows, cols = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
+            both = _common([sets[0][i] for i in rows], [sets[1][i] for i in cols])
+            union = size[0][rows][:, None] + size[1][cols][None, :] - both
+            good = asked[np.ix_(rows, cols)] & (both > 0) & (100 * both >= percent * union)
+            pairs = [(rows[i], cols[j]) for i, j in np.argwhere(good)]
+        else:
+            pairs = [(i, j) for i, j in np.argwhere(asked) if linked(sets[0][i], sets[1][j], percent)]
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -118,18 +158,11 @@ def _compare_blocks(percent: int, side: int):
                 x = parent[x]
             return x
 
-        table = int(group["table"].iloc[0])
-        rows = [(int(n), int(c), np.asarray(h), np.frombuffer(s, np.uint64), bool(left)) for n, c, h, s, left in zip(group["node"], group["component"], group["halves"], group["set"], group["left"], strict=True)]
-        found = []
-        for u, cu, hu, su, lu in rows:
-            if not lu:
-                continue
-            for v, cv, hv, sv, lv in rows:
-                if lv or u == v or cu == cv or root(cu) == root(cv):
-                    continue
-                if first_shared(hu, hv) == table and linked(su, sv, percent):
-                    parent[root(cu)] = root(cv)
-                    found.append((u, v))
+        for i, j in pairs:
+            x, y = root(int(of[0][i])), root(int(of[1][j]))
+            if x != y:
+                parent[x] = y
+                found.append((int(nodes[0][i]), int(nodes[1][j])))
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return compare
@@ -168,16 +201,16 @@ def near_duplicates(df: DataFrame, k: int, percent: int = PERCENT, side: int = S
     read = df.select(F.monotonically_increasing_id().alias("rid"), F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = common.written(read.mapInArrow(_signatures(k, side, rows), "rid long, id long, n long, fp binary, halves array<long>"), "signatures")
     # classes; an empty set is in none
-    classes = common.written(signed.where("n > 0").groupBy("fp").agg(F.min(F.struct("rid", "halves")).alias("x"), F.min("id").alias("least")).select("fp", F.col("x.rid").alias("node"), "least", F.col("x.halves").alias("halves")), "classes")
-    half = classes.select("node", F.posexplode("halves").alias("i", "h"))
+    classes = common.written(signed.where("n > 0").groupBy("fp").agg(F.min(F.struct("rid", "halves")).alias("x"), F.min("id").alias("least"), F.first("n").alias("n")).select("fp", F.col("x.rid").alias("node"), "least", "n", F.col("x.halves").alias("halves")), "classes")
+    half = classes.select("node", F.col("n").alias("size"), F.posexplode("halves").alias("i", "h"))
     shared = half.groupBy("i", "h").agg(F.count("*").alias("n")).where("n > 1")
-    sides = half.join(shared, ["i", "h"]).groupBy("node").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("i", "h")).alias("halves"))
+    sides = half.join(shared, ["i", "h"]).groupBy("node", "size").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("i", "h")).alias("halves"))
     a, b = F.filter("halves", lambda x: x["i"] < side), F.filter("halves", lambda x: x["i"] >= side)
     paired = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct((x["i"] * side + y["i"] - side).alias("table"), F.xxhash64(x["i"], x["h"], y["i"], y["h"]).alias("key")))))
-    keys = common.written(sides.select("node", "weight", F.explode(paired).alias("x")).select("node", "weight", "x.*"), "table-keys")
+    keys = common.written(sides.select("node", "size", "weight", F.explode(paired).alias("made")).select("node", "size", "weight", "made.*"), "table-keys")
     centre = F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("centre")
     full = keys.groupBy("table", "key").agg(F.count("*").alias("n"), centre).where("n > 1")
-    buckets = common.written(keys.join(full, ["table", "key"]).select("table", "key", "node", "centre"), "buckets")
+    buckets = common.written(keys.join(full, ["table", "key"]).select("table", "key", "node", "size", "centre"), "buckets")
     best = buckets.groupBy("node").agg(F.max("centre").alias("centre")).select(F.col("node").alias("u"), (-F.col("centre.least")).alias("v"))
     best = common.written(best, "best-centres")
     bits = _bits_of(best.select(F.col("u").alias("node")))
@@ -186,19 +219,26 @@ def near_duplicates(df: DataFrame, k: int, percent: int = PERCENT, side: int = S
     links = common.written(_with_sets(best.where("u <> v"), sets).mapInArrow(_confirm(percent), "u long, v long"), "centre-links")
     grouped = components(links)
     # what the centres leave open
-    joined = buckets.select("table", "key", "node").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = buckets.select("table", "key", "node", "size").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = common.written(joined, "bucket-components")
     by_part = joined.groupBy("table", "key", "component").agg(F.count("*").alias("n"))
     largest = by_part.groupBy("table", "key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("big")).where("parts > 1")
-    largest = largest.select("table", "key", F.col("big.component").alias("big"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("rest"))
+    largest = largest.select("table", "key", "n", F.col("big.component").alias("big"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("rest"))
     open_ = joined.join(largest, ["table", "key"])
+    small = open_.where(F.col("n") <= SMALL).select("table", "key", "node", "component", "size")
+    other = small.select("table", "key", F.col("node").alias("v"), F.col("component").alias("of"), F.col("size").alias("size_v"))
+    fits = 100 * F.least("size", "size_v") >= percent * F.greatest("size", "size_v")
+    pairs = small.withColumnRenamed("node", "u").join(other, ["table", "key"]).where((F.col("u") < F.col("v")) & (F.col("component") != F.col("of")) & fits).select("u", "v").distinct()
+    pairs = pairs.join(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+    more = _with_sets(common.written(pairs, "bucket-pairs"), sets).mapInArrow(_confirm(percent), "u long, v long")
+    open_ = open_.where(F.col("n") > SMALL)
     block = lambda n, *salt: F.pmod(F.xxhash64("node", *map(F.lit, salt)), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     left = open_.where("component <> big").select("table", "key", "node", "component", block("rest", 1).alias("p"), F.explode(upto("all")).alias("q"), F.lit(True).alias("left"))
     right = open_.select("table", "key", "node", "component", F.explode(upto("rest")).alias("p"), block("all", 2).alias("q"), F.lit(False).alias("left"))
-    dealt = left.unionByName(right).join(sets, "node").join(classes.select("node", "halves"), "node")
-    more = dealt.groupBy("table", "key", "p", "q").applyInPandas(_compare_blocks(percent, side), "u long, v long")
-    more = common.written(more, "block-links")
+    dealt = left.unionByName(right).join(sets.join(classes.select("node", "halves"), "node"), "node")
+    blocks = dealt.groupBy("table", "key", "p", "q").applyInPandas(_compare_blocks(percent, side), "u long, v long")
+    more = common.written(more.unionByName(blocks), "bucket-links")
     if not more.isEmpty():
         grouped = components(links.unionByName(more))
     # class -> component -> least id of the component
