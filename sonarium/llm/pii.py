@@ -26,7 +26,7 @@ from . import common
 from .common import let
 
 CONTEXT, GENERALISE, REMOVE, SUPPORT = 100, 0.8, 0.95, 3
-TERM_LENGTH = 4
+TERM_LENGTH, CHUNK = 4, 128
 
 #: In the order in which spans of equal start are listed. Possessive quantifiers keep the matcher from recursion and retries;
 #: a match starts where the one before ended, or where its first run starts.
@@ -69,17 +69,37 @@ def _value(kind: str, m: Column) -> Column:
     return F.lower(m) if kind == "email" else m if kind == "ip" else _digits(m)
 
 
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, v: a + v)
+
+
+def _before(lengths: Column) -> Column:
+    """For each of an array of lengths the sum of those before it, by chunks, so that a long array costs no quadratic time."""
+    n = F.size(lengths)
+    sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: _sum(F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK))))
+    bases = let(sums, lambda s: F.transform(s, lambda _, c: _sum(F.slice(s, F.lit(1), c))))
+
+    def each(base: Column) -> Column:
+        def at(_: Column, i: Column) -> Column:
+            c = F.floor(i / CHUNK).cast("int")
+            return F.get(base, c) + _sum(F.slice(lengths, c * CHUNK + 1, i - c * CHUNK))
+
+        return F.transform(lengths, at)
+
+    return let(bases, each)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, m>> of the leftmost non-overlapping matches; start counts code points."""
+    kind = "array<struct<start:int,m:string>>"
 
     def placed(found: Column) -> Column:
         def with_gaps(gaps: Column) -> Column:
-            step = lambda a, i: let(a["at"] + F.length(F.get(gaps, i)), lambda s: F.struct((s + F.length(F.get(found, i))).alias("at"), F.array_append(a["out"], F.struct(s.alias("start"), F.get(found, i).alias("m"))).alias("out")))
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
+            lengths = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+            before = let(lengths, _before)
+            return let(before, lambda b: F.transform(found, lambda m, i: F.struct((F.get(b, i) + F.length(F.get(gaps, i))).alias("start"), m.alias("m"))))
 
-        none = F.array().cast("array<struct<start:int,m:string>>")
-        return F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), with_gaps))
+        return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(let(F.split(text, pattern, -1), with_gaps).cast(kind))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
@@ -102,18 +122,26 @@ def _contexts(text: Column, spans: Column) -> Column:
     """array<struct<entity, term, start, end>>: the terms that lie within CONTEXT characters of each span and in no span."""
     kind = "array<struct<entity:string,term:string,start:int,end:int>>"
 
+    free = lambda x: ~F.exists(spans, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]))
+
     def around(s: Column) -> Column:
         entity = F.concat(s["kind"], F.lit(":"), s["value"])
         low = F.greatest(F.lit(0), s["start"] - CONTEXT)
-        window = F.substr(text, low + 1, s["end"] + CONTEXT - low)
 
-        def terms(w: Column) -> Column:
-            # a term that touches the edge of the window may go on outside it
-            found = F.filter(matches(w, LETTERS), lambda m: (F.length(m["m"]) >= TERM_LENGTH) & ((m["start"] > 0) | (low == 0)) & ((m["start"] + F.length(m["m"]) < F.length(w)) | (F.length(w) < s["end"] + CONTEXT - low)))
-            return F.transform(found, lambda m: F.struct(entity.alias("entity"), F.lower(m["m"]).alias("term"), (low + m["start"]).cast("int").alias("start"), (low + m["start"] + F.length(m["m"])).cast("int").alias("end")))
+        def terms(at: Column, open_start: Column, open_end: Column):
+            """The terms of a window that starts at a position; one that touches an open end of it may go on outside."""
+
+            def of(w: Column) -> Column:
+                end = lambda m: m["start"] + F.length(m["m"])
+                found = F.filter(matches(w, LETTERS), lambda m: (F.length(m["m"]) >= TERM_LENGTH) & ((m["start"] > 0) | ~open_start) & ((end(m) < F.length(w)) | ~open_end))
+                return F.transform(found, lambda m: F.struct(entity.alias("entity"), F.lower(m["m"]).alias("term"), (at + m["start"]).cast("int").alias("start"), (at + end(m)).cast("int").alias("end")))
+
+            return of
 
-        free = lambda x: ~F.exists(spans, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]))
-        return F.filter(let(window, terms), free).cast(kind)
+        left, right = F.substr(text, low + 1, s["start"] - low), F.substr(text, s["end"] + 1, F.lit(CONTEXT))
+        before = let(left, terms(low, low > 0, F.lit(True)))
+        after = let(right, lambda w: terms(s["end"], F.lit(True), F.length(w) == CONTEXT)(w))
+        return F.filter(F.concat(before, after), free).cast(kind)
 
     return F.flatten(F.transform(spans, around))
 
