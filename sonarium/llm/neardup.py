@@ -14,10 +14,11 @@ of similarity 0.8 share no key with a chance of 6 in 10000, of 0.85 with 7 in
    are confirmed on the full shingle sets. Their components settle most buckets.
 4. In buckets that still hold several components, all pairs of classes of
    different components are compared, if their sizes allow a link. Buckets of
-   at most SMALL classes give their pairs as rows, each pair once; larger ones
-   compare blocks of BLOCK x BLOCK within tasks, each pair in the first bucket
-   that it shares. Nothing is dropped or capped; a block task returns at most a
-   spanning forest of the links it finds.
+   at most SMALL classes give their pairs as rows, each pair once. The classes
+   of larger ones are dealt out by the first half of the key only, of which
+   there are SIDE and not SIDE^2, and compared in blocks of BLOCK x BLOCK
+   within tasks, each pair where its first equal half is. Nothing is dropped or
+   capped; a block task returns at most a spanning forest of the links it finds.
 
 Shingle sets are made again, only for classes in buckets, when links are
 confirmed: a filter of FILTER_BITS bits, a fixed size, tells which rows these
@@ -128,7 +129,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare_blocks(percent: int, side: int):
-    """A group is one pair of blocks of one bucket: rows (table, node, component, halves, set, left): compare left with right rows."""
+    """A group is one pair of blocks of the classes with one half-key: rows (i, node, component, halves, set, left): compare left with right rows."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         parts = [group[group["left"]], group[~group["left"]]]
@@ -138,9 +139,9 @@ def _compare_blocks(percent: int, side: int):
         size = [np.array([len(x) for x in y], np.int64) for y in sets]
         same = halves[0][:, None, :] == halves[1][None, :, :]
         a, b = same[:, :, :side], same[:, :, side:]
-        first = a.argmax(axis=2) * side + b.argmax(axis=2)
+        first = a.argmax(axis=2)
         least, most = np.minimum(size[0][:, None], size[1][None, :]), np.maximum(size[0][:, None], size[1][None, :])
-        asked = a.any(axis=2) & b.any(axis=2) & (first == int(group["table"].iloc[0])) & (of[0][:, None] != of[1][None, :]) & (100 * least >= percent * most)
+        asked = a.any(axis=2) & b.any(axis=2) & (first == int(group["i"].iloc[0])) & (of[0][:, None] != of[1][None, :]) & (100 * least >= percent * most)
         found = []
         if int(asked.sum()) > FEW:
             rows, cols = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
@@ -222,22 +223,26 @@ def near_duplicates(df: DataFrame, k: int, percent: int = PERCENT, side: int = S
     joined = buckets.select("table", "key", "node", "size").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = common.written(joined, "bucket-components")
     by_part = joined.groupBy("table", "key", "component").agg(F.count("*").alias("n"))
-    largest = by_part.groupBy("table", "key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("big")).where("parts > 1")
-    largest = largest.select("table", "key", "n", F.col("big.component").alias("big"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("rest"))
-    open_ = joined.join(largest, ["table", "key"])
+    parted = by_part.groupBy("table", "key").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    open_ = joined.join(parted, ["table", "key"])
     small = open_.where(F.col("n") <= SMALL).select("table", "key", "node", "component", "size")
     other = small.select("table", "key", F.col("node").alias("v"), F.col("component").alias("of"), F.col("size").alias("size_v"))
     fits = 100 * F.least("size", "size_v") >= percent * F.greatest("size", "size_v")
     pairs = small.withColumnRenamed("node", "u").join(other, ["table", "key"]).where((F.col("u") < F.col("v")) & (F.col("component") != F.col("of")) & fits).select("u", "v").distinct()
     pairs = pairs.join(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     more = _with_sets(common.written(pairs, "bucket-pairs"), sets).mapInArrow(_confirm(percent), "u long, v long")
-    open_ = open_.where(F.col("n") > SMALL)
+    # a pair that shares a large bucket shares the first half of its key; its first equal half is that of a bucket, small or large, too
+    halves = open_.where(F.col("n") > SMALL).select(F.floor(F.col("table") / side).cast("int").alias("i"), "node", "component").distinct()
+    halves = common.written(halves.join(classes.select("node", "halves"), "node").select("i", F.get("halves", F.col("i")).alias("h"), "node", "component"), "open-halves")
+    counts = halves.groupBy("i", "h", "component").agg(F.count("*").alias("n")).groupBy("i", "h").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("big")).where("parts > 1")
+    counts = counts.select("i", "h", F.col("big.component").alias("big"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("rest"))
+    halves = halves.join(counts, ["i", "h"])
     block = lambda n, *salt: F.pmod(F.xxhash64("node", *map(F.lit, salt)), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = open_.where("component <> big").select("table", "key", "node", "component", block("rest", 1).alias("p"), F.explode(upto("all")).alias("q"), F.lit(True).alias("left"))
-    right = open_.select("table", "key", "node", "component", F.explode(upto("rest")).alias("p"), block("all", 2).alias("q"), F.lit(False).alias("left"))
+    left = halves.where("component <> big").select("i", "h", "node", "component", block("rest", 1).alias("p"), F.explode(upto("all")).alias("q"), F.lit(True).alias("left"))
+    right = halves.select("i", "h", "node", "component", F.explode(upto("rest")).alias("p"), block("all", 2).alias("q"), F.lit(False).alias("left"))
     dealt = left.unionByName(right).join(sets.join(classes.select("node", "halves"), "node"), "node")
-    blocks = dealt.groupBy("table", "key", "p", "q").applyInPandas(_compare_blocks(percent, side), "u long, v long")
+    blocks = dealt.groupBy("i", "h", "p", "q").applyInPandas(_compare_blocks(percent, side), "u long, v long")
     more = common.written(more.unionByName(blocks), "bucket-links")
     if not more.isEmpty():
         grouped = components(links.unionByName(more))
