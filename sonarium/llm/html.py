@@ -2,11 +2,13 @@
 
 Markup sorts the blocks of a page into chrome (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments), main (inside an article or
-main element) and open ones. Where a page marks its main content, that is its
-text, whole. Where it does not, repetition decides: the token streams of a
-host's pages (all but their main parts) are concatenated, a suffix array finds
-the substrings of at least RUN tokens that occur on distinct pages, tokens that
-these cover are boilerplate, and the unique runs of the open blocks are kept.
+main element) and open ones. Repetition decides about main and open blocks
+alike: the token streams of a host's pages are concatenated, a suffix array
+finds the substrings of at least RUN tokens that occur on distinct pages, and
+tokens that these cover are boilerplate. Markup is a prior: where a page marks
+its main content, open blocks count only if the marked part is LITTLE of the
+text; and a marked part of which COPIED or more repeats is a copy of an article
+and kept whole. Pages of equal main and open text count as one page.
 
 The suffix array is built by prefix doubling up to RUN tokens, so neighbours of
 equal rank are exactly the suffixes with a common prefix of that length. Hosts
@@ -16,13 +18,13 @@ on many pages of a host, repeats within every part.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ from . import common
 from .urlfilter import host_of
 
 RUN, PART_BYTES = 16, 4_000_000
+COPIED, LITTLE = 0.8, 0.25
 MAIN, CHROME, OPEN = "main", "chrome", "open"
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>|[^<]+|<""", re.S)
@@ -129,16 +132,19 @@ def blocks(page: str | None) -> tuple[bool, list[tuple[str, str]]]:
     return marked, found
 
 
-def covered(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """For each token stream, which tokens lie in a substring of at least run tokens that occurs on two distinct pages."""
+def covered(pages: list[list[str | None]], run: int = RUN, groups: list[int] | None = None) -> list[np.ndarray]:
+    """For each token stream, which tokens lie in a substring of at least run tokens that occurs on two distinct pages.
+
+    None among the tokens is a border that no substring crosses. Pages of equal groups count as one page.
+    """
     sizes = [len(p) for p in pages]
     ids: dict[str, int] = {}
     stream: list[int] = []
-    for n, p in enumerate(pages):
-        stream.extend(ids.setdefault(t, len(ids)) for t in p)
-        stream.append(-1 - n)  # ends a page, and equals no other token
+    for p in pages:
+        for t in (*p, None):  # a border, also at the end of a page, equals no other token
+            stream.append(-1 - len(stream) if t is None else ids.setdefault(t, len(ids)))
     rank = np.array(stream, np.int64)
-    page = np.repeat(np.arange(len(pages)), [s + 1 for s in sizes])
+    page = np.repeat(np.arange(len(pages)) if groups is None else np.array(groups, np.int64), [s + 1 for s in sizes])
     if not len(rank):
         return [np.zeros(0, bool) for _ in pages]
     rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
@@ -163,69 +169,73 @@ def covered(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, page_id, url, host, html) to the same with marked, kinds, texts and size for html; without main blocks where main content is marked."""
+    """(rid, page_id, url, host, html) to the same with kinds, texts, size and copy for html; copy is equal for equal main and open text."""
     for batch in batches:
-        marked, kinds, texts, sizes = [], [], [], []
+        kinds, texts, sizes, copies = [], [], [], []
         for page in batch.column(4):
-            is_marked, found = blocks(page.as_py())
-            found = [x for x in found if x[0] != MAIN]
-            marked.append(is_marked)
+            found = blocks(page.as_py())[1]
             kinds.append([k for k, _ in found])
             texts.append([t for _, t in found])
             sizes.append(sum(len(t) + 8 for _, t in found))
-        new = [pa.array(marked, pa.bool_()), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string())), pa.array(sizes, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=["rid", "page_id", "url", "host", "marked", "kinds", "texts", "size"])
+            content = " ".join(t for k, t in found if k != CHROME)
+            copies.append(int.from_bytes(hashlib.blake2b(content.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
+        new = [pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string())), pa.array(sizes, pa.int64()), pa.array(copies, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=["rid", "page_id", "url", "host", "kinds", "texts", "size", "copy"])
+
+
+def _tokens(kinds: list[str], texts: list[str]) -> tuple[list[str | None], list[str | None]]:
+    """(the token stream of a page, the kind of each token), with borders (None) between main blocks and others."""
+    stream: list[str | None] = []
+    labels: list[str | None] = []
+    before = None
+    for kind, text in zip(kinds, texts, strict=True):
+        if before is not None and (kind == MAIN) != (before == MAIN):
+            stream.append(None)
+            labels.append(None)
+        words = text.split(" ")
+        stream += words
+        labels += [kind] * len(words)
+        before = kind
+    return stream, labels
+
+
+def chosen(stream: list[str | None], labels: list[str | None], cover: np.ndarray) -> str:
+    """The main text of a page from its tokens, their kinds and which of them are boilerplate."""
+    main = [not c for k, c in zip(labels, cover, strict=True) if k == MAIN]
+    unique_open = sum(k == OPEN and not c for k, c in zip(labels, cover, strict=True))
+    if main and len(main) >= LITTLE * (len(main) + unique_open):
+        whole = len(main) - sum(main) >= COPIED * len(main)
+        return " ".join(w for w, k, c in zip(stream, labels, cover, strict=True) if k == MAIN and (whole or not c))
+    return " ".join(w for w, k, c in zip(stream, labels, cover, strict=True) if k in (MAIN, OPEN) and not c)
 
 
 def _unique_runs(run: int):
-    """A part of a host to (page_id, url, text) for its pages without marked main content."""
+    """A part of a host to (page_id, url, text) for its pages."""
 
     def keep(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rid")
-        rows = list(zip(*(group[n].to_pylist() for n in ("marked", "kinds", "texts")), strict=True))
-        streams = [[w for t in texts for w in t.split(" ")] for _, _, texts in rows]
-        out = []
-        for (_, kinds, texts), stream, cover in zip(rows, streams, covered(streams, run), strict=True):
-            kept, at = [], 0
-            for kind, text in zip(kinds, texts, strict=True):
-                n = text.count(" ") + 1
-                if kind == OPEN:
-                    kept += [w for w, c in zip(stream[at : at + n], cover[at : at + n], strict=True) if not c]
-                at += n
-            out.append(" ".join(kept))
-        table = pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(out, pa.string())})
-        return table.filter(pa.compute.invert(group["marked"]))
+        pages = [_tokens(k, t) for k, t in zip(group["kinds"].to_pylist(), group["texts"].to_pylist(), strict=True)]
+        covers = covered([s for s, _ in pages], run, group["copy"].to_pylist())
+        out = [chosen(s, k, c) for (s, k), c in zip(pages, covers, strict=True)]
+        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(out, pa.string())})
 
     return keep
 
 
-def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with html at the end to batches without it and with text; null where no main content is marked."""
-    for batch in batches:
-        texts = []
-        for page in batch.column(batch.num_columns - 1):
-            marked, found = blocks(page.as_py())
-            texts.append(" ".join(t for k, t in found if k == MAIN) if marked else None)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
-
-
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", run: int = RUN, part_bytes: int = PART_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages, which must be a table or another source that is read alike each time.
 
     A null or empty page has the empty text. Pages without a host make up a
-    host of their own. Repeated rows are distinct pages. n_chars counts code
-    points; no page is cut.
+    host of their own. Repeated rows stay, but count as one page. n_chars
+    counts code points; no page is cut.
     """
     kinds = {c: pages.select(c).schema[0].dataType.simpleString() for c in (page_id, url)}
     ids = f"page_id {kinds[page_id]}, url {kinds[url]}"
     own = [F.col(page_id).alias("page_id"), F.col(url).alias("url")]
     read = pages.select(F.monotonically_increasing_id().alias("rid"), *own, F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(body).alias("html"))
-    streams = common.written(read.mapInArrow(_streams, f"rid long, {ids}, host string, marked boolean, kinds array<string>, texts array<string>, size long"), "page-streams")
+    streams = common.written(read.mapInArrow(_streams, f"rid long, {ids}, host string, kinds array<string>, texts array<string>, size long, copy long"), "page-streams")
     hosts = common.written(streams.groupBy("host").agg(F.ceil(F.sum("size") / part_bytes).cast("int").alias("parts")), "hosts")
     dealt = streams.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("rid"), F.greatest(F.lit(1), F.col("parts"))))
-    unique = dealt.groupBy("host", "part").applyInArrow(_unique_runs(run), f"{ids}, text string")
-    marked = pages.select(*own, F.col(body).alias("html")).mapInArrow(_main, f"{ids}, text string").where("text IS NOT NULL")
-    return marked.unionByName(unique).withColumn("n_chars", F.length("text").cast("long"))
+    return dealt.groupBy("host", "part").applyInArrow(_unique_runs(run), f"{ids}, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

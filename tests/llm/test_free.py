@@ -249,6 +249,19 @@ def test_boilerplate_goes_where_main_is_not_marked(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_boilerplate_goes_from_marked_pages(spark):
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    notice = words("notice", 20)
+    pages = [(n, f"<article><p>{words(f'own{n}w', 30)}</p><p>{notice}</p></article>", words(f"own{n}w", 30)) for n in range(4)]
+    copy = f"<main><p>{words('copied', 60)}</p></main>"
+    pages += [(n, f"{copy}<div>{words(f'rest{n}w', 10)}</div>", words("copied", 60)) for n in (4, 5)]
+    pages += [(n, f"<div>{words('plain', 40)}</div>", words("plain", 40)) for n in (6, 7)]
+    pages += [(8, f"<article>teaser only</article><p>{words('body', 50)}</p><p>{notice}</p>", "teaser only " + words("body", 50))]
+    df = spark.createDataFrame([(n, "http://h.example/x", h) for n, h, _ in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {n: want for n, _, want in pages}
+
+
 # pipeline
 
 
