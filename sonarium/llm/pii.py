@@ -10,8 +10,11 @@ of c, says how far t discloses c (Sanchez and Batet's C-sanitization):
 
 with p(c, t) the share of documents where t is in a context of c, p(c) that
 where c is, p(t) that where t is anywhere. It is 1 where t occurs with c only.
-Terms above GENERALISE are replaced by a general word, above REMOVE they go,
-provided that at least SUPPORT distinct texts speak for it.
+Terms above GENERALISE are replaced by a general word, above REMOVE they go.
+Few texts say little: in place of the ratio n(c, t) / n(t) for p(c | t) stands
+the lower end of its Wilson interval, of width DEVIATIONS, in which copies of a
+text count once. So an entity of one text has disclosing terms as well, which
+are the words that occur nowhere else, provided that the corpus is large.
 
 All of it is DataFrame functions. Patterns that could scan a long run again and
 again are anchored to where a match can start, with the same matches.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import let
 
-CONTEXT, GENERALISE, REMOVE, SUPPORT = 100, 0.8, 0.95, 3
+CONTEXT, GENERALISE, REMOVE, DEVIATIONS = 100, 0.8, 0.95, 1.96
 TERM_LENGTH, CHUNK = 4, 128
 
 #: In the order in which spans of equal start are listed. Possessive quantifiers keep the matcher from recursion and retries;
@@ -150,7 +153,14 @@ def _text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def disclosing(df: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def _least_share(part: Column, whole: Column, texts: Column) -> Column:
+    """The lower end of the Wilson interval of part / whole; of the part's documents so many texts are distinct."""
+    p, z2 = part / whole, DEVIATIONS**2
+    n = whole * texts / part
+    return (p + z2 / (2 * n) - DEVIATIONS * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / n) + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def disclosing(df: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(key, terms array<struct<start, kind, end, value>>) for each distinct text with disclosing terms; kind is generalise or remove."""
     spark = df.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
@@ -159,12 +169,12 @@ def disclosing(df: DataFrame, text: str = "text", generalise: float = GENERALISE
     mentions = common.written(mentions.select(_text_key(F.col("text")).alias("key"), F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"]))).alias("entities"), _contexts(F.col("text"), F.col("spans")).alias("contexts")), "mentions")
     entity_docs = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
     together = mentions.select("key", F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("x")).select("key", "x.*")
-    joint = together.groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    joint = together.groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts"))
     joint = common.written(joint, "joint-counts")
     words = df.select(F.explode(F.array_distinct(F.filter(F.split(F.lower(t), r"\P{L}++"), lambda w: F.length(w) >= TERM_LENGTH))).alias("term"))
     term_docs = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = df.select(F.lit(1)).count()
-    share = 1 - F.log2(F.col("n_ct") / F.col("n_t")) / F.log2(F.col("n_c") / F.lit(float(max(total, 1))))
+    share = 1 - F.log2(_least_share(F.col("n_ct"), F.col("n_t"), F.col("texts"))) / F.log2(F.col("n_c") / F.lit(float(max(total, 1))))
     scored = joint.join(entity_docs, "entity").join(term_docs, "term").where(F.col("n_c") < total).withColumn("disclosure", share)
     told = common.written(scored.where(F.col("disclosure") >= generalise).select("entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("kind"), "disclosure"), "disclosing-terms")
     if told.isEmpty():
@@ -186,7 +196,7 @@ def _rewritten(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text)))))
 
 
-def sanitise(df: DataFrame, text: str = "text", keep: list[str] | None = None, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def sanitise(df: DataFrame, text: str = "text", keep: list[str] | None = None, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The columns keep of df (all by default) with base (spans of the patterns), terms (spans of disclosing terms, kind generalise or remove) and clean (the text rewritten).
 
     A null text has no spans and stays null. Equal texts are treated alike.
@@ -195,7 +205,7 @@ def sanitise(df: DataFrame, text: str = "text", keep: list[str] | None = None, g
     """
     new = ("base", "terms", "clean")
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    told = disclosing(df, text, generalise, remove, support)
+    told = disclosing(df, text, generalise, remove)
     body, key = common.free_name(df, "body"), common.free_name(df, "key")
     rows = df.select(*keep, F.col(text).alias(body)).withColumn("base", base_spans(F.col(body)))
     # only a text with spans can have disclosing terms; others need no partner, and get keys of their own so that they spread

@@ -134,6 +134,18 @@ def test_disclosing_terms_are_found_and_hidden(spark):
         assert "bob@" not in r.clean and "Zanzibarian" not in r.clean and "[EMAIL]" in r.clean
 
 
+def test_terms_of_entities_of_one_text_are_found(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    rows = pii.op2_disclosure_terms(spark, sf_dir).where("spans LIKE '%term:%'").collect()
+    assert rows
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM read_parquet('{sf_dir}/documents.parquet')").fetchall())
+    for r in rows:
+        base = [x.split(":") for x in r.spans.split(",") if not x.startswith("term:")]
+        for _, s, e in (x.split(":") for x in r.spans.split(",") if x.startswith("term:")):
+            assert texts[r.doc_id][int(s) : int(e)].isalnum()
+            assert all(int(e) <= int(b[1]) or int(b[2]) <= int(s) for b in base)
+
+
 def test_verdicts_equal_brute_force(spark):
     rng = random.Random(5)
     hosts = ["a.com", "b.a.com", "c.b.a.com", "d.org", ""]
