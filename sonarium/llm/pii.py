@@ -1,14 +1,14 @@
 """Personal data: patterns, and information-theoretic sanitisation of what gives them away.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers;
-each value is a protected entity. Around every mention, the terms within
-CONTEXT characters are its context. Over the whole corpus, the pointwise mutual
-information of an entity c and a term t, as a share of the information content
+each value is a protected entity. The terms (runs of letters and digits) of a
+text with a mention, but for the protected values, are its context. Over the
+whole corpus, the pointwise mutual information of an entity c and a term t, as a share of the information content
 of c, says how far t discloses c (Sanchez and Batet's C-sanitization):
 
     disclosure(c, t) = log2(p(c, t) / (p(c) p(t))) / -log2 p(c) = 1 - log2(p(c | t)) / log2(p(c))
 
-with p(c, t) the share of documents where t is in a context of c, p(c) that
+with p(c, t) the share of documents where t stands with c, p(c) that
 where c is, p(t) that where t is anywhere. It is 1 where t occurs with c only.
 Terms above GENERALISE are replaced by a general word, above REMOVE they go.
 Few texts say little: in place of the ratio n(c, t) / n(t) for p(c | t) stands
@@ -16,6 +16,11 @@ the lower end of its Wilson interval, of width DEVIATIONS, in which copies of a
 text count once. So an entity of one text has disclosing terms as well, which
 are the words that occur nowhere else, provided that the corpus is large.
 
+A told term is replaced wherever it stands in a text with its entity. In texts
+without the entity it is replaced as well if at least SPREAD distinct texts tell
+it: what one text alone holds says nothing about others, and would take rare
+words from all of them.
+
 All of it is DataFrame functions. Patterns that could scan a long run again and
 again are anchored to where a match can start, with the same matches.
 """
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import let
 
-CONTEXT, GENERALISE, REMOVE, DEVIATIONS = 100, 0.8, 0.95, 1.96
-TERM_LENGTH, CHUNK = 4, 128
+GENERALISE, REMOVE, DEVIATIONS, SPREAD = 0.8, 0.95, 1.96, 2
+CHUNK, SLOTS = 128, 1 << 18
 
 #: In the order in which spans of equal start are listed. Possessive quantifiers keep the matcher from recursion and retries;
 #: a match starts where the one before ended, or where its first run starts.
@@ -41,7 +46,7 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-LETTERS = r"\p{L}++"
+TERM = r"[\p{L}\p{N}]++"
 
 _SPAN = "array<struct<start:int,kind:string,end:int,value:string>>"
 
@@ -121,36 +126,24 @@ def base_spans(text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), lambda t: let(F.concat(*(of(k, t) for k in KINDS)), lambda s: F.when(F.size(s) > 1, ranked(s)).otherwise(s)))
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the terms that lie within CONTEXT characters of each span and in no span."""
-    kind = "array<struct<entity:string,term:string,start:int,end:int>>"
-
-    free = lambda x: ~F.exists(spans, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]))
-
-    def around(s: Column) -> Column:
-        entity = F.concat(s["kind"], F.lit(":"), s["value"])
-        low = F.greatest(F.lit(0), s["start"] - CONTEXT)
+def _blanked(text: Column, spans: Column) -> Column:
+    """text with spaces in place of the spans (by start)."""
 
-        def terms(at: Column, open_start: Column, open_end: Column):
-            """The terms of a window that starts at a position; one that touches an open end of it may go on outside."""
-
-            def of(w: Column) -> Column:
-                end = lambda m: m["start"] + F.length(m["m"])
-                found = F.filter(matches(w, LETTERS), lambda m: (F.length(m["m"]) >= TERM_LENGTH) & ((m["start"] > 0) | ~open_start) & ((end(m) < F.length(w)) | ~open_end))
-                return F.transform(found, lambda m: F.struct(entity.alias("entity"), F.lower(m["m"]).alias("term"), (at + m["start"]).cast("int").alias("start"), (at + end(m)).cast("int").alias("end")))
+    def step(a: Column, s: Column) -> Column:
+        kept = F.substr(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(a["at"], s["start"])))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.array_append(a["out"], F.concat(kept, blank)).alias("out"))
 
-            return of
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text)))))
 
-        left, right = F.substr(text, low + 1, s["start"] - low), F.substr(text, s["end"] + 1, F.lit(CONTEXT))
-        before = let(left, terms(low, low > 0, F.lit(True)))
-        after = let(right, lambda w: terms(s["end"], F.lit(True), F.length(w) == CONTEXT)(w))
-        return F.filter(F.concat(before, after), free).cast(kind)
 
-    return F.flatten(F.transform(spans, around))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def _text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _least_share(part: Column, whole: Column, texts: Column) -> Column:
@@ -161,27 +154,45 @@ def _least_share(part: Column, whole: Column, texts: Column) -> Column:
 
 
 def disclosing(df: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(key, terms array<struct<start, kind, end, value>>) for each distinct text with disclosing terms; kind is generalise or remove."""
+    """(key, told map<term, kind>) for each distinct text with disclosing terms; kind is generalise or remove."""
     spark = df.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
-    mentions = df.select(t.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    # the mentions are a small part of the corpus; their table holds no texts
-    mentions = common.written(mentions.select(_text_key(F.col("text")).alias("key"), F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"]))).alias("entities"), _contexts(F.col("text"), F.col("spans")).alias("contexts")), "mentions")
-    entity_docs = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    together = mentions.select("key", F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("x")).select("key", "x.*")
-    joint = together.groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts"))
-    joint = common.written(joint, "joint-counts")
-    words = df.select(F.explode(F.array_distinct(F.filter(F.split(F.lower(t), r"\P{L}++"), lambda w: F.length(w) >= TERM_LENGTH))).alias("term"))
-    term_docs = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = df.select(F.lit(1)).count()
-    share = 1 - F.log2(_least_share(F.col("n_ct"), F.col("n_t"), F.col("texts"))) / F.log2(F.col("n_c") / F.lit(float(max(total, 1))))
-    scored = joint.join(entity_docs, "entity").join(term_docs, "term").where(F.col("n_c") < total).withColumn("disclosure", share)
-    told = common.written(scored.where(F.col("disclosure") >= generalise).select("entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("kind"), "disclosure"), "disclosing-terms")
+    found = df.select(t.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    found = found.select(_text_key(F.col("text")).alias("key"), F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"]))).alias("entities"), _terms(_blanked(F.col("text"), F.col("spans"))).alias("terms"))
+    # the mentions are a small part of the corpus; their table holds no texts
+    mentions = common.written(found.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "mentions")
+    term_docs = df.select(F.explode(_terms(t)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    named = mentions.select("key", "copies", F.explode("entities").alias("entity"))
+    named = named.join(named.groupBy("entity").agg(F.sum("copies").alias("n_c")), "entity").where(F.col("n_c") < total)
+    # a term of more documents than this cannot reach the score, so pairs are made of rare terms only
+    most = lambda n: n / F.pow(n / F.lit(float(max(total, 1))), 1 - generalise) + 1
+    entities = named.groupBy("key", "copies").agg(F.collect_list(F.struct("entity", "n_c")).alias("entities"), F.max("n_c").alias("top"))
+    rare = mentions.select("key", F.explode("terms").alias("term")).join(term_docs, "term", "left").join(entities, "key").where(F.coalesce("n_t", F.lit(0)) <= most(F.col("top")))
+    pairs = rare.select("term", "n_t", "copies", F.explode("entities").alias("e")).select("term", "n_t", "copies", "e.*")
+    joint = pairs.groupBy("entity", "term", "n_c").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts"), F.max("n_t").alias("n_t"))
+    share = 1 - F.log2(_least_share(F.col("n_ct"), F.greatest("n_t", "n_ct"), F.col("texts"))) / F.log2(F.col("n_c") / F.lit(float(max(total, 1))))
+    scored = joint.withColumn("disclosure", share).where(F.col("disclosure") >= generalise)
+    told = common.written(scored.select("entity", "term", "texts", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("kind")), "disclosing-terms")
     if told.isEmpty():
-        return spark.createDataFrame([], f"key string, terms {_SPAN}")
-    places = mentions.select("key", F.explode("contexts").alias("c")).select("key", "c.*").join(told, ["entity", "term"])
-    each = places.groupBy("key", "start", "end").agg(F.max("kind").alias("kind"), F.first("term").alias("value"))
-    return each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("terms"))
+        return spark.createDataFrame([], "key long, told map<string,string>")
+    within = named.join(told, "entity").select("key", "term", "kind")
+    within = within.join(mentions.select("key", F.explode("terms").alias("term")), ["key", "term"])
+    spread = told.where(F.col("texts") >= SPREAD).groupBy("term").agg(F.max("kind").alias("kind"))
+    if not spread.isEmpty():
+        # at most SLOTS numbers, by which nearly all words of the corpus stay out of the join
+        slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).alias("slot")
+        words = df.select(F.explode(let(_text_key(F.col(text)), lambda k: F.transform(_terms(t), lambda w: F.struct(k.alias("key"), w.alias("term"))))).alias("x")).select("x.*")
+        words = words.select("*", slot).join(F.broadcast(spread.select(slot).distinct()), "slot", "left_semi")
+        within = within.unionByName(words.join(spread, "term").select("key", "term", "kind"))
+    each = within.groupBy("key", "term").agg(F.max("kind").alias("kind"))
+    return each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
+
+
+def _told_spans(text: Column, spans: Column, told: Column) -> Column:
+    """The spans of the told terms of a text, by start."""
+    placed = lambda kinds: F.transform(matches(_blanked(text, spans), TERM), lambda m: F.struct(m["start"].alias("start"), F.element_at(kinds, F.lower(m["m"])).alias("kind"), (m["start"] + F.length(m["m"])).cast("int").alias("end"), F.lower(m["m"]).alias("value")))
+    return F.when(told.isNull(), F.array().cast(_SPAN)).otherwise(let(told, lambda kinds: F.filter(placed(kinds), lambda s: s["kind"].isNotNull())).cast(_SPAN))
 
 
 def _rewritten(text: Column, spans: Column) -> Column:
@@ -206,11 +217,11 @@ def sanitise(df: DataFrame, text: str = "text", keep: list[str] | None = None, g
     new = ("base", "terms", "clean")
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     told = disclosing(df, text, generalise, remove)
-    body, key = common.free_name(df, "body"), common.free_name(df, "key")
+    body, key, kinds = (common.free_name(df, n) for n in ("body", "key", "kinds"))
     rows = df.select(*keep, F.col(text).alias(body)).withColumn("base", base_spans(F.col(body)))
-    # only a text with spans can have disclosing terms; others need no partner, and get keys of their own so that they spread
-    rows = rows.withColumn(key, F.when(F.size("base") > 0, _text_key(F.col(body))).otherwise(F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))))
-    joined = rows.join(told.withColumnRenamed("key", key), key, "left").withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
+    # an empty text has no terms; such rows get keys of their own so that they spread
+    rows = rows.withColumn(key, F.when(F.coalesce(F.length(body), F.lit(0)) > 0, _text_key(F.col(body))).otherwise(F.monotonically_increasing_id()))
+    joined = rows.join(told.withColumnsRenamed({"key": key, "told": kinds}), key, "left").withColumn("terms", _told_spans(F.col(body), F.col("base"), F.col(kinds)))
     by_start = F.sort_array(F.concat("base", "terms"))
     return joined.withColumn("clean", _rewritten(F.col(body), by_start)).select(*keep, *new)
 

@@ -134,6 +134,22 @@ def test_disclosing_terms_are_found_and_hidden(spark):
         assert "bob@" not in r.clean and "Zanzibarian" not in r.clean and "[EMAIL]" in r.clean
 
 
+def test_disclosing_terms_are_hidden_wherever_they_stand(spark):
+    rng = random.Random(7)
+    filler = [f"common{c}" for c in "abcdefghij"]
+    line = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    texts = [line(30) for _ in range(200)]
+    for i in range(12):
+        texts[i] = f"Ann {line(40)} no k77x {line(40)} bob@mail.example.com {texts[i]}"
+    texts[50] = f"{line(5)} ANN and K77x {line(5)}"
+    rows = {r.doc_id: r for r in pii.sanitise(docs(spark, texts, kinds="x"), keep=["doc_id", "kinds"]).collect()}
+    for i in [*range(12), 50]:
+        words = {texts[i][t.start : t.end].lower() for t in rows[i].terms}
+        assert {"ann", "k77x"} <= words and not words & set(filler)
+        assert not {"ann", "k77x"} & set(rows[i].clean.lower().split())
+    assert all(rows[i].clean == texts[i] for i in range(12, 200) if i != 50)
+
+
 def test_terms_of_entities_of_one_text_are_found(spark):
     sf_dir = "/root/testdata/sf0.1"
     rows = pii.op2_disclosure_terms(spark, sf_dir).where("spans LIKE '%term:%'").collect()
