@@ -12,8 +12,10 @@ and kept whole. Pages of equal main and open text count as one page.
 
 The suffix array is built by prefix doubling up to RUN tokens, so neighbours of
 equal rank are exactly the suffixes with a common prefix of that length. Hosts
-are dealt out in parts of about PART_BYTES of token stream: boilerplate, being
-on many pages of a host, repeats within every part.
+are dealt out in parts of about PART_BYTES of token stream. What repeats between
+parts is found by content: each part of a larger host lists the distinct runs of
+its suffix array as 64-bit hashes with the least and greatest page, and those on
+two pages of the host come back to the parts that hold them.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -132,22 +135,15 @@ def blocks(page: str | None) -> tuple[bool, list[tuple[str, str]]]:
     return marked, found
 
 
-def covered(pages: list[list[str | None]], run: int = RUN, groups: list[int] | None = None) -> list[np.ndarray]:
-    """For each token stream, which tokens lie in a substring of at least run tokens that occurs on two distinct pages.
-
-    None among the tokens is a border that no substring crosses. Pages of equal groups count as one page.
-    """
-    sizes = [len(p) for p in pages]
+def _classes(pages: list[list[str | None]], run: int, groups: list[int] | None) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict]:
+    """(the stream, the suffix array by run tokens, where its classes of equal run start, least and greatest page of each, the numbers of the tokens)."""
     ids: dict[str, int] = {}
     stream: list[int] = []
     for p in pages:
         for t in (*p, None):  # a border, also at the end of a page, equals no other token
             stream.append(-1 - len(stream) if t is None else ids.setdefault(t, len(ids)))
-    rank = np.array(stream, np.int64)
-    page = np.repeat(np.arange(len(pages)) if groups is None else np.array(groups, np.int64), [s + 1 for s in sizes])
-    if not len(rank):
-        return [np.zeros(0, bool) for _ in pages]
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+    page = np.repeat(np.arange(len(pages)) if groups is None else np.array(groups, np.int64), [len(p) + 1 for p in pages])
+    rank = np.unique(np.array(stream, np.int64), return_inverse=True)[1].astype(np.int64)
     length = 1
     while length < run:
         step = min(length, run - length)
@@ -158,29 +154,56 @@ def covered(pages: list[list[str | None]], run: int = RUN, groups: list[int] | N
     order = np.argsort(rank, kind="stable")  # the suffix array, by run tokens
     sorted_rank, sorted_page = rank[order], page[order]
     starts = np.flatnonzero(np.append(True, sorted_rank[1:] != sorted_rank[:-1]))
-    shared = np.minimum.reduceat(sorted_page, starts) != np.maximum.reduceat(sorted_page, starts)
-    hit = order[np.repeat(shared, np.diff(np.append(starts, len(rank))))]
-    cover = np.zeros(len(rank) + run + 1, np.int64)
+    return stream, order, starts, np.minimum.reduceat(sorted_page, starts), np.maximum.reduceat(sorted_page, starts), ids
+
+
+def _run_hashes(stream: list[int], ids: dict[str, int], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the run tokens from each position, whether there are so many before a border)."""
+    codes = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "big") for t in ids] + [0], np.uint64)
+    tokens = np.array(stream, np.int64)
+    values, border = codes[np.where(tokens < 0, len(ids), tokens)], np.append(tokens < 0, np.ones(run, bool))
+    values, hashes = np.append(values, np.zeros(run, np.uint64)), np.zeros(len(stream), np.uint64)
+    whole = np.ones(len(stream), bool)
+    for i in range(run):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + values[i : i + len(stream)]
+        whole &= ~border[i : i + len(stream)]
+    return hashes.view(np.int64), whole
+
+
+def covered(pages: list[list[str | None]], run: int = RUN, groups: list[int] | None = None, known: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each token stream, which tokens lie in a substring of at least run tokens that occurs on two distinct pages.
+
+    None among the tokens is a border that no substring crosses. Pages of equal groups count as one page.
+    Runs with a hash in known occur on other pages as well.
+    """
+    if not pages:
+        return []
+    stream, order, starts, low, high, ids = _classes(pages, run, groups)
+    hit = order[np.repeat(low != high, np.diff(np.append(starts, len(order))))]
+    if known is not None and len(known):
+        hashes, whole = _run_hashes(stream, ids, run)
+        hit = np.union1d(hit, np.flatnonzero(whole & np.isin(hashes, known)))
+    cover = np.zeros(len(order) + run + 1, np.int64)
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + run, -1)
-    inside = np.cumsum(cover)[: len(rank)] > 0
+    inside = np.cumsum(cover)[: len(order)] > 0
+    sizes = [len(p) for p in pages]
     ends = np.cumsum([s + 1 for s in sizes])
     return [inside[e - s - 1 : e - 1] for s, e in zip(sizes, ends, strict=True)]
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, page_id, url, host, html) to the same with kinds, texts, size and copy for html; copy is equal for equal main and open text."""
+    """(rid, page_id, url, host, html) to the same with packed blocks, size and copy for html; copy is equal for equal main and open text."""
     for batch in batches:
-        kinds, texts, sizes, copies = [], [], [], []
+        packed, sizes, copies = [], [], []
         for page in batch.column(4):
             found = blocks(page.as_py())[1]
-            kinds.append([k for k, _ in found])
-            texts.append([t for _, t in found])
+            packed.append(zlib.compress("\n".join(f"{k} {t}" for k, t in found).encode("utf-8", "replace")))  # blocks hold no line ends
             sizes.append(sum(len(t) + 8 for _, t in found))
             content = " ".join(t for k, t in found if k != CHROME)
             copies.append(int.from_bytes(hashlib.blake2b(content.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
-        new = [pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string())), pa.array(sizes, pa.int64()), pa.array(copies, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=["rid", "page_id", "url", "host", "kinds", "texts", "size", "copy"])
+        new = [pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), pa.array(copies, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=["rid", "page_id", "url", "host", "packed", "size", "copy"])
 
 
 def _tokens(kinds: list[str], texts: list[str]) -> tuple[list[str | None], list[str | None]]:
@@ -209,12 +232,32 @@ def chosen(stream: list[str | None], labels: list[str | None], cover: np.ndarray
     return " ".join(w for w, k, c in zip(stream, labels, cover, strict=True) if k in (MAIN, OPEN) and not c)
 
 
+def _pages(group: pa.Table) -> list[tuple[list[str | None], list[str | None]]]:
+    found = [[b.partition(" ") for b in zlib.decompress(x).decode().split("\n") if b] for x in group["packed"].to_pylist()]
+    return [_tokens([b[0] for b in page], [b[2] for b in page]) for page in found]
+
+
+def _listed_runs(run: int):
+    """A part of a host to (host, part, run, low, high): its distinct runs with their least and greatest page."""
+
+    def runs(group: pa.Table) -> pa.Table:
+        stream, order, starts, low, high, ids = _classes([s for s, _ in _pages(group)], run, group["copy"].to_pylist())
+        hashes, whole = _run_hashes(stream, ids, run)
+        at = order[starts]
+        kept = np.flatnonzero(whole[at])
+        kept = kept[np.argsort(at[kept])]
+        n = len(kept)
+        return pa.table({"host": pa.array([group["host"][0].as_py()] * n, pa.string()), "part": pa.array([group["part"][0].as_py()] * n, pa.int64()), "run": hashes[at[kept]], "low": low[kept], "high": high[kept]})
+
+    return runs
+
+
 def _unique_runs(run: int):
-    """A part of a host to (page_id, url, text) for its pages."""
+    """A part of a host, and the runs that it shares with others, to (page_id, url, text) for its pages."""
 
-    def keep(group: pa.Table) -> pa.Table:
-        pages = [_tokens(k, t) for k, t in zip(group["kinds"].to_pylist(), group["texts"].to_pylist(), strict=True)]
-        covers = covered([s for s, _ in pages], run, group["copy"].to_pylist())
+    def keep(group: pa.Table, known: pa.Table) -> pa.Table:
+        pages = _pages(group)
+        covers = covered([s for s, _ in pages], run, group["copy"].to_pylist(), known["run"].to_numpy())
         out = [chosen(s, k, c) for (s, k), c in zip(pages, covers, strict=True)]
         return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(out, pa.string())})
 
@@ -232,10 +275,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
     ids = f"page_id {kinds[page_id]}, url {kinds[url]}"
     own = [F.col(page_id).alias("page_id"), F.col(url).alias("url")]
     read = pages.select(F.monotonically_increasing_id().alias("rid"), *own, F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(body).alias("html"))
-    streams = common.written(read.mapInArrow(_streams, f"rid long, {ids}, host string, kinds array<string>, texts array<string>, size long, copy long"), "page-streams")
+    streams = common.written(read.mapInArrow(_streams, f"rid long, {ids}, host string, packed binary, size long, copy long"), "page-streams")
     hosts = common.written(streams.groupBy("host").agg(F.ceil(F.sum("size") / part_bytes).cast("int").alias("parts")), "hosts")
-    dealt = streams.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("rid"), F.greatest(F.lit(1), F.col("parts"))))
-    return dealt.groupBy("host", "part").applyInArrow(_unique_runs(run), f"{ids}, text string").withColumn("n_chars", F.length("text").cast("long"))
+    dealt = streams.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("rid"), F.greatest(F.lit(1), F.col("parts"))).cast("long"))
+    listed = dealt.where("parts > 1").groupBy("host", "part").applyInArrow(_listed_runs(run), "host string, part long, run long, low long, high long")
+    # a part lists a run once, so that a window holds no more rows than the host has parts
+    same = Window.partitionBy("host", "run")
+    known = listed.withColumn("least", F.min("low").over(same)).withColumn("greatest", F.max("high").over(same)).where("least <> greatest").select("host", "part", "run")
+    cogrouped = dealt.groupBy("host", "part").cogroup(known.groupBy("host", "part"))
+    return cogrouped.applyInArrow(_unique_runs(run), f"{ids}, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,6 +262,16 @@ def test_boilerplate_goes_from_marked_pages(spark):
     assert got == {n: want for n, _, want in pages}
 
 
+def test_parts_of_a_host_change_nothing(spark):
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    pages = [(n, "http://h.example/x", f"<p>{words(f'own{n}w', 30)}</p><p>{words(f'pair{n // 2}w', 20)}</p>") for n in range(40)]
+    pages += [(n, "http://h.example/x", f"<p>{words('copied', 40)}</p>") for n in (40, 41)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {n: words(f"own{n}w", 30) for n in range(40)} | {n: words("copied", 40) for n in (40, 41)}
+    for part_bytes in (html.PART_BYTES, 1000):
+        assert {r.page_id: r.text for r in html.extract(df, part_bytes=part_bytes).collect()} == want
+
+
 # pipeline
 
 
