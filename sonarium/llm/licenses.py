@@ -17,6 +17,7 @@ from .common import let
 #: Normalised sentences of public licences and of the notices that name them.
 SENTENCES = {
     "apache-notice": "licensed under the apache license version 2 0",
+    "apache-header": "licensed under the apache license version 2 0 the license",
     "apache-compliance": "you may not use this file except in compliance with the license",
     "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
@@ -31,8 +32,16 @@ SENTENCES = {
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "gpl3-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-program": "this program is free software",
+    "gpl-terms-3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-terms-3": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-terms-3": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-2-later": "either version 2 of the license or at your option any later version",
+    "mpl-subject": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
     "cc-by-nc-4-notice": "licensed under cc by nc 4 0",
     "cc-by-4-notice": "this work is licensed under a creative commons attribution 4 0 international license",
@@ -41,12 +50,18 @@ SENTENCES = {
 #: (licence, sentences in order); the first rule that matches names the licence, so longer rules stand before shorter ones.
 RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("Apache-2.0", ["apache-header", "apache-compliance", "apache-as-is", "apache-see"]),
     ("Apache-2.0", ["apache-notice", "apache-compliance", "apache-as-is", "apache-see"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-see"]),
+    ("GPL-3.0-or-later", ["gpl-program", "gpl-terms-3", "gpl-hope", "gpl-implied", "gpl-see"]),
     ("MIT", ["mit-grant", "mit-include", "as-is"]),
-    ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-3.0-or-later", ["gpl-program", "gpl-terms-3"]),
+    ("GPL-2.0-or-later", ["gpl-program", "gpl-terms", "gpl-2-later"]),
+    ("AGPL-3.0-or-later", ["gpl-program", "agpl-terms-3"]),
+    ("LGPL-3.0-or-later", ["gpl-program", "lgpl-terms-3"]),
+    ("MPL-2.0", ["mpl-subject", "mpl-copy"]),
     ("GPL-3.0", ["gpl3-notice"]),
+    ("Apache-2.0", ["apache-header"]),
     ("Apache-2.0", ["apache-notice"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-licensed"]),

@@ -198,6 +198,20 @@ def test_licence_rules(spark):
     assert got == [None, None, "MIT", "MIT", "Apache-2.0", None, None]
 
 
+def test_standard_headers_name_their_licence(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    hope = "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n'
+    as_is = 'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.'
+    gpl2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+    agpl, lgpl = (gpl.replace("GNU", f"GNU {x}") for x in ("Affero", "Lesser"))
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    rows = licenses.scan(docs(spark, [gpl, f"{gpl}\n\n{hope}", apache, apache + as_is, gpl2, agpl, lgpl, mpl])).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == ["GPL-3.0-or-later"] * 2 + ["Apache-2.0"] * 2 + ["GPL-2.0-or-later", "AGPL-3.0-or-later", "LGPL-3.0-or-later", "MPL-2.0"]
+    assert rows[1].sentence_ids == ["gpl-program", "gpl-terms-3", "gpl-hope", "gpl-implied", "gpl-see"]
+    assert rows[3].sentence_ids == ["apache-header", "apache-compliance", "apache-as-is", "apache-see"]
+
+
 def test_shards(spark):
     rng = random.Random(6)
     texts = ["hot " * 20] * 700 + ["w" * rng.randrange(300) for _ in range(1300)] + [None, ""]
