@@ -2,20 +2,34 @@
 
 Markup sorts the blocks of a page into chrome (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments), main (inside an article or
-main element) and open ones. Repetition decides about main and open blocks
-alike: the token streams of a host's pages are concatenated, a suffix array
-finds the substrings of at least RUN tokens that occur on distinct pages, and
-tokens that these cover are boilerplate. Markup is a prior: where a page marks
-its main content, open blocks count only if the marked part is LITTLE of the
-text; and a marked part of which COPIED or more repeats is a copy of an article
-and kept whole. Pages of equal main and open text count as one page.
+main element) and open ones (neither). All of them enter the suffix array: the
+token streams of a host's pages are concatenated, and substrings of RUN tokens
+that stand on distinct pages are found. Repetition then carries what markup says
+on one page to the others:
+
+* a run that is chrome on one page and stands in the main part of two distinct
+  pages is chrome there too (markup is overruled). One that stands in the main
+  part of a single page is merely quoted by a menu or a teaser, and stays;
+* a run that is never chrome, but main on some page, is an article's prose, and
+  stays in open blocks as well, even where other runs overlap it (markup confirms);
+* a run that stands in open blocks only, or is chrome on some page, goes from
+  open blocks.
+
+Open blocks of fewer than RUN tokens go if the same block stands on another
+page. Where a page marks its main content, open blocks count only if the marked
+part is LITTLE of the text. Pages of equal main and open text count as one page.
 
 The suffix array is built by prefix doubling up to RUN tokens, so neighbours of
 equal rank are exactly the suffixes with a common prefix of that length. Hosts
-are dealt out in parts of about PART_BYTES of token stream. What repeats between
-parts is found by content: each part of a larger host lists the distinct runs of
-its suffix array as 64-bit hashes with the least and greatest page, and those on
-two pages of the host come back to the parts that hold them.
+are dealt out in parts of about PART_BYTES of text, and what repeats between the
+parts of a host is exchanged in two steps, which change no result:
+
+1. The least hash of the GRAM-token windows inside a run is its fingerprint.
+   Equal runs have equal ones, and neighbouring runs mostly share theirs, so a
+   part has far fewer fingerprints than tokens. Parts list them, each once.
+2. For fingerprints that two parts list, the parts list their runs, with the
+   least and greatest page of each and what markup says; the parts get back
+   what holds for the host as a whole.
 """
 
 from __future__ import annotations
@@ -25,18 +39,24 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 from .urlfilter import host_of
 
-RUN, PART_BYTES = 16, 4_000_000
-COPIED, LITTLE = 0.8, 0.25
-MAIN, CHROME, OPEN = "main", "chrome", "open"
+RUN, GRAM, PART_BYTES = 16, 6, 1_000_000
+LITTLE = 0.25
+#: What a page weighs besides its text, so that empty pages are dealt out too.
+PAGE_BYTES = 64
+MAIN, CHROME, OPEN = "m", "c", "o"
+_BITS = np.zeros(128, np.int64)
+_BITS[[ord(MAIN), ord(CHROME), ord(OPEN)]] = IS_MAIN, IS_CHROME, IS_OPEN = 1, 2, 4
+_LEAST, _GREATEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>|[^<]+|<""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -135,15 +155,54 @@ def blocks(page: str | None) -> tuple[bool, list[tuple[str, str]]]:
     return marked, found
 
 
-def _classes(pages: list[list[str | None]], run: int, groups: list[int] | None) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict]:
-    """(the stream, the suffix array by run tokens, where its classes of equal run start, least and greatest page of each, the numbers of the tokens)."""
-    ids: dict[str, int] = {}
-    stream: list[int] = []
-    for p in pages:
-        for t in (*p, None):  # a border, also at the end of a page, equals no other token
-            stream.append(-1 - len(stream) if t is None else ids.setdefault(t, len(ids)))
-    page = np.repeat(np.arange(len(pages)) if groups is None else np.array(groups, np.int64), [len(p) + 1 for p in pages])
-    rank = np.unique(np.array(stream, np.int64), return_inverse=True)[1].astype(np.int64)
+@dataclass
+class Part:
+    """Pages as one stream: a border, which equals nothing, stands after each stretch of one kind of a page."""
+
+    texts: list[bytes]
+    kinds: list[str]
+    copies: np.ndarray
+    #: Of the tokens: hash, page, block (counted over all pages) and place in the stream.
+    hashes: np.ndarray
+    page: np.ndarray
+    block: np.ndarray
+    at: np.ndarray
+    length: int
+    #: Of the blocks: page and kind; an empty page has one block of no kind.
+    block_page: np.ndarray
+    block_kind: np.ndarray
+
+    def spread(self, of_tokens: np.ndarray, border: int = 0) -> np.ndarray:
+        """Values of the tokens at their places in the stream."""
+        out = np.full(self.length, border, of_tokens.dtype)
+        out[self.at] = of_tokens
+        return out
+
+
+def part(texts: list[bytes], kinds: list[str], copies: list[int] | None = None) -> Part:
+    """texts: the blocks of each page, one a line; kinds: a letter for each block; pages of equal copies count as one."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    hashes, first = shingles.placed_words(data)
+    block = np.searchsorted(np.flatnonzero(data == 10), first)
+    lines = [max(1, len(k)) for k in kinds]
+    block_page = np.repeat(np.arange(len(kinds)), lines)
+    block_kind = _BITS[np.frombuffer("".join(k or "\0" for k in kinds).encode(), np.uint8)]
+    page, kind = block_page[block], block_kind[block]
+    new = np.ones(len(block), bool)
+    new[1:] = (page[1:] != page[:-1]) | (kind[1:] != kind[:-1])
+    at = np.arange(len(block)) + np.cumsum(new) - 1
+    own = np.arange(len(texts)) if copies is None else np.array(copies, np.int64)
+    return Part(texts, kinds, own, hashes, page, block, at, len(block) + int(new.sum()), block_page, block_kind)
+
+
+def _classes(p: Part, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the suffix array by run tokens, where its classes of equal run start)."""
+    rank = np.zeros(p.length, np.int64)
+    borders = np.ones(p.length, bool)
+    borders[p.at] = False
+    n = int(borders.sum())
+    rank[borders] = np.arange(n)
+    rank[p.at] = n + np.unique(p.hashes, return_inverse=True)[1]
     length = 1
     while length < run:
         step = min(length, run - length)
@@ -151,142 +210,249 @@ def _classes(pages: list[list[str | None]], run: int, groups: list[int] | None)
         after[: len(rank) - step] = rank[step:]
         rank = np.unique(rank * (len(rank) + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
         length += step
-    order = np.argsort(rank, kind="stable")  # the suffix array, by run tokens
-    sorted_rank, sorted_page = rank[order], page[order]
-    starts = np.flatnonzero(np.append(True, sorted_rank[1:] != sorted_rank[:-1]))
-    return stream, order, starts, np.minimum.reduceat(sorted_page, starts), np.maximum.reduceat(sorted_page, starts), ids
-
-
-def _run_hashes(stream: list[int], ids: dict[str, int], run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of the run tokens from each position, whether there are so many before a border)."""
-    codes = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "big") for t in ids] + [0], np.uint64)
-    tokens = np.array(stream, np.int64)
-    values, border = codes[np.where(tokens < 0, len(ids), tokens)], np.append(tokens < 0, np.ones(run, bool))
-    values, hashes = np.append(values, np.zeros(run, np.uint64)), np.zeros(len(stream), np.uint64)
-    whole = np.ones(len(stream), bool)
-    for i in range(run):
-        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + values[i : i + len(stream)]
-        whole &= ~border[i : i + len(stream)]
-    return hashes.view(np.int64), whole
-
-
-def covered(pages: list[list[str | None]], run: int = RUN, groups: list[int] | None = None, known: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each token stream, which tokens lie in a substring of at least run tokens that occurs on two distinct pages.
-
-    None among the tokens is a border that no substring crosses. Pages of equal groups count as one page.
-    Runs with a hash in known occur on other pages as well.
-    """
-    if not pages:
-        return []
-    stream, order, starts, low, high, ids = _classes(pages, run, groups)
-    hit = order[np.repeat(low != high, np.diff(np.append(starts, len(order))))]
-    if known is not None and len(known):
-        hashes, whole = _run_hashes(stream, ids, run)
-        hit = np.union1d(hit, np.flatnonzero(whole & np.isin(hashes, known)))
-    cover = np.zeros(len(order) + run + 1, np.int64)
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, hit + run, -1)
-    inside = np.cumsum(cover)[: len(order)] > 0
-    sizes = [len(p) for p in pages]
-    ends = np.cumsum([s + 1 for s in sizes])
-    return [inside[e - s - 1 : e - 1] for s, e in zip(sizes, ends, strict=True)]
+    order = np.argsort(rank, kind="stable")
+    ranked = rank[order]
+    return order, np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)])
+
+
+def _windows(p: Part, n: int) -> np.ndarray:
+    """64-bit hashes of the n tokens from each place; meaningless where there are fewer before a border."""
+    values = np.append(p.spread(p.hashes), np.zeros(n, np.uint64))
+    hashes = np.zeros(p.length, np.uint64)
+    for i in range(n):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + values[i : i + p.length]
+    return shingles.mix(hashes)
+
+
+def _whole(p: Part, run: int) -> np.ndarray:
+    """Places from which run tokens stand before a border."""
+    taken = np.zeros(p.length + run, np.int64)
+    taken[p.at] = 1
+    sums = np.concatenate(([0], np.cumsum(taken)))
+    return np.flatnonzero(sums[run : run + p.length] - sums[: p.length] == run)
+
+
+def _fingerprints(p: Part, run: int, places: np.ndarray) -> np.ndarray:
+    """The least hash of the GRAM-token windows inside the run at each of the places."""
+    size = min(GRAM, run)
+    grams = np.append(_windows(p, size), np.zeros(run, np.uint64))
+    least = grams[places]
+    for i in range(1, run - size + 1):
+        least = np.minimum(least, grams[places + i])
+    return least.view(np.int64)
+
+
+def _short_blocks(p: Part, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the open blocks of fewer than run tokens, their hashes)."""
+    starts = np.flatnonzero(np.append(True, p.block[1:] != p.block[:-1])[: len(p.block)])
+    if not len(starts):
+        return starts, starts
+    sizes = np.diff(np.append(starts, len(p.block)))
+    place = np.arange(len(p.block)) - np.repeat(starts, sizes)
+    hashes = shingles.mix(np.add.reduceat(shingles.mix(p.hashes + place.astype(np.uint64) * shingles._STEP), starts) ^ np.uint64(0xA5A5A5A5))
+    short = (p.block_kind[p.block[starts]] == IS_OPEN) & (sizes < run)
+    return p.block[starts][short], hashes[short].view(np.int64)
+
+
+def _summed(keys: np.ndarray, copies: np.ndarray, bits: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Of classes of rows (from starts on, in order): key, least and greatest page, kinds, least and greatest page where the kind is main."""
+    if not len(starts):
+        return {n: np.empty(0, np.int64) for n in ("run", "low", "high", "bits", "main_low", "main_high")}
+    main = bits == IS_MAIN
+    return {
+        "run": keys[starts],
+        "low": np.minimum.reduceat(copies, starts),
+        "high": np.maximum.reduceat(copies, starts),
+        "bits": np.bitwise_or.reduceat(bits, starts),
+        "main_low": np.minimum.reduceat(np.where(main, copies, _GREATEST), starts),
+        "main_high": np.maximum.reduceat(np.where(main, copies, _LEAST), starts),
+    }
+
+
+#: What is told of classes of equal runs: they go from main blocks; from open ones, as chrome; from open ones, unless confirmed; they are an article's.
+TOLD = ("overruled", "chrome", "bare", "confirmed")
+
+
+def _told(x: dict) -> dict:
+    """TOLD from what _summed or the whole host has; for arrays and for columns alike."""
+    repeated, chrome, main = x["low"] != x["high"], x["bits"] % 4 >= IS_CHROME, x["bits"] % 2 == IS_MAIN
+    said = repeated & chrome & (x["main_low"] < x["main_high"]), repeated & chrome, repeated & ~chrome & ~main, repeated & ~chrome & main
+    return dict(zip(TOLD, said, strict=True))
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    return order, np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(keys)])
+
+
+def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each value its place in the sorted table, or -1."""
+    if not len(table):
+        return np.full(len(values), -1)
+    found = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[found] == values, found, -1)
+
+
+def boilerplate(p: Part, run: int = RUN, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Which tokens are boilerplate. known: what holds on the whole host for runs and short blocks (by hash, sorted)."""
+    copies, kinds = p.spread(p.copies[p.page]), p.spread(p.block_kind[p.block])
+    said = {n: np.zeros(p.length, bool) for n in TOLD}
+    order, starts = _classes(p, run)
+    if len(order):
+        sizes = np.diff(np.append(starts, len(order)))
+        for n, x in _told(_summed(order, copies[order], kinds[order], starts)).items():
+            said[n][order] = np.repeat(x, sizes)
+    blocks_, hashes = _short_blocks(p, run)
+    gone = np.zeros(len(p.block_page), bool)
+    if len(blocks_):
+        order, starts = _grouped(hashes)
+        pages = p.copies[p.block_page[blocks_]][order]
+        gone[blocks_[order]] = np.repeat(np.minimum.reduceat(pages, starts) != np.maximum.reduceat(pages, starts), np.diff(np.append(starts, len(order))))
+    if known is not None and len(known["run"]):
+        places = _whole(p, run)
+        found = _in(_windows(p, run)[places].view(np.int64), known["run"])
+        told = found >= 0
+        for n in TOLD:
+            said[n][places[told]] = known[n][found[told]]
+        gone[blocks_[_in(hashes, known["run"]) >= 0]] = True
+
+    def covered(starts: np.ndarray) -> np.ndarray:
+        """The tokens in runs that start where told."""
+        cover = np.zeros(p.length + run + 1, np.int64)
+        hit = np.flatnonzero(starts)
+        cover[hit] += 1
+        cover[hit + run] -= 1
+        return np.cumsum(cover)[p.at] > 0
+
+    of_main, of_open = kinds == IS_MAIN, kinds == IS_OPEN
+    return covered(of_main & said["overruled"]) | covered(of_open & said["chrome"]) | (covered(of_open & said["bare"]) & ~covered(of_open & said["confirmed"])) | gone[p.block]
+
+
+def texts_of(p: Part, cover: np.ndarray) -> list[str]:
+    """The main text of each page."""
+    kinds = p.block_kind[p.block]
+    count = lambda mask: np.bincount(p.page[mask], minlength=len(p.texts))
+    main, open_ = count((kinds == IS_MAIN) & ~cover), count((kinds == IS_OPEN) & ~cover)
+    with_open = ~((main > 0) & (main >= LITTLE * (main + open_)))
+    touched = count(cover & (kinds != IS_CHROME)) > 0
+    starts = np.searchsorted(p.page, np.arange(len(p.texts) + 1))
+    out = []
+    for i, (raw, letters) in enumerate(zip(p.texts, p.kinds, strict=True)):
+        wanted = MAIN + OPEN if with_open[i] else MAIN
+        lines = raw.decode().split("\n") if letters else []
+        if touched[i]:
+            kept = (~cover[starts[i] : starts[i + 1]]).tolist()
+            words = [(k, w) for k, line in zip(letters, lines, strict=True) for w in line.split(" ")]
+            out.append(" ".join(w for (k, w), stays in zip(words, kept, strict=True) if stays and k in wanted))
+        else:
+            out.append(" ".join(line for k, line in zip(letters, lines, strict=True) if k in wanted))
+    return out
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, page_id, url, host, html) to the same with packed blocks, size and copy for html; copy is equal for equal main and open text."""
+    """(rid, page_id, url, host, html) to the same with packed blocks, their kinds, size and copy for html; copy is equal for equal main and open text."""
     for batch in batches:
-        packed, sizes, copies = [], [], []
+        packed, kinds, sizes, copies = [], [], [], []
         for page in batch.column(4):
             found = blocks(page.as_py())[1]
-            packed.append(zlib.compress("\n".join(f"{k} {t}" for k, t in found).encode("utf-8", "replace")))  # blocks hold no line ends
-            sizes.append(sum(len(t) + 8 for _, t in found))
+            text = "\n".join(t for _, t in found).encode("utf-8", "replace")  # blocks hold no line ends
+            packed.append(zlib.compress(text, 1))
+            kinds.append("".join(k for k, _ in found))
+            sizes.append(len(text) + PAGE_BYTES)
             content = " ".join(t for k, t in found if k != CHROME)
             copies.append(int.from_bytes(hashlib.blake2b(content.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
-        new = [pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), pa.array(copies, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=["rid", "page_id", "url", "host", "packed", "size", "copy"])
+        new = [pa.array(packed, pa.binary()), pa.array(kinds, pa.string()), pa.array(sizes, pa.int64()), pa.array(copies, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=["rid", "page_id", "url", "host", "packed", "kinds", "size", "copy"])
+
+
+def _part(group: pa.Table) -> Part:
+    return part([zlib.decompress(x) for x in group["packed"].to_pylist()], group["kinds"].to_pylist(), group["copy"].to_pylist())
 
 
-def _tokens(kinds: list[str], texts: list[str]) -> tuple[list[str | None], list[str | None]]:
-    """(the token stream of a page, the kind of each token), with borders (None) between main blocks and others."""
-    stream: list[str | None] = []
-    labels: list[str | None] = []
-    before = None
-    for kind, text in zip(kinds, texts, strict=True):
-        if before is not None and (kind == MAIN) != (before == MAIN):
-            stream.append(None)
-            labels.append(None)
-        words = text.split(" ")
-        stream += words
-        labels += [kind] * len(words)
-        before = kind
-    return stream, labels
+def _listed(group: pa.Table, columns: dict[str, np.ndarray]) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    keys = {k: np.full(n, group[k][0].as_py(), np.int64) for k in ("hid", "part")}
+    return pa.table(keys | columns)
 
 
-def chosen(stream: list[str | None], labels: list[str | None], cover: np.ndarray) -> str:
-    """The main text of a page from its tokens, their kinds and which of them are boilerplate."""
-    main = [not c for k, c in zip(labels, cover, strict=True) if k == MAIN]
-    unique_open = sum(k == OPEN and not c for k, c in zip(labels, cover, strict=True))
-    if main and len(main) >= LITTLE * (len(main) + unique_open):
-        whole = len(main) - sum(main) >= COPIED * len(main)
-        return " ".join(w for w, k, c in zip(stream, labels, cover, strict=True) if k == MAIN and (whole or not c))
-    return " ".join(w for w, k, c in zip(stream, labels, cover, strict=True) if k in (MAIN, OPEN) and not c)
+def _listed_fingerprints(run: int):
+    """A part of a host to (hid, part, print): the distinct fingerprints of its runs, and its short open blocks."""
 
+    def listed(group: pa.Table) -> pa.Table:
+        p = _part(group)
+        return _listed(group, {"print": np.unique(np.concatenate((_fingerprints(p, run, _whole(p, run)), _short_blocks(p, run)[1])))})
 
-def _pages(group: pa.Table) -> list[tuple[list[str | None], list[str | None]]]:
-    found = [[b.partition(" ") for b in zlib.decompress(x).decode().split("\n") if b] for x in group["packed"].to_pylist()]
-    return [_tokens([b[0] for b in page], [b[2] for b in page]) for page in found]
+    return listed
 
 
 def _listed_runs(run: int):
-    """A part of a host to (host, part, run, low, high): its distinct runs with their least and greatest page."""
+    """A part of a host, and the fingerprints that it shares with other parts, to (hid, part, run, low, high, bits, main_low, main_high)."""
 
-    def runs(group: pa.Table) -> pa.Table:
-        stream, order, starts, low, high, ids = _classes([s for s, _ in _pages(group)], run, group["copy"].to_pylist())
-        hashes, whole = _run_hashes(stream, ids, run)
-        at = order[starts]
-        kept = np.flatnonzero(whole[at])
-        kept = kept[np.argsort(at[kept])]
-        n = len(kept)
-        return pa.table({"host": pa.array([group["host"][0].as_py()] * n, pa.string()), "part": pa.array([group["part"][0].as_py()] * n, pa.int64()), "run": hashes[at[kept]], "low": low[kept], "high": high[kept]})
+    def listed(group: pa.Table, shared: pa.Table) -> pa.Table:
+        if not group.num_rows or not shared.num_rows:
+            return pa.schema([(n, pa.int64()) for n in ("hid", "part", "run", "low", "high", "bits", "main_low", "main_high")]).empty_table()
+        p, prints = _part(group), np.sort(shared["print"].to_numpy())
+        places = _whole(p, run)
+        places = places[_in(_fingerprints(p, run, places), prints) >= 0]
+        blocks_, hashes = _short_blocks(p, run)
+        common_ = _in(hashes, prints) >= 0
+        keys = np.concatenate((_windows(p, run)[places].view(np.int64), hashes[common_]))
+        copies = np.concatenate((p.spread(p.copies[p.page])[places], p.copies[p.block_page[blocks_[common_]]]))
+        bits = np.concatenate((p.spread(p.block_kind[p.block])[places], np.full(int(common_.sum()), IS_OPEN)))
+        order, starts = _grouped(keys)
+        return _listed(group, _summed(keys[order], copies[order], bits[order], starts))
 
-    return runs
+    return listed
 
 
-def _unique_runs(run: int):
-    """A part of a host, and the runs that it shares with others, to (page_id, url, text) for its pages."""
+def _main_texts(run: int):
+    """A part of a host, and what the host says about its runs, to (page_id, url, text) for its pages."""
 
     def keep(group: pa.Table, known: pa.Table) -> pa.Table:
-        pages = _pages(group)
-        covers = covered([s for s, _ in pages], run, group["copy"].to_pylist(), known["run"].to_numpy())
-        out = [chosen(s, k, c) for (s, k), c in zip(pages, covers, strict=True)]
-        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(out, pa.string())})
+        p = _part(group)
+        order = np.argsort(known["run"].to_numpy())
+        told = {n: np.asarray(known[n])[order] for n in ("run", *TOLD)}
+        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(texts_of(p, boilerplate(p, run, told)), pa.string())})
 
     return keep
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", run: int = RUN, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(page_id, url, text, n_chars) for each row of pages, which must be a table or another source that is read alike each time.
+    """(page_id, url, text, n_chars) for each row of pages.
 
     A null or empty page has the empty text. Pages without a host make up a
     host of their own. Repeated rows stay, but count as one page. n_chars
-    counts code points; no page is cut.
+    counts code points; no page is cut. Other columns of pages are not read; an
+    empty table gives an empty table.
     """
     kinds = {c: pages.select(c).schema[0].dataType.simpleString() for c in (page_id, url)}
     ids = f"page_id {kinds[page_id]}, url {kinds[url]}"
     own = [F.col(page_id).alias("page_id"), F.col(url).alias("url")]
+    # rid only deals rows out; it is read from the table that holds it
     read = pages.select(F.monotonically_increasing_id().alias("rid"), *own, F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(body).alias("html"))
-    streams = common.written(read.mapInArrow(_streams, f"rid long, {ids}, host string, packed binary, size long, copy long"), "page-streams")
-    hosts = common.written(streams.groupBy("host").agg(F.ceil(F.sum("size") / part_bytes).cast("int").alias("parts")), "hosts")
-    dealt = streams.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("rid"), F.greatest(F.lit(1), F.col("parts"))).cast("long"))
-    listed = dealt.where("parts > 1").groupBy("host", "part").applyInArrow(_listed_runs(run), "host string, part long, run long, low long, high long")
-    # a part lists a run once, so that a window holds no more rows than the host has parts
-    same = Window.partitionBy("host", "run")
-    known = listed.withColumn("least", F.min("low").over(same)).withColumn("greatest", F.max("high").over(same)).where("least <> greatest").select("host", "part", "run")
-    cogrouped = dealt.groupBy("host", "part").cogroup(known.groupBy("host", "part"))
-    return cogrouped.applyInArrow(_unique_runs(run), f"{ids}, text string").withColumn("n_chars", F.length("text").cast("long"))
+    streams = common.written(read.mapInArrow(_streams, f"rid long, {ids}, host string, packed binary, kinds string, size long, copy long"), "page-streams")
+    sizes = streams.groupBy("host").agg(F.ceil(F.sum("size") / part_bytes).cast("long").alias("parts")).where("parts > 1")
+    large = common.written(sizes.select("host", "parts", F.monotonically_increasing_id().alias("hid")), "large-hosts")
+    dealt = streams.join(large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("parts")), F.lit(0)))
+    several = dealt.where("hid IS NOT NULL").select("hid", "part", "packed", "kinds", "copy")
+    prints = several.groupBy("hid", "part").applyInArrow(_listed_fingerprints(run), "hid long, part long, print long")
+    # a part lists a key once, so that a window holds no more rows than the host has parts
+    same = Window.partitionBy("hid", "print")
+    shared = prints.withColumn("least", F.min("part").over(same)).withColumn("most", F.max("part").over(same)).where("least <> most").select("hid", "part", "print")
+    runs = several.groupBy("hid", "part").cogroup(shared.groupBy("hid", "part")).applyInArrow(_listed_runs(run), "hid long, part long, run long, low long, high long, bits long, main_low long, main_high long")
+    of_run = Window.partitionBy("hid", "run")
+    whole = {"low": F.min, "high": F.max, "bits": F.bit_or, "main_low": F.min, "main_high": F.max}
+    told = runs.select("hid", "part", "run", *(f(c).over(of_run).alias(c) for c, f in whole.items())).where("low <> high")
+    flags = [x.alias(n) for n, x in _told({c: F.col(c) for c in whole}).items()]
+    known = told.select("hid", "part", "run", *flags).join(large.select("hid", "host"), "hid").select("host", "part", "run", *TOLD)
+    pages_ = dealt.select("host", "part", "page_id", "url", "packed", "kinds", "copy")
+    texts = pages_.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInArrow(_main_texts(run), f"{ids}, text string")
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; see extract for nulls, repeated rows and empty tables."""
     return extract(common.table(spark, sf_dir, "pages"))
 
 

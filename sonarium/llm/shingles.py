@@ -50,23 +50,26 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(data: np.ndarray, separators: np.ndarray = SPACE) -> np.ndarray:
-    """The hashes of the words of one text (bytes), with A-Z in lower case."""
+def placed_words(data: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of one text (bytes), with A-Z in lower case, and where they start."""
     if len(data) <= PIECE:
-        return _words(data, separators)
-    found, at = [], 0
+        return _spans(data, separators, None)
+    found, starts, at = [], [], 0
     while at < len(data):
         end = min(at + PIECE, len(data))
         while end < len(data) and not separators[data[end]]:
             stop = np.flatnonzero(separators[data[end : end + PIECE]])
             end = end + int(stop[0]) if len(stop) else min(end + PIECE, len(data))
-        found.append(_words(data[at:end], separators))
+        hashes, first = _spans(data[at:end], separators, None)
+        found.append(hashes)
+        starts.append(first + at)
         at = end
-    return np.concatenate(found)
+    return np.concatenate(found), np.concatenate(starts)
 
 
-def _words(data: np.ndarray, separators: np.ndarray) -> np.ndarray:
-    return _spans(data, separators, None)[0]
+def word_hashes(data: np.ndarray, separators: np.ndarray = SPACE) -> np.ndarray:
+    """The hashes of the words of one text (bytes), with A-Z in lower case."""
+    return placed_words(data, separators)[0]
 
 
 def _spans(data: np.ndarray, separators: np.ndarray, breaks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,8 @@
 """Plain versions of what the operators compute."""
 
 import re
+from collections import defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,3 +76,97 @@ def spans(t):
     t = t or ""
     found = sorted((m.start(), i, k, m.end()) for i, (k, p) in enumerate(KINDS.items()) if NEEDS[k] in t for m in re.finditer(p, t) if _valid(k, m.group()))
     return ",".join(f"{k}:{s}:{e}" for s, _, k, e in found)
+
+
+def boilerplate(pages, run, copies=None):
+    """pages: lists of (kind, text), kind m(ain), c(hrome) or o(pen): for each page, whether its words are boilerplate."""
+    copies = list(range(len(pages))) if copies is None else copies
+    said, short, streams = defaultdict(set), defaultdict(set), []
+    for copy, page in zip(copies, pages, strict=True):
+        words, kinds, stretch = [], [], []
+        for i, (kind, text) in enumerate(page):
+            own = lower(text).split(" ")
+            stretch += [len(set(stretch)) + 1 if not kinds or kinds[-1] != kind else stretch[-1]] * len(own)
+            words += [(w, i) for w in own]
+            kinds += [kind] * len(own)
+            if kind == "o" and len(own) < run:
+                short[tuple(own)].add(copy)
+        runs = [(i, tuple(w for w, _ in words[i : i + run])) for i in range(len(words) - run + 1) if stretch[i] == stretch[i + run - 1]]
+        for i, r in runs:
+            said[r].add((kinds[i], copy))
+        streams.append((words, kinds, runs))
+    out = []
+    for page, (words, kinds, runs) in zip(pages, streams, strict=True):
+        sure, maybe, stays = [set(), set(), set()]
+        for i, r in runs:
+            main = {c for k, c in said[r] if k == "m"}
+            chrome = any(k == "c" for k, _ in said[r])
+            if len({c for _, c in said[r]}) > 1 and kinds[i] != "c":
+                goes = chrome and len(main) > 1 if kinds[i] == "m" else chrome
+                (sure if goes else stays if main else maybe).update(range(i, i + run))
+        gone = [j in sure or j in maybe and j not in stays for j in range(len(words))]
+        for j, (_, i) in enumerate(words):
+            own = tuple(lower(page[i][1]).split(" "))
+            gone[j] |= page[i][0] == "o" and len(own) < run and len(short[own]) > 1
+        out.append(gone)
+    return out
+
+
+def main_text(page, gone, little):
+    words = [(k, w) for k, t in page for w in t.split(" ")]
+    kept = [(k, w) for (k, w), g in zip(words, gone, strict=True) if not g]
+    main = [w for k, w in kept if k == "m"]
+    return " ".join(main if main and len(main) >= little * sum(k != "c" for k, _ in kept) else [w for k, w in kept if k != "c"])
+
+
+class _Blocks(HTMLParser):
+    """Blocks of the plain pages of the test tables: what stands in an article is main, in a few other elements chrome."""
+
+    INLINE = set("a b i em strong span small sup sub code".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found, self.held = [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.held).split())
+        self.held = []
+        chrome = any(t in ("head", "nav", "footer", "aside", "form") or "class=ad" in t or t == "header" and "article" not in self.open[:i] for i, t in enumerate(self.open))
+        if text:
+            self.found.append(("c" if chrome else "m" if "article" in self.open else "o", text))
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.held.append(" ")
+        elif tag not in self.INLINE:
+            self.flush()
+            if tag not in ("meta", "link", "img", "hr", "input"):
+                names = dict(attrs).get("class") or dict(attrs).get("id") or ""
+                self.open.append(tag + (" class=ad" if tag == "div" and re.search(r"\b(ad|cookie|comments?|sidebar|newsletter|related|share|menu)\b", names) else ""))
+
+    def handle_endtag(self, tag):
+        names = [t.split(" ")[0] for t in self.open]
+        if tag not in self.INLINE and tag in names:
+            self.flush()
+            del self.open[len(names) - 1 - names[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not self.open or self.open[-1] not in ("script", "style", "title"):
+            self.held.append(data)
+
+
+def main_texts(rows, run, little):
+    """page_id to main text; rows: (page_id, url, html)."""
+    hosts, out = defaultdict(list), {}
+    for i, url, page in rows:
+        parser = _Blocks()
+        parser.feed(page or "")
+        parser.close()
+        parser.flush()
+        host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
+        hosts[re.sub("^.*@|:[0-9]*$", "", host[1].lower()) if host else ""].append((i, parser.found))
+    for pages in hosts.values():
+        copies = [" ".join(t for k, t in p if k != "c") for _, p in pages]
+        for (i, page), gone in zip(pages, boilerplate([p for _, p in pages], run, copies), strict=True):
+            out[i] = main_text(page, gone, little)
+    return out

@@ -5,7 +5,6 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
-import numpy as np
 import pytest
 
 from sonarium.llm import common, components, decontaminate, html, neardup, packing, warc
@@ -224,54 +223,78 @@ def test_blocks_of_a_page():
     assert html.blocks("a < b <3 <")[1] == [(html.OPEN, "a < b <3 <")]
 
 
-def test_covered_equals_brute_force():
+def stream(pages):
+    """pages: lists of (kind, text)."""
+    return html.part(["\n".join(t for _, t in p).encode() for p in pages], ["".join(k for k, _ in p) for p in pages])
+
+
+def test_boilerplate_equals_brute_force():
     rng = random.Random(4)
-    for _ in range(30):
-        pages = [[rng.choice("abc") for _ in range(rng.randrange(30))] for _ in range(rng.randrange(1, 5))]
+    for _ in range(60):
         run = rng.choice([1, 3, 5])
-        got = html.covered(pages, run)
-        grams = [{tuple(p[i : i + run]) for i in range(len(p) - run + 1)} for p in pages]
-        for n, p in enumerate(pages):
-            want = np.zeros(len(p), bool)
-            for i in range(len(p) - run + 1):
-                if any(tuple(p[i : i + run]) in g for m, g in enumerate(grams) if m != n):
-                    want[i : i + run] = True
-            assert got[n].tolist() == want.tolist()
+        pages = [[(rng.choice("mco"), " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12)))) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(1, 5))]
+        p = stream(pages)
+        got = html.boilerplate(p, run)
+        want = brute.boilerplate(pages, run)
+        assert got.tolist() == [x for page in want for x in page], pages
+        assert html.texts_of(p, got) == [brute.main_text(page, gone, html.LITTLE) for page, gone in zip(pages, want, strict=True)]
 
 
 def test_boilerplate_goes_where_main_is_not_marked(spark):
     shared = " ".join(f"s{i}" for i in range(20))
     own = [" ".join(f"p{n}w{i}" for i in range(9)) for n in range(6)]
-    pages = [(n, "http://h.example/x", f"<div>{shared}</div><p>{own[n]}</p>", "c") for n in range(6)] + [(9, None, None, "c"), (10, "http://other.example", f"<p>{shared}</p>", "c"), (None, "http://h.example", PAGE, "c")]
+    menu = "<div><div>Home</div><div>About us</div><div>Contact</div></div>"
+    pages = [(n, "http://h.example/x", f"{menu}<div>{shared}</div><p>{own[n]}</p><div>All rights reserved</div>", "c") for n in range(6)]
+    pages += [(9, None, None, "c"), (9, None, None, "c"), (10, "http://other.example", f"<p>{shared}</p>", "c"), (None, "http://h.example", PAGE, "c")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
-    got = {r.page_id: r.text for r in html.extract(df).collect()}
-    assert got == {n: own[n] for n in range(6)} | {9: "", 10: shared, None: "Head & more by me one two three four"}
+    for part_bytes in (html.PART_BYTES, 500):
+        rows = html.extract(df, part_bytes=part_bytes).collect()
+        assert len(rows) == len(pages)
+        assert {r.page_id: r.text for r in rows} == {n: own[n] for n in range(6)} | {9: "", 10: shared, None: "Head & more by me one two three four"}
     assert html.extract(df.limit(0)).count() == 0
 
 
-def test_boilerplate_goes_from_marked_pages(spark):
+def test_markup_is_confirmed_and_overruled(spark):
     words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
-    notice = words("notice", 20)
-    pages = [(n, f"<article><p>{words(f'own{n}w', 30)}</p><p>{notice}</p></article>", words(f"own{n}w", 30)) for n in range(4)]
-    copy = f"<main><p>{words('copied', 60)}</p></main>"
-    pages += [(n, f"{copy}<div>{words(f'rest{n}w', 10)}</div>", words("copied", 60)) for n in (4, 5)]
-    pages += [(n, f"<div>{words('plain', 40)}</div>", words("plain", 40)) for n in (6, 7)]
-    pages += [(8, f"<article>teaser only</article><p>{words('body', 50)}</p><p>{notice}</p>", "teaser only " + words("body", 50))]
+    notice, teaser, quote = words("notice", 20), words("teaser", 20), words("quote", 20)
+    # a notice that one page marks as such; a teaser of one article in the sidebars of others; prose that two articles share
+    pages = [(0, f"<article><p>{words('own0w', 30)}</p></article><aside>{notice}</aside><aside>{teaser}</aside>", words("own0w", 30))]
+    pages += [(n, f"<article><p>{words(f'own{n}w', 30)}</p><p>{notice}</p></article><aside>{teaser}</aside>", words(f"own{n}w", 30)) for n in (1, 2)]
+    pages += [(3, f"<article><p>{teaser}</p><p>{words('own3w', 30)}</p></article>", f"{teaser} {words('own3w', 30)}")]
+    pages += [(n, f"<article><p>{words(f'own{n}w', 30)}</p><p>{quote}</p></article>", f"{words(f'own{n}w', 30)} {quote}") for n in (4, 5)]
+    # unmarked: the notice and what only open blocks share go, prose of an article stays
+    pages += [(n, f"<div>{notice}</div><div>{words(f'own{n}w', 30)}</div><div>{quote}</div><div>{words('foot', 18)}</div>", f"{words(f'own{n}w', 30)} {quote}") for n in (6, 7)]
+    # copies count as one page; a marked teaser is too little
+    pages += [(n, f"<div>{words('plain', 40)}</div>", words("plain", 40)) for n in (8, 9)]
+    pages += [(10, f"<article>teaser only</article><p>{words('body', 50)}</p><p>{notice}</p>", "teaser only " + words("body", 50))]
     df = spark.createDataFrame([(n, "http://h.example/x", h) for n, h, _ in pages], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html.extract(df).collect()}
-    assert got == {n: want for n, _, want in pages}
+    for part_bytes in (html.PART_BYTES, 600):
+        got = {r.page_id: r.text for r in html.extract(df, part_bytes=part_bytes).collect()}
+        assert got == {n: want for n, _, want in pages}
 
 
 def test_parts_of_a_host_change_nothing(spark):
-    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
-    pages = [(n, "http://h.example/x", f"<p>{words(f'own{n}w', 30)}</p><p>{words(f'pair{n // 2}w', 20)}</p>") for n in range(40)]
-    pages += [(n, "http://h.example/x", f"<p>{words('copied', 40)}</p>") for n in (40, 41)]
+    rng = random.Random(12)
+    lines = [" ".join(f"{c}{i}" for i in range(rng.choice([2, 16, 25]))) for c in "abcdefgh"]
+    own = lambda n: " ".join(f"own{n}w{i}" for i in range(30))
+    tags = ["<article><p>{}</p></article>", "<div>{}</div>", "<aside>{}</aside>"]
+    pages = [(n, "http://h.example/x", "".join(rng.choice(tags).format(rng.choice(lines)) for _ in range(4)) + f"<p>{own(n)}</p>") for n in range(80)]
+    pages += [(n, "http://h.example/y", "<p>" + "long " * 60_000 + "</p>") for n in (80, 81)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    want = {n: words(f"own{n}w", 30) for n in range(40)} | {n: words("copied", 40) for n in (40, 41)}
-    for part_bytes in (html.PART_BYTES, 1000):
+    want = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert len(want) == len(pages) and len(want[80]) == 5 * 60_000 - 1
+    for part_bytes in (300, 3000):
         assert {r.page_id: r.text for r in html.extract(df, part_bytes=part_bytes).collect()} == want
 
 
+def test_html_query_equals_a_plain_extractor(spark, sf_dir):
+    rows = [(r.page_id, r.url, r.html) for r in common.table(spark, sf_dir, "pages").collect()]
+    want = brute.main_texts(rows, html.RUN, html.LITTLE)
+    got = html.op9_host_suffix_array(spark, sf_dir).collect()
+    assert sorted((r.page_id, r.url, r.text) for r in got) == sorted((i, u, want[i]) for i, u, _ in rows)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 # pipeline
 
 
