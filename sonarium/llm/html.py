@@ -19,17 +19,19 @@ Open blocks of fewer than RUN tokens go if the same block stands on another
 page. Where a page marks its main content, open blocks count only if the marked
 part is LITTLE of the text. Pages of equal main and open text count as one page.
 
+A run matters only if it stands in a chrome or open block somewhere. So the main
+part of a page sends to its host's suffix array only the stretches of which a
+fingerprint is that of a chrome or open run: the fingerprint of a run is the
+least hash of its GRAM-token windows, equal for equal runs, and a filter of at
+most MOST_BITS bits tells which there are. Chance hits send more, never less.
+
 The suffix array is built by prefix doubling up to RUN tokens, so neighbours of
 equal rank are exactly the suffixes with a common prefix of that length. Hosts
 are dealt out in parts of about PART_BYTES of text, and what repeats between the
-parts of a host is exchanged in two steps, which change no result:
-
-1. The least hash of the GRAM-token windows inside a run is its fingerprint.
-   Equal runs have equal ones, and neighbouring runs mostly share theirs, so a
-   part has far fewer fingerprints than tokens. Parts list them, each once.
-2. For fingerprints that two parts list, the parts list their runs, with the
-   least and greatest page of each and what markup says; the parts get back
-   what holds for the host as a whole.
+parts of a host is exchanged in two steps, which change no result: parts list
+the fingerprints of their runs, each once; for those that two parts list, they
+list their runs, with the least and greatest page of each and what markup says,
+and get back what holds for the host as a whole.
 """
 
 from __future__ import annotations
@@ -51,8 +53,10 @@ from .urlfilter import host_of
 
 RUN, GRAM, PART_BYTES = 16, 6, 1_000_000
 LITTLE = 0.25
-#: What a page weighs besides its text, so that empty pages are dealt out too.
+#: What a page weighs besides its text.
 PAGE_BYTES = 64
+#: The filter has FILTER_X bits for each fingerprint, but not more than MOST_BITS.
+FILTER_X, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 MAIN, CHROME, OPEN = "m", "c", "o"
 _BITS = np.zeros(128, np.int64)
 _BITS[[ord(MAIN), ord(CHROME), ord(OPEN)]] = IS_MAIN, IS_CHROME, IS_OPEN = 1, 2, 4
@@ -162,10 +166,11 @@ class Part:
     texts: list[bytes]
     kinds: list[str]
     copies: np.ndarray
-    #: Of the tokens: hash, page, block (counted over all pages) and place in the stream.
+    #: Of the tokens: hash, page, block (counted over all pages), position in the page and place in the stream.
     hashes: np.ndarray
     page: np.ndarray
     block: np.ndarray
+    position: np.ndarray
     at: np.ndarray
     length: int
     #: Of the blocks: page and kind; an empty page has one block of no kind.
@@ -179,8 +184,8 @@ class Part:
         return out
 
 
-def part(texts: list[bytes], kinds: list[str], copies: list[int] | None = None) -> Part:
-    """texts: the blocks of each page, one a line; kinds: a letter for each block; pages of equal copies count as one."""
+def part(texts: list[bytes], kinds: list[str], copies: list[int] | None = None, firsts: list[np.ndarray] | None = None) -> Part:
+    """texts: the blocks of each page, one a line; kinds: a letter for each block; pages of equal copies count as one; firsts: the position of each block's first token, where blocks are left out."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     hashes, first = shingles.placed_words(data)
     block = np.searchsorted(np.flatnonzero(data == 10), first)
@@ -188,11 +193,15 @@ def part(texts: list[bytes], kinds: list[str], copies: list[int] | None = None)
     block_page = np.repeat(np.arange(len(kinds)), lines)
     block_kind = _BITS[np.frombuffer("".join(k or "\0" for k in kinds).encode(), np.uint8)]
     page, kind = block_page[block], block_kind[block]
+    if firsts is None:
+        position = np.arange(len(block)) - np.searchsorted(page, page)
+    else:
+        position = np.concatenate([np.zeros(0, np.int64), *(f if len(f) else [0] for f in firsts)])[block] + np.arange(len(block)) - np.searchsorted(block, block)
     new = np.ones(len(block), bool)
-    new[1:] = (page[1:] != page[:-1]) | (kind[1:] != kind[:-1])
+    new[1:] = (page[1:] != page[:-1]) | (kind[1:] != kind[:-1]) | (position[1:] != position[:-1] + 1)
     at = np.arange(len(block)) + np.cumsum(new) - 1
     own = np.arange(len(texts)) if copies is None else np.array(copies, np.int64)
-    return Part(texts, kinds, own, hashes, page, block, at, len(block) + int(new.sum()), block_page, block_kind)
+    return Part(texts, kinds, own, hashes, page, block, position, at, len(block) + int(new.sum()), block_page, block_kind)
 
 
 def _classes(p: Part, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -329,45 +338,104 @@ def boilerplate(p: Part, run: int = RUN, known: dict[str, np.ndarray] | None = N
     return covered(of_main & said["overruled"]) | covered(of_open & said["chrome"]) | (covered(of_open & said["bare"]) & ~covered(of_open & said["confirmed"])) | gone[p.block]
 
 
-def texts_of(p: Part, cover: np.ndarray) -> list[str]:
-    """The main text of each page."""
-    kinds = p.block_kind[p.block]
-    count = lambda mask: np.bincount(p.page[mask], minlength=len(p.texts))
-    main, open_ = count((kinds == IS_MAIN) & ~cover), count((kinds == IS_OPEN) & ~cover)
-    with_open = ~((main > 0) & (main >= LITTLE * (main + open_)))
-    touched = count(cover & (kinds != IS_CHROME)) > 0
-    starts = np.searchsorted(p.page, np.arange(len(p.texts) + 1))
-    out = []
-    for i, (raw, letters) in enumerate(zip(p.texts, p.kinds, strict=True)):
-        wanted = MAIN + OPEN if with_open[i] else MAIN
-        lines = raw.decode().split("\n") if letters else []
-        if touched[i]:
-            kept = (~cover[starts[i] : starts[i + 1]]).tolist()
-            words = [(k, w) for k, line in zip(letters, lines, strict=True) for w in line.split(" ")]
-            out.append(" ".join(w for (k, w), stays in zip(words, kept, strict=True) if stays and k in wanted))
-        else:
-            out.append(" ".join(line for k, line in zip(letters, lines, strict=True) if k in wanted))
-    return out
+def main_text(raw: bytes, letters: str, gone: np.ndarray | None = None) -> str:
+    """The main text of a page from its blocks (one a line), their kinds and which of its tokens are boilerplate."""
+    lines = raw.decode().split("\n") if letters else []
+    if gone is not None and gone.any():
+        words = [(k, w) for k, line in zip(letters, lines, strict=True) for w in line.split(" ")]
+        kept = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
+    else:
+        kept = list(zip(letters, lines, strict=True))
+    count = lambda kind: sum(x.count(" ") + 1 for k, x in kept if k == kind)
+    main = count(MAIN)
+    wanted = MAIN if main and main >= LITTLE * (main + count(OPEN)) else MAIN + OPEN
+    return " ".join(x for k, x in kept if k in wanted)
+
+
+def texts_of(p: Part, gone: np.ndarray) -> list[str]:
+    """The main text of each page of a part that holds whole pages."""
+    ends = np.searchsorted(p.page, np.arange(len(p.texts) + 1))
+    return [main_text(raw, k, gone[a:b]) for raw, k, a, b in zip(p.texts, p.kinds, ends[:-1], ends[1:], strict=True)]
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, page_id, url, host, html) to the same with packed blocks, their kinds, size and copy for html; copy is equal for equal main and open text."""
+    """(rid, page_id, url, host, html) to the same with packed blocks, their kinds and copy for html; copy is equal for equal main and open text."""
     for batch in batches:
-        packed, kinds, sizes, copies = [], [], [], []
+        packed, kinds, copies = [], [], []
         for page in batch.column(4):
             found = blocks(page.as_py())[1]
-            text = "\n".join(t for _, t in found).encode("utf-8", "replace")  # blocks hold no line ends
-            packed.append(zlib.compress(text, 1))
+            packed.append(zlib.compress("\n".join(t for _, t in found).encode("utf-8", "replace")))  # blocks hold no line ends
             kinds.append("".join(k for k, _ in found))
-            sizes.append(len(text) + PAGE_BYTES)
             content = " ".join(t for k, t in found if k != CHROME)
             copies.append(int.from_bytes(hashlib.blake2b(content.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
-        new = [pa.array(packed, pa.binary()), pa.array(kinds, pa.string()), pa.array(sizes, pa.int64()), pa.array(copies, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=["rid", "page_id", "url", "host", "packed", "kinds", "size", "copy"])
+        new = [pa.array(packed, pa.binary()), pa.array(kinds, pa.string()), pa.array(copies, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=["rid", "page_id", "url", "host", "packed", "kinds", "copy"])
+
+
+def _runs(batch: pa.RecordBatch, run: int) -> tuple[Part, np.ndarray, np.ndarray, np.ndarray]:
+    """(the pages (host, packed, kinds) as a part, places of runs, their fingerprints mixed with the host, their kinds)."""
+    p = part([zlib.decompress(x) for x in batch.column("packed").to_pylist()], batch.column("kinds").to_pylist())
+    places = _whole(p, run)
+    hosts = np.array([zlib.crc32((h or "").encode()) for h in batch.column("host").to_pylist()], np.uint64)
+    prints = _fingerprints(p, run, places).view(np.uint64) ^ shingles.mix(p.spread(hosts[p.page])[places])
+    return p, places, prints, p.spread(p.block_kind[p.block])[places]
+
+
+def _asked_prints(run: int):
+    """(host, packed, kinds) to the fingerprints of chrome and open runs."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, prints, kinds = _runs(batch, run)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(prints[kinds != IS_MAIN]).view(np.int64))], names=["print"])
+
+    return listed
+
+
+def _sent(run: int, bits):
+    """(rid, host, packed, kinds, copy) to the pages as their host's suffix array needs them: chrome and open blocks, and stretches of main whose fingerprints are in the filter. Pages without chrome and open blocks, and without such stretches, send nothing."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+        for batch in batches:
+            p, places, prints, kinds = _runs(batch, run)
+            hit = places[(kinds == IS_MAIN) & (on[prints & np.uint64(len(on) - 1)] == 1)]
+            cover = np.zeros(p.length + run + 1, np.int64)
+            cover[hit] += 1
+            cover[hit + run] -= 1
+            wanted = (np.cumsum(cover)[p.at] > 0) | (p.block_kind[p.block] != IS_MAIN)
+            ends = np.searchsorted(p.page, np.arange(len(p.texts) + 1))
+            rows, packed, letters, firsts, sizes = [], [], [], [], []
+            for i in range(len(p.texts)):
+                here = np.flatnonzero(wanted[ends[i] : ends[i + 1]]) + ends[i]
+                if not len(here):
+                    continue
+                # pieces: tokens that follow one another in a block
+                cuts = np.flatnonzero((np.diff(here) != 1) | (np.diff(p.block[here]) != 0)) + 1
+                first, last = here[np.append(0, cuts)], here[np.append(cuts, len(here)) - 1]
+                starts = np.searchsorted(p.block, p.block[first])
+                lines, base = p.texts[i].decode().split("\n"), int(np.searchsorted(p.block_page, i))
+                text = []
+                for a, b, s in zip(first.tolist(), last.tolist(), starts.tolist(), strict=True):
+                    line = lines[p.block[a] - base]
+                    text.append(" ".join(line.split(" ")[a - s : b - s + 1]) if p.block_kind[p.block[a]] == IS_MAIN else line)
+                data = "\n".join(text).encode()
+                rows.append(i)
+                packed.append(zlib.compress(data))
+                letters.append("".join(p.kinds[i][p.block[a] - base] for a in first.tolist()))
+                firsts.append((first - ends[i]).astype(np.int32).tobytes())
+                sizes.append(len(data) + PAGE_BYTES)
+            some = batch.take(pa.array(rows, pa.int64()))
+            columns = [some.column(n) for n in ("rid", "page_id", "url", "host", "copy", "marked")]
+            new = [pa.array(packed, pa.binary()), pa.array(letters, pa.string()), pa.array(firsts, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *new], names=["rid", "page_id", "url", "host", "copy", "marked", "packed", "kinds", "firsts", "size"])
+
+    return send
 
 
 def _part(group: pa.Table) -> Part:
-    return part([zlib.decompress(x) for x in group["packed"].to_pylist()], group["kinds"].to_pylist(), group["copy"].to_pylist())
+    firsts = [np.frombuffer(x, np.int32) for x in group["firsts"].to_pylist()]
+    return part([zlib.decompress(x) for x in group["packed"].to_pylist()], group["kinds"].to_pylist(), group["copy"].to_pylist(), firsts)
 
 
 def _listed(group: pa.Table, columns: dict[str, np.ndarray]) -> pa.Table:
@@ -406,16 +474,48 @@ def _listed_runs(run: int):
     return listed
 
 
-def _main_texts(run: int):
-    """A part of a host, and what the host says about its runs, to (page_id, url, text) for its pages."""
+def _judged(run: int):
+    """A part of a host, and what the host says about its runs, to (rid, page_id, url, text, gone): the text of pages that mark no main content, and which tokens go from others."""
 
-    def keep(group: pa.Table, known: pa.Table) -> pa.Table:
+    def judge(group: pa.Table, known: pa.Table) -> pa.Table:
         p = _part(group)
         order = np.argsort(known["run"].to_numpy())
-        told = {n: np.asarray(known[n])[order] for n in ("run", *TOLD)}
-        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(texts_of(p, boilerplate(p, run, told)), pa.string())})
+        gone = boilerplate(p, run, {n: np.asarray(known[n])[order] for n in ("run", *TOLD)})
+        ends = np.searchsorted(p.page, np.arange(len(p.texts) + 1))
+        texts, cuts = [], []
+        for raw, kinds, a, b in zip(p.texts, p.kinds, ends[:-1], ends[1:], strict=True):
+            marked = bool(group["marked"][len(texts)].as_py())
+            cut = p.position[a:b][gone[a:b]].astype(np.int32)
+            texts.append(None if marked else main_text(raw, kinds, gone[a:b]))
+            cuts.append(cut.tobytes() if marked and len(cut) else None)
+        return pa.table({"rid": group["rid"], "page_id": group["page_id"], "url": group["url"], "text": pa.array(texts, pa.string()), "gone": pa.array(cuts, pa.binary())})
 
-    return keep
+    return judge
+
+
+def _marked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, packed, kinds, gone) to (page_id, url, text)."""
+    for batch in batches:
+        out = []
+        for packed, kinds, cut in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            raw, gone = zlib.decompress(packed), None
+            if cut is not None:
+                gone = np.zeros(raw.count(b" ") + raw.count(b"\n") + 1, bool)
+                gone[np.frombuffer(cut, np.int32)] = True
+            out.append(main_text(raw, kinds, gone))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+
+def _filter(prints: DataFrame):
+    """A broadcast filter with a bit on for each of the prints: at most MOST_BITS / 32768 rows come to the driver, whatever the input."""
+    n = prints.agg(F.approx_count_distinct("print")).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (FILTER_X * n).bit_length()))
+    bit = F.col("print").bitwiseAND(F.lit(bits - 1))
+    maps = prints.groupBy(F.shiftright(bit, 15).alias("at")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("map"))
+    out = bytearray(bits // 8)
+    for r in maps.toLocalIterator():
+        out[r.at * 4096 : (r.at + 1) * 4096] = r.map
+    return prints.sparkSession.sparkContext.broadcast(bytes(out))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", run: int = RUN, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -429,13 +529,18 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
     kinds = {c: pages.select(c).schema[0].dataType.simpleString() for c in (page_id, url)}
     ids = f"page_id {kinds[page_id]}, url {kinds[url]}"
     own = [F.col(page_id).alias("page_id"), F.col(url).alias("url")]
-    # rid only deals rows out; it is read from the table that holds it
+    # rid is only ever read from the table that holds it
     read = pages.select(F.monotonically_increasing_id().alias("rid"), *own, F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(body).alias("html"))
-    streams = common.written(read.mapInArrow(_streams, f"rid long, {ids}, host string, packed binary, kinds string, size long, copy long"), "page-streams")
-    sizes = streams.groupBy("host").agg(F.ceil(F.sum("size") / part_bytes).cast("long").alias("parts")).where("parts > 1")
+    streams = common.written(read.mapInArrow(_streams, f"rid long, {ids}, host string, packed binary, kinds string, copy long"), "page-streams")
+    marked = F.contains("kinds", F.lit(MAIN)) | ~F.contains("kinds", F.lit(OPEN))
+    beside = streams.where(F.col("kinds").rlike(f"[{CHROME}{OPEN}]"))
+    asked = common.written(beside.select("host", "packed", "kinds").mapInArrow(_asked_prints(run), "print long"), "asked-prints")
+    sent = streams.withColumn("marked", marked).mapInArrow(_sent(run, _filter(asked)), f"rid long, {ids}, host string, copy long, marked boolean, packed binary, kinds string, firsts binary, size long")
+    sent = common.written(sent, "sent-streams")
+    sizes = sent.groupBy("host").agg(F.ceil(F.sum("size") / part_bytes).cast("long").alias("parts")).where("parts > 1")
     large = common.written(sizes.select("host", "parts", F.monotonically_increasing_id().alias("hid")), "large-hosts")
-    dealt = streams.join(large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("parts")), F.lit(0)))
-    several = dealt.where("hid IS NOT NULL").select("hid", "part", "packed", "kinds", "copy")
+    dealt = sent.join(large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("parts")), F.lit(0)))
+    several = dealt.where("hid IS NOT NULL").select("hid", "part", "packed", "kinds", "copy", "firsts")
     prints = several.groupBy("hid", "part").applyInArrow(_listed_fingerprints(run), "hid long, part long, print long")
     # a part lists a key once, so that a window holds no more rows than the host has parts
     same = Window.partitionBy("hid", "print")
@@ -446,9 +551,14 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
     told = runs.select("hid", "part", "run", *(f(c).over(of_run).alias(c) for c, f in whole.items())).where("low <> high")
     flags = [x.alias(n) for n, x in _told({c: F.col(c) for c in whole}).items()]
     known = told.select("hid", "part", "run", *flags).join(large.select("hid", "host"), "hid").select("host", "part", "run", *TOLD)
-    pages_ = dealt.select("host", "part", "page_id", "url", "packed", "kinds", "copy")
-    texts = pages_.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInArrow(_main_texts(run), f"{ids}, text string")
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    mine = dealt.select("host", "part", "rid", "page_id", "url", "packed", "kinds", "copy", "firsts", "marked")
+    judged = mine.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInArrow(_judged(run), f"rid long, {ids}, text string, gone binary")
+    judged = common.written(judged.where("text IS NOT NULL OR gone IS NOT NULL"), "judged-pages")
+    gone = judged.where("gone IS NOT NULL").select("rid", "gone")
+    rest = streams.where(marked).select("rid", "page_id", "url", "packed", "kinds")
+    rest = rest.withColumn("gone", F.lit(None).cast("binary")) if gone.isEmpty() else rest.join(gone, "rid", "left")
+    texts = rest.select("page_id", "url", "packed", "kinds", "gone").mapInArrow(_marked_texts, f"{ids}, text string")
+    return texts.unionByName(judged.where("text IS NOT NULL").select("page_id", "url", "text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
