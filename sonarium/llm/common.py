@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,17 +17,23 @@ SEPARATORS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
 _OWN_DIR = "sonarium.checkpoint.dir"
+#: Rows of keys (a few numbers each) up to which a side is broadcast; larger sides are shuffled. Both give the same rows.
+FEW_KEYS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in spark.checkpoint.dir; only where that is
-    unset (local mode, as in tests) is a temporary folder made.
+    It is what the cluster names in spark.checkpoint.dir. Only in local mode, as
+    in tests, is a temporary folder made where that is unset; elsewhere a
+    machine's own folder would lose rows, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sonarium-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
         spark.conf.set(_OWN_DIR, named)
     return named.rstrip("/")
 
@@ -38,14 +47,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
 
 
-def drop_shared(spark: SparkSession, df_path: str) -> None:
-    """Remove a table of the shared folder by its path."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that written made and that no plan reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, most: int = FEW_KEYS) -> DataFrame:
+    """df, a written table of keys, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

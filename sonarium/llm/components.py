@@ -35,8 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _state(now)
     while before[0]:
-        now = common.written(_star(_star(now, True), False), "stars")
+        last, now = now, common.written(_star(_star(now, True), False), "stars")
         after = _state(now)
+        common.dropped(last)
         if after == before:
             break
         before = after

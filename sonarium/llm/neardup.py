@@ -21,8 +21,10 @@ of similarity 0.8 share no key with a chance of 6 in 10000, of 0.85 with 7 in
    capped; a block task returns at most a spanning forest of the links it finds.
 
 Shingle sets are made again, only for classes in buckets, when links are
-confirmed: a filter of FILTER_BITS bits, a fixed size, tells which rows these
-could be.
+confirmed: a filter, of at most MOST_BITS bits whatever the input, tells which
+rows these could be. Nothing depends on how the source is split: rows are known
+by hashes of id and text, and numbers of classes are read from the table that
+holds them.
 """
 
 from __future__ import annotations
@@ -32,20 +34,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, shingles
 from .components import components
 
-SIDE, ROWS, PERCENT, SMALL, BLOCK, FILTER_BITS = 8, 2, 80, 16, 256, 1 << 23
+SIDE, ROWS, PERCENT, SMALL, BLOCK, LEAST_BITS, MOST_BITS = 8, 2, 80, 16, 256, 1 << 23, 1 << 27
 #: Pairs of a block up to which sets are compared one by one; more are counted as a product of matrices, so many columns at a time.
 FEW, COLUMNS = 512, 8192
 _BITMAP = 1 << 15
 
 
+def _prints(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A fingerprint of each set: two sums over its hashes, and its size."""
+    sizes = np.diff(bounds)
+    full = np.flatnonzero(sizes)
+    both = np.zeros((len(sizes), 2), np.uint64)
+    if len(full):
+        both[full, 0] = np.add.reduceat(shingles.mix(sets), bounds[full])
+        both[full, 1] = np.add.reduceat(shingles.mix(sets ^ np.uint64(shingles._STEP)), bounds[full])
+    return [bytes(x) for x in np.concatenate((both, sizes[:, None].astype(np.uint64)), axis=1)]
+
+
 def _signatures(k: int, side: int, rows: int):
-    """Arrow batches (rid, id, text) to (rid, id, n, fp, halves); the halves of an empty set are null."""
+    """Arrow batches (row, id, text) to (row, id, n, fp, halves); the halves of an empty set are null."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,32 +70,29 @@ def _signatures(k: int, side: int, rows: int):
                 for j in range(1, rows):
                     keys = shingles.mix(keys * np.uint64(shingles._MIX2) ^ minima[:, :, j])
                 sizes = np.diff(bounds)
-                full = np.flatnonzero(sizes)
-                both = np.zeros((len(sizes), 2), np.uint64)
-                if len(full):
-                    both[full, 0] = np.add.reduceat(shingles.mix(sets), bounds[full])
-                    both[full, 1] = np.add.reduceat(shingles.mix(sets ^ np.uint64(shingles._STEP)), bounds[full])
                 n += sizes.tolist()
-                prints += [bytes(x) for x in np.concatenate((both, sizes[:, None].astype(np.uint64)), axis=1)]
+                prints += _prints(sets, bounds)
                 halves += [x if s else None for x, s in zip(keys.view(np.int64).tolist(), sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], names=["rid", "id", "n", "fp", "halves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], names=["row", "id", "n", "fp", "halves"])
 
     return sign
 
 
-def _sets(k: int, bits: np.ndarray):
-    """Arrow batches (rid, bit, text) to (node, set) for the rows whose bit is on; a set is its sorted 64-bit hashes."""
+def _sets(k: int, bits):
+    """Arrow batches (row, text) to (row, fp, set) for the rows that the filter has; a set is its sorted 64-bit hashes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
         for batch in batches:
-            on = np.flatnonzero(np.unpackbits(bits, bitorder="little")[np.asarray(batch.column(1))])
+            on = np.flatnonzero(wanted[np.asarray(batch.column(0)) & (len(wanted) - 1)])
             for at in range(0, len(on), 256):
                 some = batch.take(pa.array(on[at : at + 256]))
-                out = []
-                for _, words, before in shingles.batch_words(some.column(2)):
+                out, prints = [], []
+                for _, words, before in shingles.batch_words(some.column(1)):
                     sets, bounds = shingles.distinct(*shingles.shingles(words, before, k))
                     out += [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.binary())], names=["node", "set"])
+                    prints += _prints(sets, bounds)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(prints, pa.binary()), pa.array(out, pa.binary())], names=["row", "fp", "set"])
 
     return make
 
@@ -175,34 +185,40 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "v").join(right, "u").select("u", "v", "set_u", "set_v")
 
 
-def _bits_of(nodes: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, on for the nodes: at most FILTER_BITS / 32768 rows come to the driver, whatever the input."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    rows = nodes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(_BITMAP - 1))).alias("map")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        bits[r.at * _BITMAP // 8 : (r.at + 1) * _BITMAP // 8] = np.frombuffer(bytes(r.map), np.uint8)
-    return bits
+def _bits_of(rows: DataFrame):
+    """A broadcast filter with a bit on for each of the row hashes: at most MOST_BITS / 32768 rows come to the driver, whatever the input."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * rows.count()).bit_length()))
+    bit = F.col("row").bitwiseAND(F.lit(bits - 1))
+    maps = rows.groupBy(F.shiftright(bit, 15).alias("at")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(_BITMAP - 1))).alias("map"))
+    out = bytearray(bits // 8)
+    for r in maps.toLocalIterator():
+        out[r.at * _BITMAP // 8 : (r.at + 1) * _BITMAP // 8] = r.map
+    return rows.sparkSession.sparkContext.broadcast(bytes(out))
+
+
+def row_hash(row_id: Column, text: Column) -> Column:
+    """What a row is known by, besides its id, however the source is split."""
+    return F.xxhash64(row_id.cast("long"), text)
 
 
 def near_duplicates(df: DataFrame, k: int, percent: int = PERCENT, side: int = SIDE, rows: int = ROWS, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(rid, id, n_shingles, component_id, kept) for each row of df.
-
-    rid is the row's position in the scan of df, which must be a table or
-    another source that is read alike each time. component_id is the least id
-    that can be reached over links (of those that are not null); kept marks
-    one row of each component, the one with this id (of repeated rows, one).
-    Words are runs without ASCII white space, A-Z in lower case; a text of
-    fewer than k words has its whole sequence as one shingle. Null and empty
-    texts have no shingles and are components of their own, also where they
-    share an id. A row with a null id that reaches no other id has the
-    component null and is kept.
+    """(row, id, n_shingles, component_id, kept) for each row of df.
+
+    row is the row_hash of the row. component_id is the least id that can be
+    reached over links (of those that are not null); kept marks one row of each
+    component, one with this id (of several such rows, the one with the least
+    row hash, and of rows equal in id and text any one). Words are runs without
+    ASCII white space, A-Z in lower case; a text of fewer than k words has its
+    whole sequence as one shingle. Null and empty texts have no shingles and are
+    components of their own, also where they share an id. A row with a null id
+    that reaches no other id has the component null and is kept. An empty table
+    gives an empty table; other columns of df are not read.
     """
-    spark = df.sparkSession
-    read = df.select(F.monotonically_increasing_id().alias("rid"), F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = common.written(read.mapInArrow(_signatures(k, side, rows), "rid long, id long, n long, fp binary, halves array<long>"), "signatures")
-    # classes; an empty set is in none
-    classes = common.written(signed.where("n > 0").groupBy("fp").agg(F.min(F.struct("rid", "halves")).alias("x"), F.min("id").alias("least"), F.first("n").alias("n")).select("fp", F.col("x.rid").alias("node"), "least", "n", F.col("x.halves").alias("halves")), "classes")
+    read = df.select(row_hash(F.col(row_id), F.col(text)).alias("row"), F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
+    signed = common.written(read.mapInArrow(_signatures(k, side, rows), "row long, id long, n long, fp binary, halves array<long>"), "signatures")
+    # classes; an empty set is in none. Their numbers are read from the table only
+    classes = signed.where("n > 0").groupBy("fp").agg(F.min(F.struct("row", "halves")).alias("x"), F.min("id").alias("least"), F.first("n").alias("n"))
+    classes = common.written(classes.select("fp", F.col("x.row").alias("row"), "least", "n", F.col("x.halves").alias("halves"), F.monotonically_increasing_id().alias("node")), "classes")
     half = classes.select("node", F.col("n").alias("size"), F.posexplode("halves").alias("i", "h"))
     shared = half.groupBy("i", "h").agg(F.count("*").alias("n")).where("n > 1")
     sides = half.join(shared, ["i", "h"]).groupBy("node", "size").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("i", "h")).alias("halves"))
@@ -212,16 +228,20 @@ def near_duplicates(df: DataFrame, k: int, percent: int = PERCENT, side: int = S
     centre = F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("centre")
     full = keys.groupBy("table", "key").agg(F.count("*").alias("n"), centre).where("n > 1")
     buckets = common.written(keys.join(full, ["table", "key"]).select("table", "key", "node", "size", "centre"), "buckets")
+    common.dropped(keys)
     best = buckets.groupBy("node").agg(F.max("centre").alias("centre")).select(F.col("node").alias("u"), (-F.col("centre.least")).alias("v"))
     best = common.written(best, "best-centres")
-    bits = _bits_of(best.select(F.col("u").alias("node")))
-    again = read.select("rid", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).cast("int").alias("bit"), "text").mapInArrow(_sets(k, bits), "node long, set binary")
-    sets = common.written(again.join(best.select(F.col("u").alias("node")), "node", "left_semi"), "shingle-sets")
+    wanted = common.written(classes.select("node", "fp", "row").join(best.select(F.col("u").alias("node")), "node", "left_semi"), "wanted-sets")
+    again = read.select("row", "text").mapInArrow(_sets(k, _bits_of(wanted)), "row long, fp binary, set binary")
+    sets = common.written(again.join(common.few(wanted), ["row", "fp"]).select("node", "set"), "shingle-sets")
+    if sets.count() > wanted.count():  # rows equal in id and text make the same set
+        sets = common.written(sets.groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
     links = common.written(_with_sets(best.where("u <> v"), sets).mapInArrow(_confirm(percent), "u long, v long"), "centre-links")
     grouped = components(links)
     # what the centres leave open
     joined = buckets.select("table", "key", "node", "size").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = common.written(joined, "bucket-components")
+    common.dropped(buckets)
     by_part = joined.groupBy("table", "key", "component").agg(F.count("*").alias("n"))
     parted = by_part.groupBy("table", "key").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     open_ = joined.join(parted, ["table", "key"])
@@ -244,27 +264,49 @@ def near_duplicates(df: DataFrame, k: int, percent: int = PERCENT, side: int = S
     dealt = left.unionByName(right).join(sets.join(classes.select("node", "halves"), "node"), "node")
     blocks = dealt.groupBy("i", "h", "p", "q").applyInPandas(_compare_blocks(percent, side), "u long, v long")
     more = common.written(more.unionByName(blocks), "bucket-links")
+    common.dropped(sets, joined)
     if not more.isEmpty():
         grouped = components(links.unionByName(more))
-    # class -> component -> least id of the component
-    whole = classes.select("fp", "node", "least").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = whole.join(names, "component").select("fp", "component_id", "component")
-    rows_ = signed.select("rid", "id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(named, "fp", "left")
-    # of repeated rows with the least id, the first stays
-    first = rows_.where("component IS NOT NULL AND id <=> component_id").groupBy(F.col("component").alias("of")).agg(F.min("rid").alias("stays"))
-    out = rows_.join(first, F.col("component") == F.col("of"), "left")
-    return out.select("rid", "id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("component").isNull() | (F.col("rid") == F.col("stays"))).alias("kept"))
+    # class -> component -> least id of the component; a class without links is its own
+    linked_ = grouped.join(classes.select("node", "fp", "least"), "node")
+    names = common.written(linked_.groupBy("component").agg(F.min("least").alias("component_id")), "component-names")
+    named = linked_.join(common.few(names), "component").select("fp", "component_id", "component")
+    alone = classes.join(grouped.select("node"), "node", "left_anti").select("fp", F.col("least").alias("component_id"), F.col("node").alias("component"))
+    numbered = signed.select("row", "id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
+    out = common.written(numbered.join(named.unionByName(alone), "fp", "left").select("row", "id", "n", "component", "component_id", F.monotonically_increasing_id().alias("at")), "components")
+    common.dropped(signed, classes)
+    # of several rows with the least id, one stays
+    first = out.where("component IS NOT NULL AND id <=> component_id").groupBy("component").agg(F.min(F.struct("row", "at")).alias("x")).select(F.col("x.at").alias("at"), F.lit(True).alias("stays"))
+    out = out.join(first, "at", "left")
+    return out.select("row", "id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("component").isNull() | F.col("stays").isNotNull()).alias("kept"))
+
+
+def one_of_each(df: DataFrame, k: int = 5, percent: int = PERCENT, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """The rows of df that near_duplicates keeps, with its columns. Rows without words stay, repeated or not; of rows equal in id and text, but with other columns that differ, any one stays."""
+    found = near_duplicates(df, k, percent, text=text, row_id=row_id)
+    of_key = found.groupBy("row", "id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept")).where("n_kept < n")
+    of_key = common.written(of_key.select("row", "id", (F.col("n_kept") == 0).alias("goes")), "near-duplicates")
+    row, own, goes = (common.free_name(df, n) for n in ("row", "own", "goes"))
+    keyed = df.withColumn(row, row_hash(F.col(row_id), F.col(text))).withColumn(own, F.col(row_id).cast("long"))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        k = keys.select(F.col("row").alias(row), F.col("id").alias(goes))
+        return rows.join(common.few(k), (keyed[row] == k[row]) & keyed[own].eqNullSafe(k[goes]), how)
+
+    stays = among(keyed, of_key, "left_anti").select(*df.columns)
+    equal = of_key.where("NOT goes")
+    if equal.isEmpty():
+        return stays
+    return stays.unionByName(among(keyed, equal, "left_semi").dropDuplicates([row, own]).select(*df.columns))
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8."""
-    dropped = common.written(near_duplicates(docs, 5).where("NOT kept").select("rid"), "near-duplicates")
-    rid = common.free_name(docs, "rid")
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(dropped.withColumnRenamed("rid", rid), rid, "left_anti").select(*docs.columns)
+    """One document of each group: five-word shingles, similarity 0.8. For nulls, ties, repeated rows and empty tables see near_duplicates and one_of_each; columns of any name pass."""
+    return one_of_each(docs, 5)
 
 
 def op6_tensored_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document; texts without words are components of their own, with kept true."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"), 2)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -94,7 +94,7 @@ def test_components_equal_all_pairs(spark, monkeypatch, k):
     monkeypatch.setattr(neardup, "SMALL", 3)
     monkeypatch.setattr(neardup, "FEW", 6)
     rows = near_rows(random.Random(k))
-    df = docs(spark, [(*r, "a", "b") for r in rows], ", rid string, node string")
+    df = docs(spark, [(*r, "a", "b") for r in rows], ", row string, node string")
     got = {r.id: r for r in neardup.near_duplicates(df, k).collect()}
     want = brute.components(rows, k)
     assert {d: r.component_id for d, r in got.items()} == want
@@ -103,11 +103,53 @@ def test_components_equal_all_pairs(spark, monkeypatch, k):
 
 def test_repeated_and_null_ids(spark):
     text = " ".join(words(random.Random(9), 40))
-    got = neardup.near_duplicates(docs(spark, [(7, text), (7, text), (None, text), (3, text), (None, None), (None, "")]), 5).collect()
-    assert sorted((r.id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (-1, -1, True), (-1, 3, False), (3, 3, True), (7, 3, False), (7, 3, False)]
+    got = neardup.near_duplicates(docs(spark, [(7, text), (7, text), (None, text), (3, text), (3, text), (3, text + " more"), (None, None), (None, "")]), 5).collect()
+    assert sorted((r.id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (-1, 3), (3, 3), (3, 3), (3, 3), (7, 3), (7, 3)]
+    assert sorted((r.id or -1, r.n_shingles > 0) for r in got if r.kept) == [(-1, False), (-1, False), (3, True)]
     assert neardup.near_duplicates(docs(spark, [(1, "x")]).limit(0), 5).count() == 0
 
 
+def test_one_of_each_group_stays(spark):
+    text = " ".join(words(random.Random(9), 40))
+    rows = [(7, text, "a"), (7, text, "a"), (3, text, "b"), (3, text, "b"), (3, text, "c"), (None, text, "d"), (5, None, "e"), (5, None, "e"), (None, "", "f"), (8, "x" * 300_000 + " alone", "g")]
+    df = docs(spark, rows, ", row string")
+    got = sorted(((r.doc_id or -1), (r.text or "")[:9], r.row) for r in neardup.one_of_each(df).collect())
+    assert len(got) == 5 and got[0] == (-1, "", "f") and got[1][0] == 3 and got[1][2] in "bc" and got[2:4] == [(5, "", "e")] * 2 and got[4][0] == 8
+    assert neardup.one_of_each(df).columns == df.columns and neardup.one_of_each(df.limit(0)).count() == 0
+
+
+def test_splits_of_the_source_change_nothing(spark, sf_dir, monkeypatch):
+    """Between the steps the source is read in other splits, as when executors come and go."""
+    path, asked = common.shared_path(spark, "split-docs"), []
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(8).write.parquet(path)
+    write = common.written
+
+    def written(df, name):
+        asked.append(name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str((1 << 27) >> (14 * (len(asked) % 2))))
+        return write(df, name)
+
+    def found():
+        df = neardup.near_duplicates(spark.read.parquet(path), 2)
+        return sorted((r.id, r.component_id, r.kept) for r in df.collect()), sorted(r.doc_id for r in neardup.one_of_each(spark.read.parquet(path), 2).collect())
+
+    want = found()
+    monkeypatch.setattr(common, "written", written)
+    try:
+        got = found()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert asked and got == want and want[1] == [d for d, c, k in want[0] if k]
+
+
+def test_near_duplicate_query_equals_all_pairs(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in common.table(spark, sf_dir, "documents").collect()]
+    want = brute.components(rows, 2)
+    got = neardup.op6_tensored_banding(spark, sf_dir).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(brute.shingles(dict(rows)[r.doc_id], 2)) for r in got)
+
+
 def test_large_star_small_star(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(5, 5), (1, 2), (2, 1)]
