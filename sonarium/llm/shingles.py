@@ -127,7 +127,7 @@ def shingles(words: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(words)
     counts = np.diff(before)
     h = words.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, n)):
         h[: n - j] = (h[: n - j] * _MIX1) ^ words[j:]
         h[: n - j] = (h[: n - j] ^ (h[: n - j] >> _U(29))) * _STEP
     size = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
