@@ -10,16 +10,19 @@ of c, says how far t discloses c (Sanchez and Batet's C-sanitization):
 
 with p(c, t) the share of documents where t stands with c, p(c) that
 where c is, p(t) that where t is anywhere. It is 1 where t occurs with c only.
-Terms above GENERALISE are replaced by a general word, above REMOVE they go.
+Terms above GENERALISE are generalised: of the term only its shape stays, which
+is number, code (letters and digits), name (starts with a capital) or word.
+Terms above REMOVE go.
+
 Few texts say little: in place of the ratio n(c, t) / n(t) for p(c | t) stands
 the lower end of its Wilson interval, of width DEVIATIONS, in which copies of a
 text count once. So an entity of one text has disclosing terms as well, which
 are the words that occur nowhere else, provided that the corpus is large.
 
 A told term is replaced wherever it stands in a text with its entity. In texts
-without the entity it is replaced as well if at least SPREAD distinct texts tell
-it: what one text alone holds says nothing about others, and would take rare
-words from all of them.
+without the entity it is replaced only where it is above REMOVE and at least
+SPREAD distinct texts tell it: such a term hardly stands without the entity. A
+weaker one is an ordinary word of other people's texts, which stay as they are.
 
 All of it is DataFrame functions. Patterns that could scan a long run again and
 again are anchored to where a match can start, with the same matches.
@@ -34,7 +37,7 @@ from . import common
 from .common import let
 
 GENERALISE, REMOVE, DEVIATIONS, SPREAD = 0.8, 0.95, 1.96, 2
-CHUNK, SLOTS = 128, 1 << 18
+CHUNK = 128
 
 #: In the order in which spans of equal start are listed. Possessive quantifiers keep the matcher from recursion and retries;
 #: a match starts where the one before ended, or where its first run starts.
@@ -45,7 +48,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "number": "[NUMBER]", "code": "[CODE]", "name": "[NAME]", "word": "[WORD]", "remove": ""}
+#: The kinds of spans of disclosing terms.
+TERM_KINDS = ["number", "code", "name", "word", "remove"]
 TERM = r"[\p{L}\p{N}]++"
 
 _SPAN = "array<struct<start:int,kind:string,end:int,value:string>>"
@@ -146,15 +151,19 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _least_share(part: Column, whole: Column, texts: Column) -> Column:
+def _least_share(part: Column, whole: Column, texts: Column, deviations: float) -> Column:
     """The lower end of the Wilson interval of part / whole; of the part's documents so many texts are distinct."""
-    p, z2 = part / whole, DEVIATIONS**2
+    p, z2 = part / whole, deviations**2
     n = whole * texts / part
-    return (p + z2 / (2 * n) - DEVIATIONS * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / n) + z2 / (4 * n * n))) / (1 + z2 / n)
+    return (p + z2 / (2 * n) - deviations * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / n) + z2 / (4 * n * n))) / (1 + z2 / n)
+
 
+def disclosing(df: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, deviations: float = DEVIATIONS, spread: int = SPREAD) -> DataFrame:
+    """(key, told map<term, kind>), a written table, for each distinct text with disclosing terms; kind is generalise or remove.
 
-def disclosing(df: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(key, told map<term, kind>) for each distinct text with disclosing terms; kind is generalise or remove."""
+    Null and empty texts have no terms; copies of a text have one row; a corpus
+    without mentions, or an empty one, gives an empty table.
+    """
     spark = df.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     total = df.select(F.lit(1)).count()
@@ -171,33 +180,41 @@ def disclosing(df: DataFrame, text: str = "text", generalise: float = GENERALISE
     rare = mentions.select("key", F.explode("terms").alias("term")).join(term_docs, "term", "left").join(entities, "key").where(F.coalesce("n_t", F.lit(0)) <= most(F.col("top")))
     pairs = rare.select("term", "n_t", "copies", F.explode("entities").alias("e")).select("term", "n_t", "copies", "e.*")
     joint = pairs.groupBy("entity", "term", "n_c").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts"), F.max("n_t").alias("n_t"))
-    share = 1 - F.log2(_least_share(F.col("n_ct"), F.greatest("n_t", "n_ct"), F.col("texts"))) / F.log2(F.col("n_c") / F.lit(float(max(total, 1))))
+    share = 1 - F.log2(_least_share(F.col("n_ct"), F.greatest("n_t", "n_ct"), F.col("texts"), deviations)) / F.log2(F.col("n_c") / F.lit(float(max(total, 1))))
     scored = joint.withColumn("disclosure", share).where(F.col("disclosure") >= generalise)
     told = common.written(scored.select("entity", "term", "texts", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("kind")), "disclosing-terms")
-    if told.isEmpty():
-        return spark.createDataFrame([], "key long, told map<string,string>")
     within = named.join(told, "entity").select("key", "term", "kind")
     within = within.join(mentions.select("key", F.explode("terms").alias("term")), ["key", "term"])
-    spread = told.where(F.col("texts") >= SPREAD).groupBy("term").agg(F.max("kind").alias("kind"))
-    if not spread.isEmpty():
-        # at most SLOTS numbers, by which nearly all words of the corpus stay out of the join
-        slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).alias("slot")
+    everywhere = common.written(told.where((F.col("texts") >= spread) & (F.col("kind") == "remove")).select("term", "kind", F.xxhash64("term").alias("hash")).distinct(), "terms-everywhere")
+    n = everywhere.count()
+    if n:
         words = df.select(F.explode(let(_text_key(F.col(text)), lambda k: F.transform(_terms(t), lambda w: F.struct(k.alias("key"), w.alias("term"))))).alias("x")).select("x.*")
-        words = words.select("*", slot).join(F.broadcast(spread.select(slot).distinct()), "slot", "left_semi")
-        within = within.unionByName(words.join(spread, "term").select("key", "term", "kind"))
+        if n <= common.FEW_KEYS:  # so nearly all words of the corpus stay out of the join below
+            words = words.join(F.broadcast(everywhere.select(F.col("hash").alias("h"))), F.xxhash64("term") == F.col("h"), "left_semi")
+        within = within.unionByName(words.join(everywhere.drop("hash"), "term").select("key", "term", "kind"))
     each = within.groupBy("key", "term").agg(F.max("kind").alias("kind"))
-    return each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
+    out = common.written(each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told")), "told-terms")
+    common.dropped(mentions, told, everywhere)
+    return out
+
+
+def _shape(term: Column) -> Column:
+    return F.when(term.rlike(r"^\p{N}+$"), "number").when(term.rlike(r"\p{N}"), "code").when(term.rlike(r"^\p{Lu}"), "name").otherwise("word")
 
 
 def _told_spans(text: Column, spans: Column, told: Column) -> Column:
     """The spans of the told terms of a text, by start."""
-    placed = lambda kinds: F.transform(matches(_blanked(text, spans), TERM), lambda m: F.struct(m["start"].alias("start"), F.element_at(kinds, F.lower(m["m"])).alias("kind"), (m["start"] + F.length(m["m"])).cast("int").alias("end"), F.lower(m["m"]).alias("value")))
+
+    def placed(kinds: Column) -> Column:
+        kind = lambda m: let(F.element_at(kinds, F.lower(m)), lambda k: F.when(k == "generalise", _shape(m)).otherwise(k))
+        return F.transform(matches(_blanked(text, spans), TERM), lambda m: F.struct(m["start"].alias("start"), kind(m["m"]).alias("kind"), (m["start"] + F.length(m["m"])).cast("int").alias("end"), F.lower(m["m"]).alias("value")))
+
     return F.when(told.isNull(), F.array().cast(_SPAN)).otherwise(let(told, lambda kinds: F.filter(placed(kinds), lambda s: s["kind"].isNotNull())).cast(_SPAN))
 
 
 def _rewritten(text: Column, spans: Column) -> Column:
     """text with the spans (by start) replaced; of overlapping spans the first gives the label, and all of their text goes."""
-    label = F.create_map(*(F.lit(x) for k in KINDS for x in (k, LABELS[k])), F.lit("generalise"), F.lit(LABELS["term"]), F.lit("remove"), F.lit(""))
+    label = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
 
     def step(a: Column, s: Column) -> Column:
         fresh = F.array_append(F.array_append(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"])), F.element_at(label, s["kind"]))
@@ -207,31 +224,41 @@ def _rewritten(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text)))))
 
 
-def sanitise(df: DataFrame, text: str = "text", keep: list[str] | None = None, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """The columns keep of df (all by default) with base (spans of the patterns), terms (spans of disclosing terms, kind generalise or remove) and clean (the text rewritten).
+def sanitise(df: DataFrame, text: str = "text", keep: list[str] | None = None, generalise: float = GENERALISE, remove: float = REMOVE, deviations: float = DEVIATIONS, spread: int = SPREAD, into: tuple[str, str, str] = ("base", "terms", "clean")) -> DataFrame:
+    """The columns keep of df (all by default) with three new ones, named by into: the spans of the patterns, the spans of disclosing terms (of TERM_KINDS), and the text rewritten.
 
-    A null text has no spans and stays null. Equal texts are treated alike.
-    Repeated rows stay; an empty table gives an empty table. Columns of df with
-    the new names are replaced.
+    A null text has no spans and stays null; an empty one stays empty. Equal
+    texts are treated alike. Repeated rows stay; an empty table gives an empty
+    table. Columns of df with the new names are replaced; choose other names to
+    keep them. Only texts with told terms move.
     """
-    new = ("base", "terms", "clean")
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    told = disclosing(df, text, generalise, remove)
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in into}]
+    told = disclosing(df, text, generalise, remove, deviations, spread)
     body, key, kinds = (common.free_name(df, n) for n in ("body", "key", "kinds"))
-    rows = df.select(*keep, F.col(text).alias(body)).withColumn("base", base_spans(F.col(body)))
-    # an empty text has no terms; such rows get keys of their own so that they spread
-    rows = rows.withColumn(key, F.when(F.coalesce(F.length(body), F.lit(0)) > 0, _text_key(F.col(body))).otherwise(F.monotonically_increasing_id()))
-    joined = rows.join(told.withColumnsRenamed({"key": key, "told": kinds}), key, "left").withColumn("terms", _told_spans(F.col(body), F.col("base"), F.col(kinds)))
-    by_start = F.sort_array(F.concat("base", "terms"))
-    return joined.withColumn("clean", _rewritten(F.col(body), by_start)).select(*keep, *new)
+    rows = df.select(*(F.col(c) for c in keep), F.col(text).alias(body)).withColumn(key, _text_key(F.col(body)))
+    named = told.select(F.col("key").alias(key), F.col("told").alias(kinds))
+    nothing = F.lit(None).cast("map<string,string>").alias(kinds)
+    n = told.count()
+    if not n:
+        joined = rows.select("*", nothing)
+    elif n <= common.FEW_KEYS:
+        keys = F.broadcast(named.select(key))
+        joined = rows.join(keys, key, "left_anti").select("*", nothing).unionByName(rows.join(keys, key, "left_semi").join(named, key))
+    else:
+        # an empty text has no terms; such rows get keys of their own so that they spread
+        spread_out = F.when(F.coalesce(F.length(body), F.lit(0)) > 0, F.col(key)).otherwise(F.monotonically_increasing_id())
+        joined = rows.withColumn(key, spread_out).join(named, key, "left")
+    base, terms, clean = into
+    out = joined.withColumn(base, base_spans(F.col(body))).withColumn(terms, _told_spans(F.col(body), F.col(base), F.col(kinds)))
+    return out.withColumn(clean, _rewritten(F.col(body), F.sort_array(F.concat(base, terms)))).select(*keep, *into)
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data and disclosing terms replaced; n_chars follows the text."""
-    out = sanitise(docs)
-    text = F.col("clean")
+    """The documents with personal data and disclosing terms replaced; n_chars follows the text. Nulls, repeated rows and empty tables as in sanitise; columns of any name pass."""
+    into = tuple(common.free_name(docs, n) for n in ("base", "terms", "clean"))
+    text = F.col(into[2])
     new = {"text": text, "n_chars": F.when(text.isNotNull(), F.length(text)).cast("long")}
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    return sanitise(docs, into=into).select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def _listed(spans: Column) -> Column:
@@ -239,9 +266,10 @@ def _listed(spans: Column) -> Column:
 
 
 def op2_disclosure_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document; a null text counts as an empty one."""
     out = sanitise(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    rank = F.create_map(*(F.lit(x) for i, k in enumerate([*KINDS, "generalise", "remove"]) for x in (k, i)))
+    rank = F.create_map(*(F.lit(x) for i, k in enumerate([*KINDS, *TERM_KINDS]) for x in (k, i)))
     named = F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["kind"]).alias("rank"), F.when(F.element_at(rank, s["kind"]) < len(KINDS), s["kind"]).otherwise("term").alias("kind"), s["end"].alias("end")))
     return out.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.sort_array(named)).alias("spans"))
 

@@ -1,5 +1,6 @@
 """Plain versions of what the operators compute."""
 
+import math
 import re
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -170,3 +171,71 @@ def main_texts(rows, run, little):
         for (i, page), gone in zip(pages, boilerplate([p for _, p in pages], run, copies), strict=True):
             out[i] = main_text(page, gone, little)
     return out
+
+
+TERM = re.compile(r"[^\W_]+")
+
+
+def _base(t):
+    t = t or ""
+    return [(m.start(), m.end(), k, m.group()) for k, p in KINDS.items() for m in re.finditer(p, t) if _valid(k, m.group())]
+
+
+def _found_terms(t):
+    blank = list(t or "")
+    for s, e, _, _ in _base(t):
+        blank[s:e] = " " * (e - s)
+    return [(m.start(), m.end(), m.group()) for m in TERM.finditer("".join(blank))]
+
+
+def term_spans(texts, generalise, remove, deviations, spread):
+    """For each text the spans (start, end, kind) of its disclosing terms."""
+    total, copies = len(texts), defaultdict(int)
+    for t in texts:
+        copies[t or ""] += 1
+    entities = {t: {f"{k}:{v.lower() if k == 'email' else v if k == 'ip' else re.sub('[^0-9]', '', v)}" for _, _, k, v in _base(t)} for t in copies}
+    terms = {t: {w.lower() for _, _, w in _found_terms(t)} for t in copies}
+    everywhere = {t: {w.lower() for w in TERM.findall(t)} for t in copies}
+    n_t, n_c, n_ct, seen = (defaultdict(int) for _ in range(4))
+    for t, n in copies.items():
+        for w in everywhere[t]:
+            n_t[w] += n
+        for c in entities[t]:
+            n_c[c] += n
+            for w in terms[t]:
+                n_ct[c, w] += n
+                seen[c, w] += 1
+    told = {}
+    for (c, w), joint in n_ct.items():
+        p, z2, whole = joint / n_t[w], deviations**2, n_t[w]
+        n = whole * seen[c, w] / joint
+        low = (p + z2 / (2 * n) - deviations * math.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+        if n_c[c] < total:
+            score = 1 - math.log2(low) / math.log2(n_c[c] / total)
+            if score >= generalise:
+                told[c, w] = "remove" if score >= remove else "generalise"
+    spread_out = {w for (c, w), k in told.items() if k == "remove" and seen[c, w] >= spread}
+    out = []
+    for t in texts:
+        own = defaultdict(set)
+        for c in entities[t or ""]:
+            for w in terms[t or ""]:
+                if (c, w) in told:
+                    own[w].add(told[c, w])
+        found = []
+        for s, e, w in _found_terms(t):
+            kinds = own[w.lower()] | ({"remove"} if w.lower() in spread_out else set())
+            if kinds:
+                shape = "number" if w.isnumeric() else "code" if re.search(r"\d", w) else "name" if w[0].isupper() else "word"
+                found.append((s, e, "remove" if "remove" in kinds else shape))
+        out.append(found)
+    return out
+
+
+def rewritten(t, spans):
+    out, at = [], 0
+    for s, e, label in sorted(spans):
+        if s >= at:
+            out += [t[at:s], label]
+        at = max(at, e)
+    return "".join(out) + t[at:]

@@ -138,16 +138,42 @@ def test_disclosing_terms_are_hidden_wherever_they_stand(spark):
     rng = random.Random(7)
     filler = [f"common{c}" for c in "abcdefghij"]
     line = lambda n: " ".join(rng.choice(filler) for _ in range(n))
-    texts = [line(30) for _ in range(200)]
-    for i in range(12):
+    texts = [line(30) for _ in range(400)]
+    for i in range(60):
         texts[i] = f"Ann {line(40)} no k77x {line(40)} bob@mail.example.com {texts[i]}"
-    texts[50] = f"{line(5)} ANN and K77x {line(5)}"
+    texts[80] = f"{line(5)} ANN and K77x {line(5)}"
     rows = {r.doc_id: r for r in pii.sanitise(docs(spark, texts, kinds="x"), keep=["doc_id", "kinds"]).collect()}
-    for i in [*range(12), 50]:
+    for i in [*range(60), 80]:
         words = {texts[i][t.start : t.end].lower() for t in rows[i].terms}
         assert {"ann", "k77x"} <= words and not words & set(filler)
         assert not {"ann", "k77x"} & set(rows[i].clean.lower().split())
-    assert all(rows[i].clean == texts[i] for i in range(12, 200) if i != 50)
+    assert all(rows[i].clean == texts[i] for i in range(60, 400) if i != 80)
+
+
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_term_spans_equal_brute_force(spark, monkeypatch, few):
+    """Also where the sides are too large to be broadcast."""
+    monkeypatch.setattr(pii.common, "FEW_KEYS", few)
+    rng = random.Random(11)
+    vocabulary = [f"{rng.choice(['w', 'N', 'é'])}{i}{rng.choice(['', 'x'])}" for i in range(60)] + [str(i) for i in range(20)] + ["Word", "wörd", "alt"]
+    people = ["a@b.example", "+49 30 1234567 89", "10.1.2.3"]
+    texts = []
+    for _ in range(160):
+        words = rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(len(vocabulary))], k=rng.randrange(12))
+        for i, who in enumerate(people):
+            if rng.random() < 0.15:
+                words.insert(rng.randrange(len(words) + 1), who)
+                words += [f"Friend{i}", f"{i}only{i}"][: rng.randrange(3)]
+        texts.append("; ".join(words))
+    texts += texts[:25] + [None, ""]
+    got = pii.sanitise(docs(spark, texts, terms="x"), generalise=0.3, remove=0.6, deviations=1.0).collect()
+    want, kinds = brute.term_spans(texts, 0.3, 0.6, 1.0, pii.SPREAD), set()
+    for r in got:
+        assert [(t.start, t.end, t.kind) for t in r.terms] == want[r.doc_id], texts[r.doc_id]
+        kinds |= {t.kind for t in r.terms}
+        if texts[r.doc_id]:
+            assert r.clean == brute.rewritten(texts[r.doc_id], [(b.start, b.end, f"[{b.kind.upper()}]") for b in r.base] + [(t.start, t.end, "" if t.kind == "remove" else f"[{t.kind.upper()}]") for t in r.terms])
+    assert len(got) == len(texts) and kinds >= {"remove", "number", "code", "name"}
 
 
 def test_terms_of_entities_of_one_text_are_found(spark):
