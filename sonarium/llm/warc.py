@@ -8,9 +8,14 @@ and a limit on records per file bounds the size of each archive. Each archive
 is one gzip stream.
 
 Reading takes whole archives through Spark's binaryFile source and parses them
-by Content-Length. Continuations are grouped by their origin identifier and put
+by Content-Length, once; the records are kept in the shared folder, segments
+beside whole ones. Continuations are grouped by their origin identifier and put
 in order of their segment numbers; the total length is verified; then the HTTP
 message is split and its chunked transfer framing decoded.
+
+A segment is small here (SEGMENT_BYTES), so that most records are cut. Payloads
+move only if they are segments: which row a revisit refers to is found on
+digests, and revisits are written without a payload.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from .common import let
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Production parameters: bytes of a segment and of a chunk, records of an archive.
-SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 32_768, 4096, 2000
+SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 2048, 1024, 4000
 BATCH_BYTES = 8_000_000
 
 RECORD_SCHEMA = "record_id string, warc_type string, target_uri string, row_id bigint, refers_to_row bigint, payload_digest string, segment_number int, segment_origin string, total_length bigint, block binary"
@@ -49,7 +54,7 @@ def _raw(x: Column) -> Column:
 
 def _pieces(x: Column, size: int) -> Column:
     """Consecutive pieces of a binary column of size bytes each; one empty piece for an empty value."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(x) - 1) / size)).cast("int")), lambda i: F.substr(x, i * size + 1, F.lit(size)))
+    return let(x, lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(v) - 1) / size)).cast("int")), lambda i: F.substr(v, i * size + 1, F.lit(size))))
 
 
 def chunked(payload: Column, size: int = CHUNK_BYTES) -> Column:
@@ -58,9 +63,11 @@ def chunked(payload: Column, size: int = CHUNK_BYTES) -> Column:
     return F.concat(F.array_join(F.transform(pieces, lambda c: F.concat(F.lower(F.hex(F.octet_length(c))), F.lit(CRLF), _raw(c), F.lit(CRLF))), ""), F.lit("0" + CRLF + CRLF))
 
 
-def write_archives(df: DataFrame, path: str, row_id: str, url: str, payload: str, refers_to: str, digest: str, date: str = "2024-01-01T00:00:00Z", segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(df: DataFrame, path: str, row_id: str, url: str, payload: str, refers_to: str, digest: str, length: str | None = None, refers_to_url: str | None = None, date: str = "2024-01-01T00:00:00Z", segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """A WARC record for each row of df: a response with payload (binary), or a revisit without it where refers_to is not null.
 
+    length has the bytes of the payload, if payload does not hold it, and
+    refers_to_url the URL of the record that a revisit refers to.
     A null payload is written as an empty one, a null row_id or url by leaving
     its field out; line breaks in url are percent-encoded. Repeated rows get a
     record each. An empty df gives no records.
@@ -69,20 +76,21 @@ def write_archives(df: DataFrame, path: str, row_id: str, url: str, payload: str
     body = F.coalesce(F.col(payload), F.lit(b""))
     http = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF
     response = F.concat(F.lit(http + "Transfer-Encoding: chunked" + CRLF + CRLF), chunked(body, chunk_bytes))
-    again = F.concat(F.lit(http + "Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF + CRLF))
+    again = F.concat(F.lit(http + "Content-Length: "), (F.octet_length(body) if length is None else F.col(length)).cast("string"), F.lit(CRLF + CRLF))
     block = F.when(revisit, again).otherwise(response).cast("binary")
-    uri = F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A")
+    escaped = lambda x: F.regexp_replace(F.regexp_replace(x, "\r", "%0D"), "\n", "%0A")
+    target = F.lit(None).cast("string") if refers_to_url is None else escaped(F.col(refers_to_url))
     records = df.select(
         F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")).alias("id"),
         F.when(revisit, "revisit").otherwise("response").alias("type"),
         F.col(row_id).cast("string").alias("row"),
-        uri.alias("uri"),
+        escaped(F.col(url)).alias("uri"),
+        F.when(revisit, target).alias("refers_uri"),
         F.when(revisit, F.col(refers_to).cast("string")).alias("refers"),
         F.col(digest).alias("digest"),
-        F.octet_length(block).alias("total"),
-        _pieces(block, segment_bytes).alias("segments"),
+        let(block, lambda b: F.struct(F.octet_length(b).alias("total"), _pieces(b, segment_bytes).alias("segments"))).alias("cut"),
     )
-    parts = records.select("*", F.size("segments").alias("n"), F.posexplode("segments").alias("i", "segment")).drop("segments")
+    parts = records.select("*", F.col("cut.total").alias("total"), F.size("cut.segments").alias("n"), F.posexplode("cut.segments").alias("i", "segment")).drop("cut")
     field = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
     first, several = F.col("i") == 0, F.col("n") > 1
     own = F.when(first, F.col("id")).otherwise(F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))
@@ -94,6 +102,8 @@ def write_archives(df: DataFrame, path: str, row_id: str, url: str, payload: str
         field("WARC-Target-URI", F.col("uri")),
         field("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha1:"), F.col("digest")))),
         field("WARC-Profile", F.when(first & F.col("refers").isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
+        field("WARC-Refers-To-Target-URI", F.when(first, F.col("refers_uri"))),
+        field("WARC-Refers-To-Date", F.when(first & F.col("refers").isNotNull(), F.lit(date))),
         field("X-Row-ID", F.when(first, F.col("row"))),
         field("X-Refers-To-Row", F.when(first, F.col("refers"))),
         field("WARC-Segment-Number", F.when(several, (F.col("i") + 1).cast("string"))),
@@ -158,33 +168,27 @@ def _whole(x: str | None) -> int | None:
     return int(x) if x is not None else None
 
 
-def _parser(segmented: bool):
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("row_id", pa.int64()), ("refers_to_row", pa.int64()), ("payload_digest", pa.string()), ("segment_number", pa.int32()), ("segment_origin", pa.string()), ("total_length", pa.int64()), ("block", pa.binary())])
-        rows: list[tuple] = []
-        held = 0
-        make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        for batch in batches:
-            for content in batch.column(0):
-                for f, block in parse_archive(content.as_py()):
-                    number = _whole(f.get("warc-segment-number"))
-                    if (number is not None) != segmented:
-                        continue
-                    rows.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), _whole(f.get("x-row-id")), _whole(f.get("x-refers-to-row")), (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None, number, f.get("warc-segment-origin-id"), _whole(f.get("warc-segment-total-length")), block))
-                    held += len(block) + 200
-                    if held > BATCH_BYTES:
-                        yield make()
-                        rows, held = [], 0
-        if rows:
-            yield make()
-
-    return parse
-
-
-def read_records(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
-    """The records of all archives under path (RECORD_SCHEMA): those that are segments, or those that are whole."""
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("row_id", pa.int64()), ("refers_to_row", pa.int64()), ("payload_digest", pa.string()), ("segment_number", pa.int32()), ("segment_origin", pa.string()), ("total_length", pa.int64()), ("block", pa.binary())])
+    rows: list[tuple] = []
+    held = 0
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    for batch in batches:
+        for content in batch.column(0):
+            for f, block in parse_archive(content.as_py()):
+                rows.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), _whole(f.get("x-row-id")), _whole(f.get("x-refers-to-row")), (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None, _whole(f.get("warc-segment-number")), f.get("warc-segment-origin-id"), _whole(f.get("warc-segment-total-length")), block))
+                held += len(block) + 200
+                if held > BATCH_BYTES:
+                    yield make()
+                    rows, held = [], 0
+    if rows:
+        yield make()
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records (RECORD_SCHEMA) of all archives under path, whole ones and segments. A folder without archives has none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(_parser(segmented), RECORD_SCHEMA)
+    return files.mapInArrow(_parse, RECORD_SCHEMA)
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
@@ -247,8 +251,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def messages(spark: SparkSession, path: str) -> DataFrame:
     """The HTTP messages of all archives under path (MESSAGE_SCHEMA): whole records and reassembled ones, framing decoded."""
     keep = ["record_id", "warc_type", "target_uri", "row_id", "refers_to_row", "payload_digest", "status", "block"]
-    whole = read_records(spark, path, False).withColumn("status", F.lit("ok")).select(*keep)
-    joined = reassemble(read_records(spark, path, True)).select(*keep)
+    kept = common.shared_path(spark, "warc-records")
+    read_records(spark, path).withColumn("cut", F.col("segment_number").isNotNull()).write.option("compression", "zstd").partitionBy("cut").parquet(kept)
+    records = spark.read.schema(RECORD_SCHEMA + ", cut boolean").parquet(kept)
+    whole = records.where("NOT cut").withColumn("status", F.lit("ok")).select(*keep)
+    joined = reassemble(records.where("cut").drop("cut")).select(*keep)
     return whole.unionByName(joined).mapInArrow(_decode, MESSAGE_SCHEMA)
 
 
@@ -257,19 +264,23 @@ def archive_pages(pages: DataFrame, path: str, row_id: str = "page_id", url: str
 
     Of these the row with the largest row_id is the response; others with a
     smaller row_id revisit it. Rows with a null row_id, and repeated rows of
-    the largest, are responses too.
+    the largest, are responses too. A null html counts as an empty payload. An
+    empty table writes folders without records; other columns are not read.
     """
-    spark = pages.sparkSession
     rows = pages.select(F.col(row_id).alias("row"), F.col(url).alias("uri"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("row").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
-    # as a table its size is known: Spark broadcasts it if it is small, and moves no payloads then
-    groups = common.written(groups, "payload-groups")
-    judged = rows.join(groups, "digest", "left").withColumn("refers", F.when(F.col("row") < F.col("keeper"), F.col("keeper")))
-    write_archives(judged, path, "row", "uri", "payload", "refers", "digest")
+    narrow = common.written(rows.select("row", "uri", "digest", F.octet_length("payload").alias("bytes")), "payload-digests")
+    groups = narrow.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct("row", "uri")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    groups = groups.select("digest", F.col("kept.row").alias("keeper"), F.col("kept.uri").alias("keeper_uri"))
+    revisits = common.written(narrow.join(groups, "digest").where(F.col("row") < F.col("keeper")), "revisits")
+    again = revisits.select("row", "digest").distinct()
+    responses = rows.join(common.few(common.written(again, "revisit-keys")), ["row", "digest"], "left_anti").withColumn("refers", F.lit(None).cast("long"))
+    write_archives(responses, f"{path}/responses", "row", "uri", "payload", "refers", "digest")
+    write_archives(revisits.withColumn("payload", F.lit(b"")), f"{path}/revisits", "row", "uri", "payload", "keeper", "digest", "bytes", "keeper_uri")
 
 
 def op1_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, status) of every page, from the archives; a null html is an empty payload."""
     path = common.shared_path(spark, "warc")
     archive_pages(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     read = messages(spark, path)
