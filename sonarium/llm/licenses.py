@@ -4,6 +4,7 @@ A text is cut into sentences, each normalised (lower case, letters and digits
 only, single spaces) and mapped to the identifier of a known licence sentence,
 if it is one. The identifiers in text order are then matched against rules,
 each an ordered list of identifiers that may have other sentences between.
+Lookup is by hash set; a text without known sentences meets no rule.
 """
 
 from __future__ import annotations
@@ -91,23 +92,31 @@ def scan(df: DataFrame, text: str = "text", sentences: dict[str, str] | None = N
     """df with sentence_ids array<string>, licenses array<string> (all whose rules match, in rule order) and license (the first, else null).
 
     A null or empty text has no sentences and no licence; rows are judged one
-    by one, so repeated rows and empty tables need no care. Columns of df with
-    the new names are replaced. The sentence table is part of the plan, so it
-    is meant for some thousands of sentences at most.
+    by one, so repeated rows, very long texts and empty tables need no care. A
+    rule that names an unknown sentence, or none, never matches. Columns of df
+    with the new names are replaced. The sentence table is part of the plan, so
+    it is meant for some thousands of sentences at most.
     """
     sentences, rules = SENTENCES if sentences is None else sentences, RULES if rules is None else rules
     df = df.drop("sentence_ids", "licenses", "license")
     ids = common.free_name(df, "ids")
 
+    def follows(found: Column, rule: list[str]) -> Column:
+        """Whether the identifiers of a rule stand among those found, in order."""
+        wanted = F.array(*map(F.lit, rule))
+        return F.aggregate(found, F.lit(0), lambda i, x: F.when(F.get(wanted, i) == x, i + 1).otherwise(i)) == len(rule)
+
     def matched(found: Column) -> Column:
-        line = F.concat(F.lit(","), F.array_join(found, ",,"), F.lit(","))
-        return let(line, lambda s: F.array_distinct(F.array_compact(F.array(*(F.when(s.like("%" + "%".join(f",{i}," for i in rule) + "%"), F.lit(name)) for name, rule in rules)))))
+        names = [F.when(follows(found, rule), F.lit(name)) for name, rule in rules if rule and set(rule) <= set(sentences)]
+        nothing = F.array().cast("array<string>")
+        return F.when(F.size(found) == 0, nothing).otherwise(F.array_distinct(F.array_compact(F.array(*names).cast("array<string>"))))
 
     found = df.withColumn(ids, let(sentence_ids(F.col(text), sentences), lambda x: F.struct(x.alias("ids"), matched(x).alias("licenses"))))
     return found.select(*df.columns, F.col(ids)["ids"].alias("sentence_ids"), F.col(ids)["licenses"].alias("licenses"), F.get(F.col(ids)["licenses"], F.lit(0)).alias("license"))
 
 
 def op5_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sentence_ids, licenses, license, n_sentences) of every document, lists joined by commas; a null text has none."""
     out = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "license", F.size("sentence_ids").cast("long").alias("n_sentences"))
 
