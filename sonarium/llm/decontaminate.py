@@ -13,17 +13,26 @@ document holds.
 Minima of a window come from minima of half-windows, so each hash of a shingle
 is computed once for all size classes.
 
+An item that repeats itself has far fewer shingles than positions, and may be
+less like its window. Where it has fewer than half as many, a document is a
+candidate if it holds any of the item's least shingles, of which so many are
+listed that enough of the item cannot be there without one of them.
+
 The benchmark is the stated query set: it is taken in blocks of at most
-ITEMS_PER_BLOCK rows, and each block meets all documents in one narrow pass.
+ITEMS_PER_BLOCK rows, whose index a task builds and a broadcast carries, and
+each block meets all documents in one narrow pass.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +52,8 @@ class Index:
     levels: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
     #: n to (sorted hashes, items) of items of fewer than k words, n being their number.
     short: dict[int, tuple[np.ndarray, np.ndarray]]
+    #: (sorted hashes, items): the listed shingles of items that repeat themselves.
+    listed: tuple[np.ndarray, np.ndarray]
 
 
 def build(texts: list[str | None], k: int = K, least: float = CONTAINMENT, hashes: int = HASHES) -> Index:
@@ -72,8 +83,10 @@ def build(texts: list[str | None], k: int = K, least: float = CONTAINMENT, hashe
             slots = np.zeros(_SLOTS, bool)
             slots[minima[:, j] & np.uint64(_SLOTS - 1)] = True
             levels[p].append((minima[order, j], items[order], slots))
+    listed = [(int(x), int(i)) for i in np.flatnonzero(sizes) if 2 * len(sets[i]) < sizes[i] for x in sets[i][: len(sets[i]) - math.ceil(least * len(sets[i]) - 1e-9) + 1]]
+    by_hash = sorted(listed)
     tables = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)])) for n, x in short.items()}
-    return Index(k, least, sets, levels, tables)
+    return Index(k, least, sets, levels, tables, (np.array([h for h, _ in by_hash], np.uint64), np.array([i for _, i in by_hash], np.int64)))
 
 
 def _pairs(values: np.ndarray, owners: np.ndarray, table: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -118,6 +131,8 @@ def search(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int]]:
                     hit = np.flatnonzero(slots[window & np.uint64(_SLOTS - 1)])
                     if len(hit):
                         found.update(_pairs(window[hit], owner[hit], table, items))
+        if len(index.listed[0]):
+            found.update(_pairs(h, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), *index.listed))
         own: dict[int, np.ndarray] = {}
         for d, i in sorted(found):
             if d not in own:
@@ -127,18 +142,31 @@ def search(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int]]:
                 yield row + d, i, shared
 
 
-def _blocks(bench: DataFrame, item_id: str, text: str, per_block: int) -> Iterator[tuple[DataFrame, list[str | None]]]:
-    """Blocks of at most about per_block items: a table (item, id) and the texts by item. An empty benchmark has none."""
-    spark, n = bench.sparkSession, bench.count()
+def _built(k: int, least: float, hashes: int):
+    """The texts of a block, all in one task, to one row with their index, pickled."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str | None] = []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build(texts, k, least, hashes), 5)], pa.binary())], names=["index"])
+
+    return make
+
+
+def _blocks(bench: DataFrame, item_id: str, text: str, per_block: int, k: int, least: float, hashes: int) -> Iterator[tuple[DataFrame, Broadcast]]:
+    """Blocks of at most about per_block items: a table (item, id) and the broadcast index of the texts by item. An empty benchmark has none."""
+    spark = bench.sparkSession
+    own = common.written(bench.select(F.col(item_id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at")), "benchmark-items")
+    n = own.count()
     blocks = -(-n // per_block)
     for b in range(blocks):
-        part = bench.select(F.col(item_id).alias("id"), F.col(text).alias("text"))
-        if blocks > 1:
-            part = part.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        rows = part.collect()
-        kind = bench.select(item_id).schema[0].dataType.simpleString()
-        if rows:
-            yield spark.createDataFrame([(i, r.id) for i, r in enumerate(rows)], f"item int, id {kind}"), [r.text for r in rows]
+        part = own.where(F.pmod(F.xxhash64("at"), F.lit(blocks)) == b) if blocks > 1 else own
+        # the items of one block, a stated bound, are numbered in one task
+        numbered = common.written(part.coalesce(1).sortWithinPartitions("at").select("id", "text", F.monotonically_increasing_id().cast("int").alias("item")), "benchmark-block")
+        made = numbered.coalesce(1).sortWithinPartitions("item").select("text").mapInArrow(_built(k, least, hashes), "index binary").collect()
+        if made:
+            yield numbered.select("item", "id"), spark.sparkContext.broadcast(bytes(made[0][0]))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", row_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", k: int = K, least: float = CONTAINMENT, hashes: int = HASHES, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
@@ -153,10 +181,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", row_id:
     item_kind = bench.select(item_id).schema[0].dataType.simpleString()
     out = docs.sparkSession.createDataFrame([], f"{row_id} {kind}, {item_id} {item_kind}, n_shared long, n_shingles long, containment double")
     rows = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
-    for names, texts in _blocks(bench, item_id, item_text, per_block):
-        index = build(texts, k, least, hashes)
+    for names, carried in _blocks(bench, item_id, item_text, per_block, k, least, hashes):
 
-        def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
+            index = pickle.loads(carried.value)
             for batch in batches:
                 hits = list(search(batch.column(1), index))
                 at = pa.array([x[0] for x in hits], pa.int64())
@@ -170,12 +198,16 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", row_id:
 
 
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = K, least: float = CONTAINMENT, hashes: int = HASHES, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
-    """The rows of docs that hold no item; no row moves."""
+    """The rows of docs that hold no item, with all their columns; no row moves.
+
+    Texts that are null or without words stay, repeated rows are judged alike,
+    an empty table or benchmark changes nothing.
+    """
     at = docs.columns.index(text)
-    for _, texts in _blocks(bench, item_id, item_text, per_block):
-        index = build(texts, k, least, hashes)
+    for _, carried in _blocks(bench, item_id, item_text, per_block, k, least, hashes):
 
-        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
+            index = pickle.loads(carried.value)
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
                 good[[x[0] for x in search(batch.column(at), index)]] = False
@@ -186,11 +218,12 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str =
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item; see clean for nulls, repeated rows and empty tables."""
     return clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def op7_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_shingles, containment) for each document and each benchmark item that it holds."""
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
