@@ -163,35 +163,40 @@ def posteriors(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     return fitted.select(F.explode(F.transform("rows", lambda r: F.struct(r["votes"].alias("votes"), posterior(r["votes"], F.col("fit")).alias("posterior")))).alias("r"), "fit").select("r.votes", "r.posterior", "fit")
 
 
-def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, iterations: int = ITERATIONS) -> DataFrame:
-    """The columns keep of df (all by default) with the struct features, votes array<int>, base_failed, posterior and kept.
+NEW = ("features", "votes", "base_failed", "posterior", "kept")
+
+
+def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, iterations: int = ITERATIONS, into: tuple[str, ...] = NEW) -> DataFrame:
+    """The columns keep of df (all by default) with five new ones, named by into: the struct features, votes array<int>, base_failed, posterior and kept.
 
     A null or empty text has no words and fails the base test. Equal rows are
     judged alike; an empty table gives an empty table. Columns of df with the
-    names of the new ones are replaced.
+    names of the new ones are replaced; choose other names to keep them.
     """
-    new = ("features", "votes", "base_failed", "posterior", "kept")
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    counted = df.select(*keep, features(F.col(text)).alias("features"))
-    f = {k: F.col("features")[k] for k in FEATURES}
-    judged = common.written(counted.withColumn("votes", F.array(*votes(f))), "quality")
-    fitted = posteriors(judged.groupBy("votes").agg(F.count("*").alias("n")), iterations)
+    counts, cast_, base_failed, posterior, kept = into
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in into}]
+    counted = df.select(*keep, features(F.col(text)).alias(counts))
+    f = {k: F.col(counts)[k] for k in FEATURES}
+    judged = common.written(counted.withColumn(cast_, F.array(*votes(f))), "quality")
+    fitted = posteriors(judged.groupBy(F.col(cast_).alias("votes")).agg(F.count("*").alias("n")), iterations)
     failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > int(100 * MAX_REPEAT_SHARE) * f["n_words"])
     # at most 3^8 patterns: a proven bound
     return (
-        judged.join(F.broadcast(fitted.select("votes", "posterior")), "votes")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("posterior") >= threshold))
-        .select(*keep, *new)
+        judged.join(F.broadcast(fitted.select(F.col("votes").alias(cast_), F.col("posterior").alias(posterior))), cast_)
+        .withColumn(base_failed, failed)
+        .withColumn(kept, ~failed & (F.col(posterior) >= threshold))
+        .select(*keep, *into)
     )
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep."""
-    return judge(docs).where("kept").select(*docs.columns)
+    """The documents that the rules keep. Null and empty texts go, repeated rows are judged alike, an empty table stays empty; columns of any name pass."""
+    into = tuple(common.free_name(docs, n) for n in NEW)
+    return judge(docs, into=into).where(F.col(into[-1])).select(*docs.columns)
 
 
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, the five counts, base_failed, kept, posterior) of every document; a null text counts as an empty one."""
     out = judge(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", *(F.col("features")[k].alias(k) for k in FEATURES[:5]), "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 

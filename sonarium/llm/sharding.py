@@ -106,6 +106,7 @@ def shard_documents(df: DataFrame, n_shards: int = 24, tolerance: float = 0.01,
 
 
 def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document; a null text counts as an empty one."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     out = shard_documents(docs, keep=["doc_id", "text_crc32"])

@@ -25,13 +25,17 @@ def words(rng, n):
 
 def test_pages_come_back_from_archives(spark):
     rng = random.Random(1)
-    pages = [(1, "http://a/\r\n1", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "u", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n" * 9000), (5, "u", "x" * 40_000), (None, "u", "same")]
+    pages = [(1, "http://a/\r\n1", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "u", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n" * 9000), (5, "u", "x" * 40_000), (None, "u", "same"), (41, "u", "y" * 3_000_000), (42, "u", "same"), (42, "u", "same")]
     pages += [(i, "u", "".join(rng.choice("abc\n ") for _ in range(rng.randrange(200)))) for i in range(6, 40)]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
     path = common.shared_path(spark, "warc-test")
     warc.archive_pages(df, path)
     got = warc.messages(spark, path).collect()
     assert len(got) == len(pages) and {r.status for r in got} == {"ok"}
+    assert warc.read_records(spark, path).where("segment_number > 1000").count()
+    empty = common.shared_path(spark, "warc-empty")
+    warc.archive_pages(df.limit(0), empty)
+    assert warc.messages(spark, empty).count() == 0
     responses = sorted((r.row_id or -1, bytes(r.payload)) for r in got if r.warc_type == "response")
     keeper = {}
     for i, _, h in pages:
@@ -177,6 +181,7 @@ def test_large_star_small_star(spark):
 def test_containment_equals_brute_force(spark):
     rng = random.Random(11)
     items = [(i, " ".join(words(rng, n))) for i, n in enumerate([1, 2, 4, 5, 6, 9, 16, 17, 40, 90, 300])] + [(50, None), (51, ""), (52, "...")]
+    items += [(60 + i, " ".join((words(rng, n) * 300)[:m])) for i, (n, m) in enumerate([(10, 100), (10, 200), (6, 60), (1, 500)])]
     rows = [(0, None), (1, "")]
     for _ in range(60):
         parts = words(rng, rng.randrange(3000))
@@ -186,7 +191,7 @@ def test_containment_equals_brute_force(spark):
             at = rng.randrange(len(parts) + 1)
             parts[at:at] = [x + rng.choice(["", ",", "!"]) for x in w[cut:]]
         rows.append((len(rows), " ".join(parts)))
-    rows += [rows[5]]
+    rows += [rows[5], (900, " ".join(words(rng, 90_000) + items[9][1].split() + words(rng, 5))), (901, " ".join(words(rng, 3000) + items[-1][1].split()[:20]))]
     sh = lambda t: brute.shingles("".join(c if c.isalnum() else " " for c in t or ""), 5)
     flat = lambda t: " " + " ".join(brute.WORD.findall(brute.lower("".join(c if c.isalnum() else " " for c in t or "")))) + " "
     want = Counter()
@@ -207,26 +212,64 @@ def test_containment_equals_brute_force(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_query_equals_brute_force(spark, sf_dir):
+    clean = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t or "")
+    items = [(r.item_id, brute.shingles(clean(r.text), 5)) for r in common.table(spark, sf_dir, "benchmark").collect()]
+    want = {}
+    for r in common.table(spark, sf_dir, "documents").collect():
+        own = brute.shingles(clean(r.text), 5)
+        want |= {(r.doc_id, i): len(q & own) for i, q in items if q and len(q & own) >= 0.8 * len(q)}
+    got = decontaminate.op7_containment_search(spark, sf_dir).collect()
+    assert want and {(r.doc_id, r.item_id): r.n_shared for r in got} == want and len(got) == len(want)
+
+
 # packing
 
 
 def test_boundaries_are_optimal():
     rng = random.Random(2)
-    for _ in range(20):
-        lengths = sorted(rng.sample(range(1, 60), 8))
-        counts = [rng.randrange(1, 9) for _ in lengths]
+    for _ in range(60):
+        lengths = sorted(rng.sample(range(0, 90_000), rng.randrange(1, 11)))
+        counts = [rng.choice([1, 1, 2, 9, 5000]) for _ in lengths]
         totals = [a * b for a, b in zip(lengths, counts, strict=True)]
+        most = rng.randrange(1, 6)
 
         def padding(tops):
             return sum(n * (min(t for t in tops if t >= x) - x) for x, n in zip(lengths, counts, strict=True))
 
-        best = min(padding([*c, lengths[-1]]) for k in range(3) for c in combinations(lengths[:-1], k))
-        assert padding(packing.boundaries(lengths, counts, totals, 3)) == best
+        best = min(padding([*c, lengths[-1]]) for k in range(min(most, len(lengths))) for c in combinations(lengths[:-1], k))
+        got = packing.boundaries(lengths, counts, totals, most)
+        assert len(got) <= most and got == sorted(got) and padding(got) == best
+
+
+def test_packing_query_is_optimal(spark, sf_dir):
+    rows = packing.op8_length_buckets(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in common.table(spark, sf_dir, "documents").collect()}
+    lengths = {d: len(brute.WORD.findall(t or "")) for d, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in rows} == lengths and len(rows) == len(texts)
+    tops = sorted({r.bucket_tokens for r in rows})
+    assert all(r.bucket_tokens == min(t for t in tops if t >= r.n_tokens) for r in rows)
+    counts = sorted(Counter(lengths.values()).items())
+    cost = {(0, 0): 0}  # (lengths taken, buckets) to least padding, by plain dynamic programming
+    for b in range(1, packing.N_BUCKETS + 1):
+        for j in range(1, len(counts) + 1):
+            pad, least = 0, None
+            for i in range(j - 1, -1, -1):
+                pad += counts[i][1] * (counts[j - 1][0] - counts[i][0])
+                if (i, b - 1) in cost and (least is None or cost[i, b - 1] + pad < least):
+                    least = cost[i, b - 1] + pad
+            if least is not None:
+                cost[j, b] = least
+    assert sum(r.bucket_tokens - r.n_tokens for r in rows) == min(v for (j, _), v in cost.items() if j == len(counts))
+    batches = defaultdict(list)
+    for r in rows:
+        batches[r.bucket, r.batch].append(r.bucket_tokens)
+    assert all(len(b) == 1 or sum(b) <= packing.TOKEN_BUDGET for b in batches.values())
 
 
 def test_batches_keep_the_budget(spark):
     rng = random.Random(3)
-    rows = [(i, " ".join(["w"] * rng.choice([0, 3, 3, 3, 40, 41, 900]))) for i in range(800)] + [(None, None), (5, "w w"), (5, "w w")]
+    rows = [(i, " ".join(["w"] * rng.choice([0, 3, 3, 3, 40, 41, 900]))) for i in range(800)] + [(None, None)] * 300 + [(5, "w w"), (5, "w w"), (6, "w " * 150_000)]
     from pyspark.sql import functions as F
 
     got = packing.pack(docs(spark, [(*r, "x") for r in rows], ", bucket string"), packing.word_count(F.col("text")), 4, 100, rows_per_cell=20).collect()
@@ -246,7 +289,7 @@ def test_cells_are_in_order(spark):
 
     rows = spark.range(0, 200_000, 7).select("id", packing.cell_of(F.col("id")).alias("c")).collect()
     cells = [r.c for r in rows]
-    assert cells == sorted(cells) and cells[:10] == [r.id for r in rows[:10]] and max(cells) < packing.EXACT + 6 * packing.STEPS + 1
+    assert cells == sorted(cells) and cells[:9000] == [r.id for r in rows[:9000]] and max(cells) < packing.EXACT + 3 * packing.STEPS + 1
 
 
 # HTML

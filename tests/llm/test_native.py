@@ -91,6 +91,25 @@ def test_empty_tables(spark):
     assert pii.sanitise(empty).count() == 0
     assert licenses.scan(empty).count() == 0
     assert sharding.shard_documents(empty).count() == 0
+    captures = spark.createDataFrame([(1, "http://a.com/x", date(2024, 1, 1))], "id long, url string, fetched date")
+    listed = spark.createDataFrame([("a.com", "spam", "block", date(2024, 1, 1), True)], "entry string, category string, action string, at date, added boolean")
+    assert urlfilter.judge(captures.limit(0), listed).count() == 0
+    assert [r.verdict for r in urlfilter.judge(captures, listed.limit(0)).collect()] == ["none"]
+
+
+def test_stages_keep_clashing_columns_and_take_nulls(spark, sf_dir):
+    import corpus_pipeline
+
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    clash = ["kept", "votes", "features", "posterior", "base", "terms", "clean", "key", "kinds", "body", "row", "own", "goes", "component", "item"]
+    df = good.unionByName(good.limit(3)).unionByName(good.limit(1).select(*(F.lit(None).cast(good.schema[c].dataType).alias(c) for c in good.columns)))
+    df = df.select("*", *(F.lit(f"{c}!").alias(c) for c in clash))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf_dir)
+        assert out.columns == df.columns and {tuple(r) for r in out.select(*clash).distinct().collect()} <= {tuple(f"{c}!" for c in clash)}
+        assert stage(spark, df.limit(0), sf_dir).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert packed(spark, df, sf_dir).count() == df.count() and packed(spark, df.limit(0), sf_dir).count() == 0
 
 
 PERSONAL = TEXTS + [
@@ -191,8 +210,9 @@ def test_terms_of_entities_of_one_text_are_found(spark):
 def test_verdicts_equal_brute_force(spark):
     rng = random.Random(5)
     hosts = ["a.com", "b.a.com", "c.b.a.com", "d.org", ""]
-    events = [(rng.choice(["a.com", "b.a.com", "d.org", "d.org/x", None]), rng.choice(["spam", "ok"]), rng.choice(["block", "allow"]), date(2024, 1, rng.randrange(1, 29)), rng.random() < 0.7) for _ in range(60)]
-    captures = [(i, None if i == 0 else f"http://U:p@{rng.choice(hosts).upper()}:80/{rng.choice(['x', 'y', ''])}?q", None if i == 1 else date(2024, 1, rng.randrange(1, 31))) for i in range(80)] + [(2, "http://a.com/x", date(2024, 1, 9))] * 2
+    events = [(rng.choice(["a.com", "b.a.com", "d.org", "d.org/x", "d.org/x/y", "com", None]), rng.choice(["spam", "ok"]), rng.choice(["block", "allow"]), date(2024, 1, rng.randrange(1, 29)), rng.random() < 0.7) for _ in range(60)]
+    captures = [(i, None if i == 0 else f"http://U:p@{rng.choice(hosts).upper()}:80/{rng.choice(['x', 'y', '', 'x/y', 'x//y', 'x/y/z'])}?q", None if i == 1 else date(2024, 1, rng.randrange(1, 31))) for i in range(80)] + [(2, "http://a.com/x", date(2024, 1, 9))] * 2
+    captures += [(90, "http://" + "deep." * 3000 + "a.com/" + "x/" * 3000, date(2024, 1, 15))]
     ev = spark.createDataFrame(events, "entry string, category string, action string, at date, added boolean")
     cap = spark.createDataFrame([(*c, "h") for c in captures], "id long, url string, fetched date, host string")
     state = defaultdict(dict)
@@ -206,9 +226,10 @@ def test_verdicts_equal_brute_force(spark):
         if url and day:
             host, _, path = url.split("@")[-1].removeprefix("http://").partition("/")
             host = host.split(":")[0].lower()
-            directory = path.split("?")[0].split("/")[0]
+            directories = path.split("?")[0].split("/")
+            directories = directories[: directories.index("")] if "" in directories else directories
             labels = host.split(".")
-            names = [".".join(labels[j:]) for j in range(len(labels))] + ([f"{host}/{directory}"] if directory else []) if host else []
+            names = [".".join(labels[j:]) for j in range(len(labels))][-9:] + [f"{host}/{'/'.join(directories[:j])}" for j in range(1, min(4, len(directories) + 1))] if host else []
             for (e, c, a), days in state.items():
                 before = [d for d in days if d <= day]
                 if e in names and before and days[max(before)]:
@@ -220,8 +241,17 @@ def test_verdicts_equal_brute_force(spark):
 def test_licence_rules(spark):
     mit = "\n".join(["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal in\nthe Software without restriction, including without limitation the rights to use,\ncopy, modify, merge, publish, distribute, sublicense, and/or sell copies of the\nSoftware, and to permit persons to whom the Software is furnished to do so,\nsubject to the following conditions:", "", "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.", "", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."])
     texts = [None, "", mit, "no end of line\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0. Other words", mit.split("\n\n")[2], "Released under the MIT License." * 2]
-    got = [r.license for r in licenses.scan(docs(spark, texts, ids="clash")).orderBy("doc_id").collect()]
-    assert got == [None, None, "MIT", "MIT", "Apache-2.0", None, None]
+    texts += ["filler words. " * 60_000 + mit]
+    df = docs(spark, texts, ids="clash")
+    got = [r.license for r in licenses.scan(df.unionByName(df)).orderBy("doc_id").collect()]
+    assert got == [x for x in [None, None, "MIT", "MIT", "Apache-2.0", None, None, "MIT"] for _ in range(2)]
+
+
+def test_identifiers_are_compared_whole(spark):
+    sentences = {"a-b": "first", "aXb": "second", "a_b": "third", "a,b": "fourth"}
+    rules = [("L1", ["a_b"]), ("L2", ["a-b", "a,b"]), ("L3", ["a%"]), ("L4", ["a,b", "a-b"]), ("L5", []), ("L6", ["a-b", "a-b"])]
+    rows = licenses.scan(docs(spark, ["First. Second.", "First. x. Fourth.", "third\n\n", "First. First."]), sentences=sentences, rules=rules).orderBy("doc_id").collect()
+    assert [r.licenses for r in rows] == [[], ["L2"], ["L1"], ["L6"]]
 
 
 def test_standard_headers_name_their_licence(spark):
