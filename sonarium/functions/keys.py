@@ -31,20 +31,37 @@ def storable(key: Column) -> Column:
     return key.rlike("^(ih|c|id):")
 
 
-def torrent(infohash: Column, index: Column) -> Column:
-    """Hex infohashes in lower case, others as they are; no index is the first."""
-    norm = F.when(infohash.rlike("^[0-9a-fA-F]{40}$"), F.lower(infohash)).otherwise(infohash)
-    return F.when(F.coalesce(infohash, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("ih:"), norm, F.lit("/"), F.coalesce(F.nullif(index, F.lit("")), F.lit("1"))))
+#: The base32 alphabet of RFC 4648.
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_HASH = "(?:[0-9a-fA-F]{40}|[a-zA-Z2-7]{32})"
+
+
+def infohash(text: Column) -> Column:
+    """The 40 hex digits in lower case of an infohash in hex or base32; null for others."""
+
+    def quarter(i: int) -> Column:
+        four = F.substring(F.upper(text), 4 * i + 1, 4)
+        value = sum(((F.instr(F.lit(BASE32), F.substring(four, j + 1, 1)) - 1) * 32 ** (3 - j) for j in range(1, 4)), (F.instr(F.lit(BASE32), F.substring(four, 1, 1)) - 1) * 32**3)
+        return F.lower(F.lpad(F.hex(value), 5, "0"))
+
+    return F.when(text.rlike("^[0-9a-fA-F]{40}$"), F.lower(text)).when(text.rlike("^[a-zA-Z2-7]{32}$"), F.concat(*map(quarter, range(8))))
+
+
+def torrent(infohash_: Column, index: Column) -> Column:
+    """Infohashes in hex or base32 become lower-case hex, others stay as they are; no index is the first."""
+    norm = F.coalesce(infohash(infohash_), infohash_)
+    return F.when(F.coalesce(infohash_, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("ih:"), norm, F.lit("/"), F.coalesce(F.nullif(index, F.lit("")), F.lit("1"))))
 
 
 def stream_key(url: Column) -> Column:
-    """The torrent key that a stream URL names (/play/HASH/N, or /stream?link=HASH&index=N); else empty."""
-    play_hash, play_n = F.regexp_extract(url, r"/play/([0-9a-fA-F]{40})/([^/?#]+)/?(?:[?#].*)?$", 1), F.regexp_extract(url, r"/play/([0-9a-fA-F]{40})/([^/?#]+)/?(?:[?#].*)?$", 2)
+    """The torrent key that a stream URL names (/play/HASH/N, or /stream?link=HASH&index=N, the link a hash or a magnet link with one); else empty."""
+    play = rf"/play/({_HASH})/([^/?#]+)/?(?:[?#].*)?$"
+    play_hash, play_n = F.regexp_extract(url, play, 1), F.regexp_extract(url, play, 2)
     query = F.regexp_extract(url, _URL, 4)
     link = F.regexp_extract(query, r"(?:^|&)link=([^&]*)", 1)
-    link = F.coalesce(F.nullif(F.regexp_extract(F.url_decode(link), r"urn:btih:([0-9a-fA-F]{40})", 1), F.lit("")), link)
+    link = F.coalesce(F.nullif(F.regexp_extract(F.url_decode(link), rf"urn:btih:({_HASH})(?:[^0-9a-zA-Z]|$)", 1), F.lit("")), link)
     n = F.regexp_extract(query, r"(?:^|&)index=([^&]*)", 1)
-    is_stream = F.regexp_extract(url, _URL, 3).rlike("^/stream(/|$)") & (n != "") & link.rlike("^[0-9a-fA-F]{40}$")
+    is_stream = F.regexp_extract(url, _URL, 3).rlike("^/stream(/|$)") & (n != "") & link.rlike(f"^{_HASH}$")
     return F.when(play_hash != "", torrent(play_hash, play_n)).when(is_stream, torrent(link, n)).otherwise(F.lit(""))
 
 

@@ -66,11 +66,12 @@ def trust(ads: DataFrame, votes: DataFrame, confirmations: DataFrame, policy: Da
     whether a threshold is met.
     """
     parts = [
-        weighed(ads.select(F.col("id").alias("ad"), F.col("author").alias("origin")), policy, self_id).select("ad", "w"),
-        weighed(votes.select("ad", "origin", "value"), policy, self_id).select("ad", (F.col("w") * F.col("value")).alias("w")),
-        weighed(confirmations, policy, self_id).select("ad", (F.col("w") * CONFIRMED_SHARE).alias("w")),
+        ads.select(F.col("id").alias("ad"), F.col("author").cast("long").alias("origin"), F.lit(1.0).alias("factor")),
+        votes.select("ad", F.col("origin").cast("long").alias("origin"), F.col("value").cast("double").alias("factor")),
+        confirmations.select("ad", F.col("origin").cast("long").alias("origin"), F.lit(CONFIRMED_SHARE).alias("factor")),
     ]
-    summed = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("ad").agg(F.sum("w").alias("s"))
+    each = weighed(parts[0].unionByName(parts[1]).unionByName(parts[2]), policy, self_id)
+    summed = each.groupBy("ad").agg(F.sum(F.col("w") * F.col("factor")).alias("s"))
     return ads.select(F.col("id").alias("ad")).join(summed, "ad").select(F.col("ad").alias("id"), F.round("s", 9).alias("trust"))
 
 
@@ -115,21 +116,50 @@ def anchored(starts: Column, width: int = CLUSTER_MS) -> Column:
     return F.aggregate(starts, zero, step, lambda s: s["out"])
 
 
-def cluster(dets: DataFrame, policy: DataFrame, self_id: int) -> DataFrame:
-    """(key, ad, anchor_ms, start_ms, end_ms, score, confirmed, origins, weight): detections of an ad that start within 250 ms of the first.
+def members(dets: DataFrame) -> DataFrame:
+    """(key, ad, anchor_ms, origin, best, confirmed, disagree): each origin's detections in a cluster, which starts within 250 ms of its first.
 
-    Distinct starts of an ad in a file are walked once; their detections join
-    the anchors. The best score gives the interval; of equal scores the
-    earliest start, then the least origin.
+    A gap of more than 250 ms always begins a cluster, so the distinct starts
+    of an ad in a file are cut there first, and only the starts of one such
+    island are walked together.
     """
-    starts = dets.groupBy("key", "ad").agg(F.sort_array(F.collect_set("start_ms")).alias("s"))
-    anchors = starts.select("key", "ad", F.explode(F.arrays_zip("s", anchored(F.col("s")).alias("a"))).alias("z")).select("key", "ad", F.col("z.s").alias("start_ms"), F.col("z.a").alias("anchor_ms"))
-    rows = dets.join(anchors, ["key", "ad", "start_ms"])
-    best = F.max_by(F.struct("start_ms", "end_ms", "score"), F.struct("score", (-F.col("start_ms")).alias("s"), (-F.col("origin")).alias("o"))).alias("best")
-    shown = rows.groupBy("key", "ad", "anchor_ms").agg(best, F.max("confirmed").alias("confirmed"))
-    distinct = weighed(rows.select("key", "ad", "anchor_ms", "origin").distinct(), policy, self_id)
-    sums = distinct.groupBy("key", "ad", "anchor_ms").agg(F.count("*").alias("origins"), F.round(F.sum("w"), 9).alias("weight"))
-    return shown.join(sums, ["key", "ad", "anchor_ms"]).select("key", "ad", "anchor_ms", "best.*", "confirmed", "origins", "weight")
+    by = Window.partitionBy("key", "ad").orderBy("start_ms")
+    new = F.when(F.col("start_ms") - F.lag("start_ms").over(by) <= CLUSTER_MS, 0).otherwise(1)
+    starts = dets.select("key", "ad", "start_ms").distinct().withColumn("new", new)
+    starts = starts.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = starts.groupBy("key", "ad", "island").agg(F.sort_array(F.collect_list("start_ms")).alias("s"))
+    anchors = islands.select("key", "ad", F.explode(F.arrays_zip("s", anchored(F.col("s")).alias("a"))).alias("z")).select("key", "ad", F.col("z.s").alias("start_ms"), F.col("z.a").alias("anchor_ms"))
+    best = F.max_by(F.struct("start_ms", "end_ms", "score"), F.struct("score", (-F.col("start_ms")).alias("s"))).alias("best")
+    return dets.join(anchors, ["key", "ad", "start_ms"]).groupBy("key", "ad", "anchor_ms", "origin").agg(best, F.max("confirmed").alias("confirmed"), (F.min("confirmed") != F.max("confirmed")).alias("disagree"))
+
+
+def clustered(rows: DataFrame, policy: DataFrame, self_id: int) -> DataFrame:
+    """members, one row for each cluster: the best score gives the interval; of equal scores the earliest start, then the least origin."""
+    best = F.max_by("best", F.struct("best.score", (-F.col("best.start_ms")).alias("s"), (-F.col("origin")).alias("o"))).alias("best")
+    disagree = (F.max("disagree") | (F.min("confirmed") != F.max("confirmed"))).alias("disagree")
+    out = weighed(rows, policy, self_id).groupBy("key", "ad", "anchor_ms").agg(best, F.max("confirmed").alias("confirmed"), F.count("*").alias("origins"), F.round(F.sum("w"), 9).alias("weight"), disagree)
+    return out.select("key", "ad", "anchor_ms", "best.*", "confirmed", "origins", "weight", "disagree")
+
+
+def cluster(dets: DataFrame, policy: DataFrame, self_id: int) -> DataFrame:
+    """(key, ad, anchor_ms, start_ms, end_ms, score, confirmed, origins, weight): detections of an ad that start within 250 ms of the first."""
+    return clustered(members(dets), policy, self_id).drop("disagree")
+
+
+def contradicted(found: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """(key, ad, anchor_ms) of the clusters that one of another ad and of more weight overlaps in time; they meet in buckets of time."""
+    buckets = F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor(F.greatest(F.col("start_ms"), F.col("end_ms") - 1) / bucket_ms))).alias("bucket")
+    a, o = found.select("key", "ad", "anchor_ms", "start_ms", "end_ms", "weight", buckets).alias("a"), found.select("key", "ad", "start_ms", "end_ms", "weight", buckets).alias("o")
+    against = (F.col("a.key") == F.col("o.key")) & (F.col("a.bucket") == F.col("o.bucket")) & (F.col("a.ad") != F.col("o.ad")) & (F.col("o.start_ms") < F.col("a.end_ms")) & (F.col("a.start_ms") < F.col("o.end_ms")) & (F.col("o.weight") > F.col("a.weight"))
+    return a.join(o, against, "left_semi").select("key", "ad", "anchor_ms").distinct()
+
+
+def digest(ids: DataFrame, column: str, head: str, digits: int = 2) -> DataFrame:
+    """One row with the digest of a set of hex ids: that of the digests of its ranges by the first digits, each in order of ids, so that no task holds the whole set."""
+    part = F.substring(column, 1, digits).alias("part")
+    ranges = ids.groupBy(part).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(column)), ""), 256).alias("d"))
+    whole = ranges.agg(F.sort_array(F.collect_list(F.struct("part", "d"))).alias("r"))  # at most 16^digits rows
+    return whole.select(F.sha2(F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["d"]), "")), 256).alias("digest"))
 
 
 # listings
@@ -207,16 +237,17 @@ def dup_pairs(dups: DataFrame, ads: DataFrame, self_id: int) -> DataFrame:
 
 def origins(policy: DataFrame, records: DataFrame, votes: DataFrame, ads: DataFrame, bad: DataFrame, dup_ads: DataFrame, retracted: DataFrame, self_id: int) -> DataFrame:
     """One row for the own node, each origin of a record, vote or ad, and each one with a policy."""
-    r = records.groupBy("origin").agg(F.count("*").alias("records"), F.max("received").alias("last_received"))
-    v = votes.groupBy("origin").agg(F.count("*").alias("votes"))
-    flag = lambda d, name: d.select(F.col("ad").alias("id"), F.lit(1).alias(name)).distinct()
+    flag = lambda d, name: d.select(F.col("ad").alias("id"), F.lit(1).cast("long").alias(name)).distinct()
     authored = ads.where("author IS NOT NULL").select("id", F.col("author").alias("origin"))
     gone = retracted.join(ads.select(F.col("id").alias("ad"), F.col("author").alias("origin")), ["ad", "origin"], "left_semi")
-    marked = authored.join(flag(bad, "t"), "id", "left").join(flag(dup_ads, "d"), "id", "left").join(flag(gone, "r"), "id", "left")
-    a = marked.groupBy("origin").agg(F.count("*").alias("ads"), F.count("t").alias("trashed"), F.count("d").alias("dups"), F.count("r").alias("retracted"))
-    own = policy.sparkSession.createDataFrame([(self_id,)], "origin long")
-    p = policy.select("origin", "name", "weight", "blocked", "managed")
-    out = own.join(p, "origin", "full").join(r, "origin", "full").join(v, "origin", "full").join(a, "origin", "full")
+    marked = authored.join(flag(bad, "trashed"), "id", "left").join(flag(dup_ads, "dups"), "id", "left").join(flag(gone, "retracted"), "id", "left")
+    one = F.lit(1).cast("long")
+    rules = policy.select("origin", F.struct("name", "weight", "blocked", "managed").alias("rule"))
+    rows = rules.unionByName(policy.sparkSession.range(self_id, self_id + 1).select(F.col("id").alias("origin")), True)
+    rows = rows.unionByName(records.select("origin", one.alias("records"), F.col("received").alias("last_received")), True).unionByName(votes.select("origin", one.alias("votes")), True)
+    rows = rows.unionByName(marked.select("origin", one.alias("ads"), "trashed", "dups", "retracted"), True)
+    sums = [F.sum(c).alias(c) for c in ("records", "votes", "ads", "trashed", "dups", "retracted")]
+    out = rows.groupBy("origin").agg(F.max("rule").alias("rule"), F.max("last_received").alias("last_received"), *sums).select("origin", "rule.*", "last_received", "records", "votes", "ads", "trashed", "dups", "retracted")
     w = F.round(weight(self_id, F.col("blocked"), F.col("weight"), F.col("origin")), 9)
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "votes", "ads", "trashed", "dups", "retracted")]
     return out.select("origin", (F.col("origin") == self_id).alias("is_self"), F.coalesce("name", F.lit("")).alias("name"), w.alias("w"), F.coalesce("blocked", F.lit(False)).alias("blocked"), F.coalesce("managed", F.lit(False)).alias("managed"), "last_received", *counts)

@@ -1,15 +1,17 @@
 """Folds over the blocks of a file: candidates and their confirmation, simple merging, evaluation against labels.
 
 These depend on order, so each fold states a total order of its input. They
-run per file, whose rows are as many as the file has blocks and detections.
+run per file, or per ad of a file where other ads make no difference, whose
+rows are as many as the file has blocks and detections.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import folded
+
 #: Milliseconds: alignments this close are the same; blocks this close follow one another; slack of coverage.
 SAME_START, FOLLOWS, SLACK = 150, 250, 50
 CONFIRM_SCORE = 40
@@ -55,28 +57,29 @@ def fold_candidates(rows: list[dict], confirm_score: int = CONFIRM_SCORE) -> lis
 def candidates(dets: DataFrame, confirm_score: int = CONFIRM_SCORE) -> DataFrame:
     """(file, ad, start, end, score, agree, confirmed) from (file, block_from, block_to, ad, start, end, score, ord)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in pdf.sort_values(["block_from", "block_to", "ord"]).to_dict("records")]
-        out = pd.DataFrame(fold_candidates(rows, confirm_score), columns=["ad", "start", "end", "score", "agree", "confirmed"])
-        return out.assign(file=pdf["file"].iloc[0])[["file", "ad", "start", "end", "score", "agree", "confirmed"]]
+    names = ["file", "block_from", "block_to", "ad", "start", "end", "score", "ord"]
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        found = fold_candidates([dict(zip(names, r, strict=True)) for r in rows], confirm_score)
+        return [(rows[0][0], *(e[k] for k in ("ad", "start", "end", "score", "agree", "confirmed"))) for e in found]
 
-    return dets.groupBy("file").applyInPandas(fold, "file string, ad long, start long, end long, score long, agree long, confirmed boolean")
+    return folded(dets.select(*names), ["file"], ["block_from", "block_to", "ord"], fold, "file string, ad long, start long, end long, score long, agree long, confirmed boolean")
 
 
 def merged(dets: DataFrame) -> DataFrame:
     """(file, ad, start_ms, end_ms, score): overlapping detections of an ad in order of ord are one; the higher score stays."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for ad, start, end, score in pdf.sort_values("ord")[["ad", "start_ms", "end_ms", "score"]].itertuples(index=False):
-            e = next((e for e in kept if e[0] == ad and start < e[2] and e[1] < end), None)
-            if e is None:
-                kept.append([ad, start, end, score])
-            elif score > e[3]:
-                e[1:] = [start, end, score]
-        return pd.DataFrame(kept, columns=["ad", "start_ms", "end_ms", "score"]).assign(file=pdf["file"].iloc[0])[["file", "ad", "start_ms", "end_ms", "score"]]
+    def fold(rows: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for r in rows:
+            at = next((i for i, e in enumerate(kept) if r[2] < e[3] and e[2] < r[3]), None)
+            if at is None:
+                kept.append(r[:5])
+            elif r[4] > kept[at][4]:
+                kept[at] = r[:5]
+        return kept
 
-    return dets.groupBy("file").applyInPandas(fold, "file string, ad long, start_ms long, end_ms long, score long")
+    return folded(dets.select("file", "ad", "start_ms", "end_ms", "score", "ord"), ["file", "ad"], ["ord"], fold, "file string, ad long, start_ms long, end_ms long, score long")
 
 
 def same_occurrence(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -93,23 +96,19 @@ def assigned(truth: DataFrame, dets: DataFrame) -> DataFrame:
     both = truth.select("file", "ad", "start_ms", "end_ms", F.lit(None).cast("long").alias("score"), F.col("label_id").alias("n"), F.lit(0).alias("side"))
     both = both.unionByName(dets.select("file", "ad", "start_ms", "end_ms", "score", F.col("ord").alias("n"), F.lit(1).alias("side")))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = pdf[pdf["side"] == 0].sort_values("n")
-        rows = list(pdf[pdf["side"] == 1].sort_values("n").itertuples(index=False))
-        used: set[int] = set()
+    def fold(rows: list[tuple]) -> list[tuple]:
+        left = [r for r in rows if r[6] == 1]
         out = []
-        for x in labels.itertuples(index=False):
-            best = None
-            for i, d in enumerate(rows):
-                fits = i not in used and d.ad == x.ad and 2 * (min(x.end_ms, d.end_ms) - max(x.start_ms, d.start_ms)) >= min(x.end_ms - x.start_ms, d.end_ms - d.start_ms)
-                if fits and (best is None or d.score > rows[best].score):
-                    best = i
-            if best is not None:
-                used.add(best)
-            out.append((pdf["file"].iloc[0], x.n, None if best is None else rows[best].n))
-        return pd.DataFrame(out, columns=["file", "label_id", "det"]).astype({"label_id": "Int64", "det": "Int64"})
-
-    return both.groupBy("file").applyInPandas(fold, "file string, label_id long, det long")
+        for file, _, start, end, _, n, side in rows:
+            if side == 0:
+                fits = [d for d in left if 2 * (min(end, d[3]) - max(start, d[2])) >= min(end - start, d[3] - d[2])]
+                best = max(fits, key=lambda d: (d[4], -d[5]), default=None)
+                if best is not None:
+                    left.remove(best)
+                out.append((file, n, None if best is None else best[5]))
+        return out
+
+    return folded(both, ["file", "ad"], ["side", "n"], fold, "file string, label_id long, det long")
 
 
 def summary(assigned_: DataFrame, truth: DataFrame, dets: DataFrame) -> DataFrame:

@@ -50,6 +50,37 @@ def tally(judged: DataFrame) -> DataFrame:
     return judged.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def materialized(log: DataFrame) -> dict[str, DataFrame]:
+    """What the accepted records of a log become, whatever order they came in.
+
+    log: id, origin, seq, ts, kind, ad, and by kind label, value, canonical,
+    key and children (array<struct<ad, start_ms>>). Adds elect the earliest
+    (ts, origin) as the author; labels, votes and duplicate claims keep each
+    origin's latest by (ts, seq); retractions are a set; of the maps of a file
+    each origin's latest counts, with its children only. Unknown kinds become
+    nothing.
+    """
+    of = lambda kind: log.where(F.col("kind") == kind)
+    newest = lambda kind, by, *rest: of(kind).groupBy(*by).agg(F.max_by(F.struct("ts", "seq", *rest), F.struct("ts", "seq")).alias("x")).select(*by, "x.*")
+    first = F.min_by(F.struct(F.col("origin").alias("author"), F.col("ts").alias("author_ts"), "label", F.col("id").alias("record")), F.struct("ts", "origin", "seq")).alias("x")
+    maps = newest("file.map", ["key", "origin"], "children")
+    return {
+        "ads": of("ad.add").groupBy("ad").agg(first).select("ad", "x.*"),
+        "ad_adds": of("ad.add").groupBy("ad", "origin").agg(F.max("ts").alias("ts")),
+        "labels": newest("ad.label", ["ad", "origin"], "label"),
+        "votes": newest("ad.vote", ["ad", "origin"], "value"),
+        "dups": newest("ad.dup", ["ad", "origin"], "canonical"),
+        "retractions": of("ad.retract").select("ad", "origin", "ts").distinct(),
+        "peer_maps": maps.drop("children"),
+        "peer_detections": maps.select("key", "origin", F.inline("children")).distinct(),
+    }
+
+
+def next_numbers(records: DataFrame, wall: int) -> DataFrame:
+    """(origin, seq, ts) of the next record of each origin: its number, and its clock, which is the wall time unless the origin has been ahead of it."""
+    return records.groupBy("origin").agg((F.max("seq") + 1).alias("seq"), F.greatest(F.max("ts") + 1, F.lit(wall)).alias("ts"))
+
+
 def ad_records(records: DataFrame) -> DataFrame:
     """(ad, record): ads that a record is filed under; a duplicate claim under both, file maps under none."""
     ads = F.when(F.col("kind") == "ad.dup", F.array("ad", "canonical")).when(F.col("kind") == "file.map", F.array().cast("array<bigint>")).otherwise(F.array("ad"))

@@ -78,12 +78,11 @@ def p6(spark, sf):
     return c.effective(ads, c.latest(log, "ad", "origin"), SELF, "label").select("id", "label", "label_eff")
 
 
-@query("X4", _sql("ads labels_log", _EFFECTIVE, then="SELECT a.id, coalesce(s.said, a.label) AS label_eff FROM ads a LEFT JOIN said s ON s.ad = a.id WHERE a.id IN (SELECT ad FROM labels_log WHERE seq % 50 = 0)"))
+@query("X4", _sql("ads labels_log", _EFFECTIVE, then="SELECT a.id, coalesce(s.said, a.label) AS label_eff FROM ads a LEFT JOIN said s ON s.ad = a.id WHERE a.id IN (SELECT ad FROM labels_log)"))
 def x4(spark, sf):
     ads, log = _get(spark, sf, "ads labels_log")
-    changed = log.where("seq % 50 = 0").select(F.col("ad").alias("id")).distinct()
-    some, claims = ads.join(changed, "id", "left_semi"), log.join(changed.withColumnRenamed("id", "ad"), "ad", "left_semi")
-    return c.effective(some, c.latest(claims, "ad", "origin"), SELF, "label").select("id", "label_eff")
+    some = ads.join(log.select(F.col("ad").alias("id")).distinct(), "id", "left_semi")
+    return c.effective(some, c.latest(log, "ad", "origin"), SELF, "label").select("id", "label_eff")
 
 
 @query("P7", "SELECT p_partkey AS id, lower(p_name || ' ' || p_brand) AS label_fold FROM part")
@@ -168,9 +167,10 @@ def j17(spark, sf):
     return d.join(kept, "ad").join(ads.select(F.col("id").alias("ad"), "label", "type"), "ad").select("key", "ad", "start_ms", "origin", "label", "type")
 
 
-@query("T2", _sql("ads", then="SELECT id FROM ads ORDER BY created DESC, id LIMIT 500"))
+@query("T2", _sql("ads", then="SELECT id FROM ads ORDER BY created DESC, id LIMIT 262144"))
 def t2(spark, sf):
-    return _get(spark, sf, "ads")[0].orderBy(F.desc("created"), "id").limit(500).select("id")
+    """The newest ads, where there are more than an index takes."""
+    return _get(spark, sf, "ads")[0].orderBy(F.desc("created"), "id").limit(c.MAX_ADS).select("id")
 
 
 @query("G13", _sql("votes_log origin_policy", _VOTES, _TRASH, then="SELECT ad FROM trash"))
@@ -206,13 +206,9 @@ def g16(spark, sf):
 )
 def g17(spark, sf):
     d, p = _get(spark, sf, "peer_detections origin_policy")
-    found = c.cluster(d, p, SELF)
-    anchors = d.join(found.select("key", "ad", "anchor_ms"), ["key", "ad"]).where("start_ms BETWEEN anchor_ms AND anchor_ms + 250")
-    cells = anchors.groupBy("key", "ad", "anchor_ms").agg(F.countDistinct("origin").alias("cells"), (F.min("confirmed") != F.max("confirmed")).alias("disagree"))
-    a, o = found.alias("a"), found.alias("o")
-    against = a.join(o, (F.col("a.key") == F.col("o.key")) & (F.col("a.ad") != F.col("o.ad")) & (F.col("o.start_ms") < F.col("a.end_ms")) & (F.col("a.start_ms") < F.col("o.end_ms")) & (F.col("o.weight") > F.col("a.weight")), "left_semi")
-    against = against.select("key", "ad", "anchor_ms", F.lit(True).alias("contradicted"))
-    return cells.join(against, ["key", "ad", "anchor_ms"], "left").fillna(False, ["contradicted"])
+    found = c.clustered(c.members(d), p, SELF)
+    against = c.contradicted(found).withColumn("contradicted", F.lit(True))
+    return found.select("key", "ad", "anchor_ms", F.col("origins").alias("cells"), "disagree").join(against, ["key", "ad", "anchor_ms"], "left").fillna(False, ["contradicted"])
 
 
 def _page(where: str, order: str, limit: int, offset: int) -> str:
@@ -422,10 +418,9 @@ def g38(spark, sf):
     return _get(spark, sf, "ads")[0].select("fp_version").distinct().orderBy("fp_version")
 
 
-@query("G37", _sql("ads", then="SELECT sha256('index' || string_agg(hex_id, '' ORDER BY hex_id)) AS digest FROM ads WHERE fp_version = 1 AND type = 'intro'"))
+@query("G37", _sql("ads", then="SELECT sha256('index' || string_agg(d, '' ORDER BY part)) AS digest FROM (SELECT substr(hex_id, 1, 2) AS part, sha256(string_agg(hex_id, '' ORDER BY hex_id)) AS d FROM ads WHERE fp_version = 1 AND type = 'intro' GROUP BY 1)"))
 def g37(spark, sf):
-    ids = _get(spark, sf, "ads")[0].where("fp_version = 1 AND type = 'intro'").agg(F.sort_array(F.collect_list("hex_id")).alias("ids"))
-    return ids.select(F.sha2(F.concat(F.lit("index"), F.array_join("ids", "")), 256).alias("digest"))
+    return c.digest(_get(spark, sf, "ads")[0].where("fp_version = 1 AND type = 'intro'"), "hex_id", "index")
 
 
 @query("G39", _sql("ad_points", then="SELECT count(*) FILTER (ad % 5 = 0) > greatest(65536, count(*) // 16) OR count(*) FILTER (ad % 7 = 3) > greatest(65536, count(*) // 8) AS rebuild FROM ad_points"))
@@ -460,12 +455,27 @@ def x1(spark, sf):
     return _get(spark, sf, "ads")[0].join(F.broadcast(ids), "id", "left_semi").select("id", "label")
 
 
-@query("X2", _sql("votes_log origin_policy own_detections peer_detections", _VOTES, then=f"SELECT 'vote' AS part, v.origin, CAST(v.value AS BIGINT) AS n, {w('v.origin')} AS w, CAST(NULL AS VARCHAR) AS key FROM votes v LEFT JOIN origin_policy p ON p.origin = v.origin WHERE v.ad = 7 UNION ALL SELECT 'sighting', NULL, start_ms, NULL, key FROM own_detections WHERE ad = 7 UNION ALL SELECT 'sighting', origin, start_ms, NULL, key FROM peer_detections WHERE ad = 7"))
+_BUNDLE = f"""SELECT 'vote' AS part, v.ad, v.origin, CAST(v.value AS VARCHAR) AS said, {w('v.origin')} AS w, v.ts FROM votes v LEFT JOIN origin_policy p ON p.origin = v.origin
+UNION ALL SELECT 'label', ad, origin, label, NULL, ts FROM (SELECT * FROM labels_log QUALIFY row_number() OVER (PARTITION BY ad, origin ORDER BY ts DESC, seq DESC) = 1)
+UNION ALL SELECT 'dup', ad, origin, CAST(canonical AS VARCHAR), NULL, NULL FROM dups
+UNION ALL SELECT 'sighting', ad, NULL, key, NULL, start_ms FROM own_detections UNION ALL SELECT 'sighting', ad, origin, key, NULL, start_ms FROM peer_detections
+UNION ALL SELECT 'history', ad, origin, kind, NULL, ts FROM (SELECT * FROM records WHERE kind <> 'file.map' QUALIFY row_number() OVER (PARTITION BY ad ORDER BY id DESC) <= 200)"""
+
+
+@query("X2", _sql("votes_log origin_policy own_detections peer_detections labels_log dups records", _VOTES, then=_BUNDLE))
 def x2(spark, sf):
-    _, policy, own, peer = _get(spark, sf, "votes_log origin_policy own_detections peer_detections")
-    votes = c.weighed(_voted(spark, sf).where("ad = 7"), policy, SELF).select(F.lit("vote").alias("part"), "origin", F.col("value").alias("n"), F.col("w").cast("double").alias("w"), F.lit(None).cast("string").alias("key"))
-    seen = own.where("ad = 7").select(F.lit(None).cast("long").alias("origin"), "start_ms", "key").unionByName(peer.where("ad = 7").select("origin", "start_ms", "key"))
-    return votes.unionByName(seen.select(F.lit("sighting").alias("part"), "origin", F.col("start_ms").alias("n"), F.lit(None).cast("double").alias("w"), "key"))
+    """What the detail of each ad shows: votes with their weights, labels, duplicate claims, sightings, and the newest 200 records."""
+    from pyspark.sql import Window
+
+    _, policy, own, peer, labels, dups, records = _get(spark, sf, "votes_log origin_policy own_detections peer_detections labels_log dups records")
+    none = F.lit(None)
+    part = lambda name, df, said, origin=F.col("origin"), weight=none.cast("double"), ts=none: df.select(F.lit(name).alias("part"), "ad", origin.cast("long").alias("origin"), said.cast("string").alias("said"), weight.cast("double").alias("w"), ts.cast("long").alias("ts"))
+    newest = F.row_number().over(Window.partitionBy("ad").orderBy(F.desc("id")))
+    history = records.where("kind <> 'file.map'").withColumn("n", newest).where("n <= 200")
+    out = part("vote", c.weighed(_voted(spark, sf), policy, SELF), F.col("value"), weight=F.col("w"), ts=F.col("ts"))
+    out = out.unionByName(part("label", c.latest(labels, "ad", "origin"), F.col("label"), ts=F.col("ts"))).unionByName(part("dup", dups, F.col("canonical")))
+    out = out.unionByName(part("sighting", own, F.col("key"), none, ts=F.col("start_ms"))).unionByName(part("sighting", peer, F.col("key"), ts=F.col("start_ms")))
+    return out.unionByName(part("history", history, F.col("kind"), ts=F.col("ts")))
 
 
 @query("X17", _sql("peers records votes_log origin_policy", _VOTES, _TRASH, then="SELECT p.name, p.received, coalesce(r.n, 0) AS relayed FROM peers p LEFT JOIN (SELECT via, count(*) AS n FROM (SELECT DISTINCT via, ad FROM records WHERE kind = 'ad.add' AND via IS NOT NULL) GROUP BY via) r ON r.via = p.node_id"))

@@ -21,14 +21,15 @@ _MACROS = {
     # the first 24 bits of the MD5 of a string
     "H24": (lambda x: f"CAST(conv(substr(md5({x}), 1, 6), 16, 10) AS BIGINT)", lambda x: f"CAST('0x' || substr(md5({x}), 1, 6) AS BIGINT)"),
     "PROP": (lambda x: f"CAST(get_json_object({x}, '$.k') AS BIGINT)", lambda x: f"CAST(json_extract_string({x}, '$.k') AS BIGINT)"),
-    # one row for each lower-case word: word and its position
-    "WORDS": (lambda x: f"LATERAL posexplode(regexp_extract_all(lower({x}), '[a-z]+', 0)) AS w(pos, word)", lambda x: f"LATERAL (SELECT unnest(regexp_extract_all(lower({x}), '[a-z]+')) AS word, unnest(range(len(regexp_extract_all(lower({x}), '[a-z]+')))) AS pos) w"),
+    # the lower-case words of a text, and one row for each pair of neighbours: its position and both words
+    "WORDS": (lambda x: rf"regexp_extract_all(lower({x}), '\\pL+', 0)", lambda x: rf"regexp_extract_all(lower({x}), '\pL+')"),
+    "PAIRS": (lambda x: f"LATERAL posexplode(zip_with({x}, slice({x}, 2, greatest(size({x}), 1)), (a, b) -> a || ' ' || b)) AS w(pos, word)", lambda x: f"LATERAL (SELECT unnest(list_transform({x}, lambda a, i: a || ' ' || {x}[i + 1])) AS word, unnest(range(len({x}))) AS pos) w"),
     "UNHEX": (lambda x: f"unhex({x})", lambda x: f"unhex({x})"),
 }
 
 PROJECTIONS = {
-    "ad_points": "SELECT CAST(b.item_id AS BIGINT) AS ad, @H24[w.word] AS h, CAST(w.pos AS BIGINT) AS t FROM {benchmark} b, @WORDS[b.text] WHERE length(w.word) >= 5",
-    "q_points": "SELECT CAST(d.doc_id AS BIGINT) AS q, @H24[w.word] AS h, CAST(w.pos AS BIGINT) AS t FROM {documents} d, @WORDS[d.text] WHERE length(w.word) >= 5",
+    "ad_points": "SELECT d.ad, @H24[w.word] AS h, CAST(w.pos AS BIGINT) AS t FROM (SELECT CAST(item_id AS BIGINT) AS ad, @WORDS[text] AS ws FROM {benchmark}) d, @PAIRS[d.ws] WHERE w.word IS NOT NULL",
+    "q_points": "SELECT d.q, @H24[w.word] AS h, CAST(w.pos AS BIGINT) AS t FROM (SELECT CAST(doc_id AS BIGINT) AS q, @WORDS[text] AS ws FROM {documents}) d, @PAIRS[d.ws] WHERE w.word IS NOT NULL",
     "peer_detections": """SELECT 'k' || CAST(l_orderkey % 50 AS STRING) AS key, l_suppkey AS origin, l_partkey % 40 AS ad,
         CAST(l_linenumber * 10000 + CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS BIGINT) AS start_ms,
         CAST(l_linenumber * 10000 + CAST(floor(l_extendedprice) AS BIGINT) % 1000 + 15000 + (l_partkey % 40) * 500 AS BIGINT) AS end_ms,
@@ -57,13 +58,15 @@ PROJECTIONS = {
         @MS[l_shipdate] AS ts, l_orderkey AS o, l_linenumber AS n, l_extendedprice AS p FROM {lineitem} WHERE l_returnflag <> 'N') cast_votes""",
     "labels_log": """SELECT o_orderkey % 150 AS ad, o_custkey % 60 AS origin, o_orderpriority || '/' || CAST(o_orderkey % 13 AS STRING) AS label, @MS[o_orderdate] AS ts, o_orderkey AS seq FROM {orders}""",
     "dups": "SELECT p_partkey % 200 AS ad, p_partkey % 20 AS origin, max(p_partkey * 7 % 200) AS canonical FROM {part} WHERE p_size % 4 = 0 GROUP BY 1, 2",
-    "pins": "SELECT p_partkey AS ad FROM {part} WHERE p_partkey % 37 = 0 AND p_partkey < 400",
+    "pins": "SELECT p_partkey AS ad FROM {part} WHERE p_partkey % 37 = 0",
     "ad_adds": "SELECT o_orderkey % 300 AS ad, o_orderkey % 97 AS origin, max(@MS[o_orderdate]) AS ts FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1, 2",
     "retractions": "SELECT o_orderkey % 300 AS ad, o_orderkey % 97 AS origin, max(@MS[o_orderdate]) AS ts FROM {orders} WHERE o_orderstatus = 'O' GROUP BY 1, 2",
     "records": """SELECT event_id AS id, user_id AS origin, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
         CASE event_type WHEN 'signup' THEN 'ad.add' WHEN 'click' THEN 'ad.vote' WHEN 'error' THEN 'ad.dup' WHEN 'view' THEN 'ad.label' ELSE 'file.map' END AS kind,
         @PROP[props] AS ad, @MS[ts] AS ts, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 5 END AS via, @MS[ts] + event_id % 1000 AS received, value
         FROM {events}""",
+    "log6": """SELECT id, origin, seq, ts, CASE WHEN kind = 'file.map' AND id % 2 = 0 THEN 'ad.retract' ELSE kind END AS kind, ad, 'l' || CAST(id % 11 AS STRING) AS label,
+        CASE WHEN id % 3 = 0 THEN -1 ELSE 1 END AS value, ad * 7 % 100 AS canonical, 'k' || CAST(ad % 9 AS STRING) AS key FROM {records}""",
     "stored": "SELECT origin, seq, md5(CAST(id AS STRING)) AS hash, received FROM {records} WHERE id % 3 = 0",
     "batch": """SELECT CAST(id * 10 + v AS BIGINT) AS arrival, origin, seq, CASE WHEN v = 2 THEN md5('x' || CAST(id AS STRING)) ELSE md5(CAST(id AS STRING)) END AS hash,
         CASE WHEN id % 53 = 0 THEN 'Bad!' ELSE kind END AS kind, ts + CASE WHEN id % 29 = 0 THEN 100000000000 ELSE 0 END AS ts, id % 41 <> 0 AS sig_ok,
@@ -78,11 +81,11 @@ PROJECTIONS = {
     "observations": "SELECT event_type AS family, value FROM {events}",
     "peers": "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS node_id, CAST(n_nationkey * 10 AS BIGINT) AS received FROM {nation} WHERE n_nationkey % 2 = 0",
     "configured": "SELECT n_name AS name, 'https://' || lower(n_name) || '.example' AS url FROM {nation} WHERE n_nationkey % 3 = 0",
-    "dets": """SELECT 'k' || CAST(l_orderkey % 200 AS STRING) AS file, l_partkey % 6 AS ad, CAST(l_linenumber * 20000 + CAST(floor(l_extendedprice) AS BIGINT) % 9000 AS BIGINT) AS start_ms,
+    "dets": """SELECT 'k' || CAST(floor(l_orderkey / 64) AS BIGINT) AS file, l_partkey % 6 AS ad, CAST(l_linenumber * 20000 + CAST(floor(l_extendedprice) AS BIGINT) % 9000 AS BIGINT) AS start_ms,
         CAST(l_linenumber * 20000 + CAST(floor(l_extendedprice) AS BIGINT) % 9000 + 8000 + (l_partkey % 6) * 4000 AS BIGINT) AS end_ms, CAST(l_quantity AS BIGINT) AS score,
-        CAST(row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS ord FROM {lineitem} WHERE l_orderkey % 17 = 0""",
-    "truth": """SELECT 'k' || CAST(o_orderkey % 200 AS STRING) AS file, o_orderkey % 6 AS ad, CAST(o_orderkey % 11 * 20000 + 3000 AS BIGINT) AS start_ms,
-        CAST(o_orderkey % 11 * 20000 + 3000 + 8000 + (o_orderkey % 6) * 4000 AS BIGINT) AS end_ms, o_orderkey % 2 = 0 AS verified, o_orderkey AS label_id FROM {orders} WHERE o_orderkey % 19 = 0""",
+        CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 64) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS ord FROM {lineitem}""",
+    "truth": """SELECT 'k' || CAST(floor(o_orderkey / 64) AS BIGINT) AS file, o_orderkey % 6 AS ad, CAST(o_orderkey % 11 * 20000 + 3000 AS BIGINT) AS start_ms,
+        CAST(o_orderkey % 11 * 20000 + 3000 + 8000 + (o_orderkey % 6) * 4000 AS BIGINT) AS end_ms, o_orderkey % 2 = 0 AS verified, o_orderkey AS label_id FROM {orders}""",
     "samples": "SELECT doc_id AS file, n_chars * 1000 AS n FROM {documents}",
     "urls": "SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN '?Token=abc' ELSE '?expires=9' END AS url FROM {pages}",
 }

@@ -71,11 +71,27 @@ def u3(spark, sf):
     return b.join(s.select("origin", "seq", F.col("hash").alias("known")), ["origin", "seq"], "left").select("arrival", seen.alias("seen"))
 
 
-for _n, _kind in enumerate(("ad.add", "ad.vote", "ad.dup", "ad.label", "file.map")):
+def _materialized(spark, sf):
+    child = lambda i: F.struct((F.col("ad") + i).alias("ad"), (F.col("seq") * 1000 + i).alias("start_ms"))
+    log = tables(spark, sf, "log6")[0].withColumn("children", F.slice(F.array(child(0), child(1), child(2)), 1, (F.col("id") % 4).cast("int")))
+    return i.materialized(log)
 
-    @query(f"I2_{_kind.replace('.', '_')}", with_("records") + f"SELECT origin, ad, max(ts) AS ts FROM records WHERE kind = '{_kind}' GROUP BY ALL")
-    def _branch(spark, sf, kind=_kind):
-        return tables(spark, sf, "records")[0].where(F.col("kind") == kind).groupBy("origin", "ad").agg(F.max("ts").alias("ts"))
+
+_NEWEST = "SELECT * FROM log6 WHERE kind = '{}' QUALIFY row_number() OVER (PARTITION BY {} ORDER BY ts DESC, seq DESC) = 1"
+for _key, _table, _then in (
+    ("I2_ad_add", "ads", "SELECT ad, origin AS author, ts AS author_ts, label, id AS record FROM log6 WHERE kind = 'ad.add' QUALIFY row_number() OVER (PARTITION BY ad ORDER BY ts, origin, seq) = 1"),
+    ("I2_ad_adds", "ad_adds", "SELECT ad, origin, max(ts) AS ts FROM log6 WHERE kind = 'ad.add' GROUP BY ALL"),
+    ("I2_ad_label", "labels", f"SELECT ad, origin, ts, seq, label FROM ({_NEWEST.format('ad.label', 'ad, origin')})"),
+    ("I2_ad_vote", "votes", f"SELECT ad, origin, ts, seq, value FROM ({_NEWEST.format('ad.vote', 'ad, origin')})"),
+    ("I2_ad_dup", "dups", f"SELECT ad, origin, ts, seq, canonical FROM ({_NEWEST.format('ad.dup', 'ad, origin')})"),
+    ("I2_ad_retract", "retractions", "SELECT DISTINCT ad, origin, ts FROM log6 WHERE kind = 'ad.retract'"),
+    ("I2_file_map", "peer_maps", f"SELECT key, origin, ts, seq FROM ({_NEWEST.format('file.map', 'key, origin')})"),
+    ("G36", "peer_detections", f"SELECT DISTINCT key, origin, ad + c.i AS ad, seq * 1000 + c.i AS start_ms FROM ({_NEWEST.format('file.map', 'key, origin')}) m, (SELECT unnest([0, 1, 2]) AS i) c WHERE c.i < m.id % 4"),
+):
+
+    @query(_key, with_("records", "log6") + _then)
+    def _table_of(spark, sf, name=_table):
+        return _materialized(spark, sf)[name]
 
 
 @query("I3", with_("records") + "SELECT DISTINCT unnest(CASE kind WHEN 'ad.dup' THEN [ad, ad * 7 % 100] WHEN 'file.map' THEN [] ELSE [ad] END) AS ad, id AS record FROM records")
@@ -131,13 +147,21 @@ def r10(spark, sf):
     return tables(spark, sf, "records")[0].groupBy(F.floor(F.col("id") / 100).alias("page")).agg(F.max("id").alias("cursor"), F.count("*").alias("n"))
 
 
-@query("K1", with_("records", "batch") + "SELECT arrival, row_number() OVER (ORDER BY arrival) AS id FROM batch ORDER BY arrival LIMIT 1000")
+@query("K1", with_(*_LOG) + ", " + _INGEST + " SELECT arrival, (SELECT max(id) FROM records) + row_number() OVER (ORDER BY arrival) AS id FROM judged WHERE outcome = 'accepted'")
 def k1(spark, sf):
+    """Accepted records with the numbers under which the log appends them, in order of arrival.
+
+    Arrivals are counted in ranges first, so no task numbers the whole batch.
+    """
     from pyspark.sql import Window
 
-    page = tables(spark, sf, "batch")[0].orderBy("arrival").limit(1000)
-    # numbers one page of appended records
-    return page.select("arrival", F.row_number().over(Window.orderBy("arrival")).cast("long").alias("id"))
+    rows = _judged(spark, sf).where("outcome = 'accepted'").select("arrival", F.floor(F.col("arrival") / 4096).alias("range"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    head = tables(spark, sf, "records")[0].agg(F.coalesce(F.max("id"), F.lit(0)).alias("head"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("arrival"))
+    # head is one row
+    return rows.withColumn("rank", rank).join(starts, "range").join(F.broadcast(head)).select("arrival", (F.col("head") + F.col("before") + F.col("rank")).alias("id"))
 
 
 @query("K2", with_("ads", "pins") + "SELECT id FROM ads WHERE id NOT IN (SELECT ad FROM pins) AND type = 'intro'")
@@ -156,10 +180,13 @@ def k5(spark, sf):
     return tables(spark, sf, "file_maps")[0].select("key", F.lit(0).cast("long").alias("analyzed_ms"))
 
 
-@query("K6", with_("own_detections") + "SELECT key, ad, start_ms FROM own_detections WHERE ad NOT IN (3, 4)")
+@query("K6", with_("ads", "own_detections") + "SELECT 'ad' AS part, id AS ad, NULL AS key, CAST(NULL AS BIGINT) AS start_ms FROM ads WHERE type <> 'intro' UNION ALL SELECT 'detection', ad, key, start_ms FROM own_detections WHERE ad NOT IN (SELECT id FROM ads WHERE type = 'intro')")
 def k6(spark, sf):
-    gone = spark.createDataFrame([(3,), (4,)], "ad long")
-    return tables(spark, sf, "own_detections")[0].join(F.broadcast(gone), "ad", "left_anti").select("key", "ad", "start_ms")
+    """What stays when all ads of a type are deleted: other ads, and the detections of none of the deleted."""
+    ads, own = tables(spark, sf, "ads", "own_detections")
+    gone = ads.where("type = 'intro'").select(F.col("id").alias("ad"))
+    stay = ads.where("type <> 'intro'").select(F.lit("ad").alias("part"), F.col("id").alias("ad"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("start_ms"))
+    return stay.unionByName(own.join(gone, "ad", "left_anti").select(F.lit("detection").alias("part"), "ad", "key", "start_ms"))
 
 
 @query("K7", with_("records") + "SELECT id, origin, seq, kind, ts, CAST(NULL AS BIGINT) AS via, CAST(0 AS BIGINT) AS received FROM records")
@@ -255,18 +282,33 @@ def p17(spark, sf):
     return a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.ad") == F.col("b.ad")) & same).select("label_id", "ord", "b.file")
 
 
-@query("J14", None)
+_ASSIGNED = """, lab AS (SELECT *, row_number() OVER (PARTITION BY file, ad ORDER BY label_id) AS r FROM truth),
+fits AS (SELECT l.file, l.ad, l.r, l.label_id, d.ord, d.score FROM lab l JOIN dets d ON d.file = l.file AND d.ad = l.ad AND 2 * (least(l.end_ms, d.end_ms) - greatest(l.start_ms, d.start_ms)) >= least(l.end_ms - l.start_ms, d.end_ms - d.start_ms)),
+options AS (SELECT l.file, l.ad, l.r, l.label_id, list(f.ord ORDER BY f.score DESC, f.ord) FILTER (f.ord IS NOT NULL) AS ords FROM lab l LEFT JOIN fits f ON f.file = l.file AND f.ad = l.ad AND f.r = l.r GROUP BY ALL),
+walk AS (SELECT file, ad, r, label_id, ords[1] AS det, CASE WHEN ords[1] IS NULL THEN []::BIGINT[] ELSE [ords[1]] END AS used FROM options WHERE r = 1
+  UNION ALL SELECT file, ad, r, label_id, free[1], CASE WHEN free[1] IS NULL THEN used ELSE list_append(used, free[1]) END FROM (
+    SELECT o.file, o.ad, o.r, o.label_id, w.used, list_filter(coalesce(o.ords, []::BIGINT[]), lambda x: NOT list_contains(w.used, x)) AS free FROM walk w JOIN options o ON o.file = w.file AND o.ad = w.ad AND o.r = w.r + 1))"""
+
+
+@query("J14", with_("truth", "dets") + _ASSIGNED + " SELECT file, label_id, det FROM walk")
 def j14(spark, sf):
     return d.assigned(*tables(spark, sf, "truth", "dets"))
 
 
-@query("G28", None)
+@query("G28", with_("truth", "dets") + _ASSIGNED + """, hits AS (SELECT t.verified, w.det, x.score, abs(x.start_ms - t.start_ms) AS err FROM walk w JOIN truth t ON t.label_id = w.label_id LEFT JOIN dets x ON x.file = w.file AND x.ord = w.det)
+SELECT count(*) AS labels, count(det) AS found, count(*) FILTER (NOT verified) AS unverified, min(score) AS weakest, CAST(floor(avg(err)) AS BIGINT) AS err_mean, max(err) AS err_max, CAST(floor(median(err)) AS BIGINT) AS err_median,
+  count(det) / count(*) AS recall, (SELECT count(*) FROM dets) - count(det) AS false_dets FROM hits""")
 def g28(spark, sf):
     t, x = tables(spark, sf, "truth", "dets")
     return d.summary(d.assigned(t, x), t, x)
 
 
-@query("R4", None)
+@query("R4", with_("dets") + """, steps AS (SELECT *, row_number() OVER (PARTITION BY file, ad ORDER BY ord) AS r, count(*) OVER (PARTITION BY file, ad) AS n FROM dets),
+walk AS (SELECT file, ad, r, n, [{'s': start_ms, 'e': end_ms, 'x': score}] AS kept FROM steps WHERE r = 1
+  UNION ALL SELECT file, ad, r, n, CASE WHEN hit IS NULL THEN list_append(kept, {'s': start_ms, 'e': end_ms, 'x': score}) WHEN score > kept[hit].x THEN list_transform(kept, lambda k, i: CASE WHEN i = hit THEN {'s': start_ms, 'e': end_ms, 'x': score} ELSE k END) ELSE kept END FROM (
+    SELECT s.file, s.ad, s.r, s.n, s.start_ms, s.end_ms, s.score, w.kept, list_position(list_transform(w.kept, lambda k: s.start_ms < k.e AND k.s < s.end_ms), true) AS hit FROM walk w JOIN steps s ON s.file = w.file AND s.ad = w.ad AND s.r = w.r + 1)),
+rows_ AS (SELECT file, ad, unnest(kept) AS k FROM walk WHERE r = n)
+SELECT file, ad, k.s AS start_ms, k.e AS end_ms, k.x AS score FROM rows_""")
 def r4(spark, sf):
     return d.merged(tables(spark, sf, "dets")[0])
 

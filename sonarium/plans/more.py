@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint
 from ..operators import catalogue as c
-from ..operators import detect
+from ..operators import detect, ingest
 from ..operators import intervals as iv
 from ..operators import match as m
+from ..operators.ordered import folded
 from . import catalogue, ingest as log_plans, intervals as interval_plans, match as match_plans, scalar
 from .fixtures import SELF, tables, with_
 from .streams import _folder
@@ -84,29 +87,35 @@ def s22(spark, sf):
     return spark.range(900).select("id", (F.col("id") % 3).alias("origin"), (20_000 + draw(i) % 25_001).alias("duration_ms"), (draw(F.concat(F.lit("v"), i)) % 100 < 70).alias("voted"))
 
 
-@query("K8", with_("records") + "SELECT origin, max(seq) + 1 AS seq, greatest(max(ts) + 1, 1704100000000) AS ts FROM records GROUP BY origin")
+WALL = 1_704_100_000_000
+
+
+@query("K8", with_("records") + f"SELECT origin, max(seq) + 1 AS seq, greatest(max(ts) + 1, {WALL}) AS ts FROM records GROUP BY origin")
 def k8(spark, sf):
     """The number and time of the next record of each origin."""
-    return tables(spark, sf, "records")[0].groupBy("origin").agg((F.max("seq") + 1).alias("seq"), F.greatest(F.max("ts") + 1, F.lit(1_704_100_000_000)).alias("ts"))
+    return ingest.next_numbers(tables(spark, sf, "records")[0], WALL)
 
 
-@query("K11")
+@query("K11", with_("reports") + """, steps AS (SELECT *, row_number() OVER (PARTITION BY "user", file_key ORDER BY created, id) AS r, count(*) OVER (PARTITION BY "user", file_key) AS n FROM reports),
+walk AS (SELECT "user", file_key, r, n, [{'id': id, 'p': pos_ms, 'c': created, 'x': 1}] AS kept FROM steps WHERE r = 1
+  UNION ALL SELECT "user", file_key, r, n, CASE WHEN near IS NULL THEN list_append(kept, {'id': id, 'p': pos_ms, 'c': created, 'x': 1}) ELSE list_transform(kept, lambda k: CASE WHEN k.id = near THEN {'id': k.id, 'p': pos_ms, 'c': created, 'x': k.x + 1} ELSE k END) END FROM (
+    SELECT s."user", s.file_key, s.r, s.n, s.id, s.pos_ms, s.created, w.kept,
+      list_sort(list_transform(list_filter(w.kept, lambda k: abs(k.p - s.pos_ms) <= 10000), lambda k: {'d': abs(k.p - s.pos_ms), 'id': k.id}))[1].id AS near FROM walk w JOIN steps s ON s."user" = w."user" AND s.file_key = w.file_key AND s.r = w.r + 1)),
+rows_ AS (SELECT unnest(kept) AS k FROM walk WHERE r = n)
+SELECT k.id AS id, k.p AS pos_ms, k.c AS created, k.x AS times FROM rows_""")
 def k11(spark, sf):
     """Reports in order of time: each moves the nearest earlier one of its user and file within 10 s, or is new."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for r in pdf.sort_values(["created", "id"]).itertuples(index=False):
-            near = [k for k in kept if abs(k[1] - r.pos_ms) <= 10_000]
-            if near:
-                best = min(near, key=lambda k: (abs(k[1] - r.pos_ms), k[0]))
-                best[1:] = [r.pos_ms, r.created, best[3] + 1]
-            else:
-                kept.append([r.id, r.pos_ms, r.created, 1])
-        return pd.DataFrame(kept, columns=["id", "pos_ms", "created", "times"])
+    def fold(rows: list[tuple]) -> list[tuple]:
+        kept: dict[int, tuple] = {}
+        for _, _, created, at, pos in rows:
+            near = [(abs(k[0] - pos), i) for i, k in kept.items() if abs(k[0] - pos) <= 10_000]
+            i = min(near)[1] if near else at
+            kept[i] = (pos, created, kept[i][2] + 1 if near else 1)
+        return [(i, *k) for i, k in kept.items()]
 
-    reports = tables(spark, sf, "reports")[0].select("id", "user", "file_key", "pos_ms", "created")
-    return reports.groupBy("user", "file_key").applyInPandas(fold, "id long, pos_ms long, created long, times long")
+    reports = tables(spark, sf, "reports")[0].select("user", "file_key", "created", "id", "pos_ms")
+    return folded(reports, ["user", "file_key"], ["created", "id"], fold, "id long, pos_ms long, created long, times long")
 
 
 @query("K13", with_("pins") + "SELECT ad FROM pins WHERE ad NOT IN (37, 74) UNION SELECT unnest([5, 6, 0])")
@@ -135,26 +144,43 @@ def x15(spark, sf):
     return c.weighed(ads.select("id", "author"), _policy(spark, sf), SELF, "author").select("id", F.col("w").cast("double").alias("w"))
 
 
-@query("K15", with_("ads", "retractions", "ad_adds") + ", " + catalogue._LIVE + " SELECT DISTINCT a.id, 'ad.add' AS kind, l.ts + 1 AS ts FROM ads a JOIN live l ON l.ad = a.id AND l.origin = a.author")
+@query("K15", with_("ads", "retractions", "ad_adds", "votes_log") + ", " + catalogue._LIVE + ", " + catalogue._VOTES + f""" SELECT a.id, 'ad.add' AS kind, CAST(NULL AS BIGINT) AS value, max(l.ts) + 1 AS ts FROM ads a JOIN live l ON l.ad = a.id AND l.origin = a.author GROUP BY a.id
+UNION ALL SELECT DISTINCT v.ad, 'ad.vote', 1, v.ts + 1 FROM votes v JOIN ads a ON a.id = v.ad JOIN live l ON l.ad = a.id AND l.origin = a.author WHERE v.origin = {SELF} AND v.value < 0""")
 def k15(spark, sf):
-    """Adding retracted ads again: a newer record for each."""
-    ads, r, adds = tables(spark, sf, "ads", "retractions", "ad_adds")
+    """Adding retracted ads again: a newer record for each, and where the own node had voted it down, a vote for it."""
+    ads, r, adds, log = tables(spark, sf, "ads", "retractions", "ad_adds", "votes_log")
     gone = c.live_retractions(r, adds).select(F.col("ad").alias("id"), F.col("origin").alias("author"), "ts")
-    return ads.select("id", "author").join(gone, ["id", "author"]).select("id", F.lit("ad.add").alias("kind"), (F.col("ts") + 1).alias("ts")).distinct()
+    back = ads.select("id", "author").join(gone, ["id", "author"]).groupBy("id").agg((F.max("ts") + 1).alias("ts"))
+    down = c.latest(log, "ad", "origin").where((F.col("origin") == SELF) & (F.col("value") < 0)).select(F.col("ad").alias("id"), (F.col("ts") + 1).alias("ts"))
+    flips = down.join(back.select("id"), "id", "left_semi")
+    return back.select("id", F.lit("ad.add").alias("kind"), F.lit(None).cast("long").alias("value"), "ts").unionByName(flips.select("id", F.lit("ad.vote").alias("kind"), F.lit(1).cast("long").alias("value"), "ts"))
 
 
-@query("K16", with_("ads") + f"SELECT id, CASE WHEN author IS NULL OR author = {SELF} THEN 'ad.retract' ELSE 'ad.vote' END AS kind, CASE WHEN author IS NULL OR author = {SELF} THEN NULL ELSE 'not_ad' END AS reason FROM ads WHERE type = 'intro'")
+@query("K16", with_("ads", "own_detections") + f"SELECT id, CASE WHEN author IS NULL OR author = {SELF} THEN 'ad.retract' ELSE 'ad.vote' END AS kind, CASE WHEN author IS NULL OR author = {SELF} THEN NULL ELSE 'not_ad' END AS reason, count(d.ad) AS removed FROM ads a LEFT JOIN own_detections d ON d.ad = a.id GROUP BY a.id, a.author")
 def k16(spark, sf):
-    own = F.col("author").isNull() | (F.col("author") == SELF)
-    return tables(spark, sf, "ads")[0].where("type = 'intro'").select("id", F.when(own, "ad.retract").otherwise("ad.vote").alias("kind"), F.when(~own, "not_ad").alias("reason"))
+    """Retracting each ad: the record that says so, and the own detections that go with it."""
+    ads, own = tables(spark, sf, "ads", "own_detections")
+    mine = F.col("author").isNull() | (F.col("author") == SELF)
+    removed = own.groupBy(F.col("ad").alias("id")).agg(F.count("*").alias("removed"))
+    return ads.join(removed, "id", "left").select("id", F.when(mine, "ad.retract").otherwise("ad.vote").alias("kind"), F.when(~mine, "not_ad").alias("reason"), F.coalesce("removed", F.lit(0)).alias("removed"))
 
 
-@query("K17", with_("votes_log") + f"SELECT ad, origin, value FROM votes_log WHERE ad <> 7 QUALIFY row_number() OVER (PARTITION BY ad, origin ORDER BY ts DESC, seq DESC) = 1 UNION ALL (SELECT ad, origin, value FROM votes_log WHERE ad = 7 AND origin <> {SELF} QUALIFY row_number() OVER (PARTITION BY ad, origin ORDER BY ts DESC, seq DESC) = 1) UNION ALL SELECT 7, {SELF}, 1")
+@query("K17", with_("ads", "votes_log", "labels_log", "dups") + ", " + catalogue._VOTES + f""", mine AS (SELECT * FROM labels_log QUALIFY row_number() OVER (PARTITION BY ad, origin ORDER BY ts DESC, seq DESC) = 1)
+SELECT id, 'ad.label' AS kind, 'named ' || type AS said FROM ads a WHERE NOT EXISTS (SELECT 1 FROM mine m WHERE m.ad = a.id AND m.origin = {SELF} AND m.label = 'named ' || a.type)
+UNION ALL SELECT id, 'ad.vote', '1' FROM ads a WHERE NOT EXISTS (SELECT 1 FROM votes v WHERE v.ad = a.id AND v.origin = {SELF} AND v.value = 1)
+UNION ALL SELECT id, 'ad.dup', CAST(id * 7 % 200 AS VARCHAR) FROM ads a WHERE id <> id * 7 % 200 AND id * 7 % 200 IN (SELECT id FROM ads) AND NOT EXISTS (SELECT 1 FROM dups d WHERE d.ad = a.id AND d.origin = {SELF} AND d.canonical = a.id * 7 % 200)""")
 def k17(spark, sf):
-    """A vote of the own node, which the next state of the votes holds."""
-    log = tables(spark, sf, "votes_log")[0].select("ad", "origin", "value", "ts", "seq")
-    vote = spark.createDataFrame([(7, SELF, 1, 1 << 50, 1 << 50)], log.schema)
-    return c.latest(log.unionByName(vote), "ad", "origin").select("ad", "origin", "value")
+    """Labels, votes and duplicate claims of the own node for each ad: a record for each that changes what it has said."""
+    ads, log, labels, dups = tables(spark, sf, "ads", "votes_log", "labels_log", "dups")
+    own = lambda df: df.where(F.col("origin") == SELF)
+    asked = lambda kind, said, rows: rows.select("id", F.lit(kind).alias("kind"), said.cast("string").alias("said"))
+    changed = lambda rows, have: rows.join(have, ["id", "said"], "left_anti").select("id", "kind", "said")
+    have = lambda df, said: df.select(F.col("ad").alias("id"), F.col(said).cast("string").alias("said"))
+    canonical = F.col("id") * 7 % 200
+    known = ads.where(canonical != F.col("id")).withColumn("canonical", canonical).join(ads.select(F.col("id").alias("canonical")), "canonical", "left_semi")
+    said = changed(asked("ad.label", F.concat(F.lit("named "), "type"), ads), have(own(c.latest(labels, "ad", "origin")), "label"))
+    said = said.unionByName(changed(asked("ad.vote", F.lit(1), ads), have(own(c.latest(log, "ad", "origin")), "value")))
+    return said.unionByName(changed(asked("ad.dup", F.col("canonical"), known), have(own(dups), "canonical")))
 
 
 @query("K18", with_("ads", "ad_adds") + "SELECT id FROM ads WHERE (author IS NULL OR author = 1) AND fp_version = 1 AND id NOT IN (SELECT ad FROM ad_adds)")
@@ -190,12 +216,6 @@ def p20(spark, sf):
     return tables(spark, sf, "pages")[0].select("page_id", F.col("url").rlike(r"^https://([a-z0-9-]+\.)*example\.(com|org)(:443)?/").alias("allowed"))
 
 
-@query("G36", with_("peer_maps") + "SELECT key, origin, ts, seq FROM peer_maps QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, origin DESC) = 1")
-def g36(spark, sf):
-    newest = F.max_by(F.struct("origin", "ts", "seq"), F.struct("ts", "origin")).alias("newest")
-    return tables(spark, sf, "peer_maps")[0].groupBy("key").agg(newest).select("key", "newest.*")
-
-
 @query("W3", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY epoch_us(ts) // 3600000000 ORDER BY value DESC, event_id) <= 30")
 def w3(spark, sf):
     """The strongest 30 of each bucket, as SQL does it; the kernel does it on arrays."""
@@ -288,20 +308,23 @@ def u9(spark, sf):
     return tables(spark, sf, "ads")[0].join(F.broadcast(ids), "id", "left_semi").select("id")
 
 
-@query("U8", with_("records") + "SELECT DISTINCT origin, origin % 2 = 0 AS sig_ok FROM records")
+@query("U8", with_("records") + f"SELECT origin, max(seq) + 1 AS seq, origin % 7 <> 3 AS sig_ok FROM records GROUP BY origin")
 def u8(spark, sf):
-    """One published signature checked for each origin, over the empty message for even origins and another for odd ones."""
-    from ..functions import ed25519
-
-    public = bytes.fromhex("d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a")
-    sig = bytes.fromhex("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b")
+    """The next record of each origin, signed with the origin's key and checked as a receiver does; that of some is changed on the way."""
+    from ..functions import codec, ed25519
 
     def run(batches):
         for b in batches:
-            b["sig_ok"] = [ed25519.verify(public, b"" if i % 2 == 0 else str(i).encode(), sig) for i in b["origin"]]
-            yield b
+            ok = []
+            for origin, seq, ts in zip(b["origin"], b["seq"], b["ts"], strict=True):
+                seed = hashlib.sha256(f"origin {origin}".encode()).digest()
+                public = ed25519.public_key(seed)
+                signed = codec.DOMAIN + f"ad.add\0{origin}\0{seq}\0{ts}".encode()
+                sig = ed25519.sign(seed, public, signed)
+                ok.append(ed25519.verify(public, signed + b"!" * (origin % 7 == 3), sig))
+            yield pd.DataFrame({"origin": b["origin"], "seq": b["seq"], "sig_ok": ok})
 
-    return tables(spark, sf, "records")[0].select("origin").distinct().mapInPandas(run, "origin long, sig_ok boolean")
+    return ingest.next_numbers(tables(spark, sf, "records")[0], WALL).mapInPandas(run, "origin long, seq long, sig_ok boolean")
 
 
 @query("X3", with_("peers") + "SELECT n_name AS name, coalesce(p.received, 0) AS received FROM nation LEFT JOIN peers p ON p.name = n_name")
@@ -342,11 +365,13 @@ def x11(spark, sf):
     return interval_plans._asked(spark, sf).select("file", "ord", iv.contains(F.col("ranges"), F.col("from_ms"), F.col("from_ms") + 10_000).alias("analysed"))
 
 
-@query("X12", with_("ads") + "SELECT count(a.id) AS done, count(*) - count(a.id) AS failed FROM (SELECT unnest([1, 2, 3, 99999999]) AS id) x LEFT JOIN ads a ON a.id = x.id")
+@query("X12", with_("ads", "pins") + "SELECT 'pin' AS command, count(a.id) AS done, count(*) - count(a.id) AS failed FROM (SELECT p_partkey * 2 AS id FROM part) x LEFT JOIN ads a ON a.id = x.id UNION ALL SELECT 'unpin', count(p.ad), count(*) - count(p.ad) FROM (SELECT p_partkey * 2 AS id FROM part) x LEFT JOIN pins p ON p.ad = x.id")
 def x12(spark, sf):
-    asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 99999999)], "id long")
-    hits = asked.join(tables(spark, sf, "ads")[0].select("id", F.lit(1).alias("there")), "id", "left")
-    return hits.agg(F.count("there").alias("done"), (F.count("*") - F.count("there")).alias("failed"))
+    """Pinning and unpinning a list of ids: how many were there to be changed."""
+    ads, pins = tables(spark, sf, "ads", "pins")
+    asked = ads.select((F.col("id") * 2).alias("id"))
+    hits = lambda name, there: asked.join(there.withColumn("there", F.lit(1)), "id", "left").agg(F.count("there").alias("done"), (F.count("*") - F.count("there")).alias("failed")).select(F.lit(name).alias("command"), "done", "failed")
+    return hits("pin", ads.select("id")).unionByName(hits("unpin", pins.select(F.col("ad").alias("id"))))
 
 
 #: Families of the metrics: name, kind, label.
@@ -365,11 +390,11 @@ def x18(spark, sf):
     return m.quality(pts, pts).join(ads.select(F.col("id").alias("worst_ad"), "label"), "worst_ad").select("ad", "worst_ad", "label", (F.col("worst_score") >= 3).alias("over"))
 
 
-@query("R8", with_("intervals") + "SELECT file, ord FROM (SELECT *, max(to_ms) OVER (PARTITION BY file) AS newest FROM intervals) WHERE to_ms > newest - 2700000")
+@query("R8", with_("intervals") + "SELECT file, ord FROM intervals i JOIN (SELECT file, max(to_ms) AS newest FROM intervals GROUP BY file) USING (file) WHERE to_ms > newest - 2700000")
 def r8(spark, sf):
     """What a store of the last 45 minutes by media time still holds."""
-    newest = F.max("to_ms").over(Window.partitionBy("file"))
-    return tables(spark, sf, "intervals")[0].withColumn("newest", newest).where(F.col("to_ms") > F.col("newest") - 2_700_000).select("file", "ord")
+    rows = tables(spark, sf, "intervals")[0]
+    return rows.join(rows.groupBy("file").agg(F.max("to_ms").alias("newest")), "file").where(F.col("to_ms") > F.col("newest") - 2_700_000).select("file", "ord")
 
 
 @query("R15", with_("ads") + "SELECT id, id % 40 * 1000 AS start_ms, id % 40 * 1000 + duration_ms AS end_ms FROM ads WHERE n_points >= 50 AND duration_ms BETWEEN 3000 AND 180000")

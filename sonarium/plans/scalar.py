@@ -60,10 +60,13 @@ def f8(spark, sf):
     return tables(spark, sf, "events")[0].select("event_id", media.to_ms(ns).alias("ms"), media.sample_count(ns).alias("samples"))
 
 
-@query("F9", "SELECT doc_id, 'c:' || sha256(unhex(lpad(hex_size, 4, '0') || '000000000000') || encode(text)) AS key FROM (SELECT doc_id, text, substr(printf('%04X', octet_length(encode(text))), 3, 2) || substr(printf('%04X', octet_length(encode(text))), 1, 2) AS hex_size FROM documents WHERE octet_length(encode(text)) < 65536)")
+@query("F9", "SELECT doc_id, 'c:' || sha256(unhex(array_to_string(list_transform(range(0, 8), lambda i: printf('%02X', (octet_length(b) >> CAST(8 * i AS INTEGER)) & 255)), '')) || CASE WHEN octet_length(b) <= 131072 THEN b[1:65536] || b[greatest(1, octet_length(b) - 65535):] ELSE b[1:65536] || b[octet_length(b) - 65535:] END) AS key FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)")
 def f9(spark, sf):
-    size = F.octet_length("text").cast("long")
-    return tables(spark, sf, "documents")[0].where(size < keys.EDGE).select("doc_id", keys.content(size, F.encode("text", "UTF-8"), F.lit(bytearray())).alias("key"))
+    """Content keys of whole texts: their size, first and last 64 KiB (which overlap or are equal in short ones)."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    size = F.octet_length(raw).cast("long")
+    tail = F.substr(raw, F.greatest(F.lit(1), F.octet_length(raw) - keys.EDGE + 1), F.lit(keys.EDGE))
+    return tables(spark, sf, "documents")[0].select("doc_id", keys.content(size, F.substr(raw, F.lit(1), F.lit(keys.EDGE)), tail).alias("key"))
 
 
 @query("F10", "SELECT c_custkey, 'id:' || substr(sha256(c_name), 1, 32) AS key FROM customer")
@@ -77,17 +80,26 @@ def p16(spark, sf):
     return tables(spark, sf, "customer")[0].select("c_custkey", keys.storable(key).alias("storable"))
 
 
+def _base32(hex_digits):
+    """Upper-case base32 of 40 hex digits, by groups of five."""
+    value = lambda g: F.conv(F.substring(hex_digits, 5 * g + 1, 5), 16, 10).cast("long")
+    return F.concat(*(F.substr(F.lit(keys.BASE32), (F.shiftright(value(g), s).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for g in range(8) for s in (15, 10, 5, 0)))
+
+
 @query("F11", "SELECT c_custkey, 'ih:' || substr(sha256(c_name), 1, 40) || '/' || CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '7' END AS key FROM customer")
 def f11(spark, sf):
-    h = F.upper(F.substring(F.sha2("c_name", 256), 1, 40))
-    return tables(spark, sf, "customer")[0].select("c_custkey", keys.torrent(h, F.when(F.col("c_custkey") % 2 == 0, "").otherwise("7")).alias("key"))
+    """Infohashes in upper-case hex and in base32 name the same key."""
+    h = F.substring(F.sha2("c_name", 256), 1, 40)
+    given = F.when(F.col("c_custkey") % 3 == 0, F.upper(h)).when(F.col("c_custkey") % 3 == 1, F.lower(_base32(h))).otherwise(_base32(h))
+    return tables(spark, sf, "customer")[0].select("c_custkey", keys.torrent(given, F.when(F.col("c_custkey") % 2 == 0, "").otherwise("7")).alias("key"))
 
 
-@query("F12", "SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN '' ELSE 'ih:' || substr(sha256(c_name), 1, 40) || '/3' END AS key FROM customer")
+@query("F12", "SELECT c_custkey, CASE WHEN c_custkey % 5 IN (2, 4) THEN '' ELSE 'ih:' || substr(sha256(c_name), 1, 40) || '/3' END AS key FROM customer")
 def f12(spark, sf):
     h = F.substring(F.sha2("c_name", 256), 1, 40)
-    urls = F.array(F.concat(F.lit("http://t.example/play/"), h, F.lit("/3")), F.concat(F.lit("http://t.example/stream/x.mkv?index=3&link=magnet%3A%3Fxt%3Durn%3Abtih%3A"), h), F.concat(F.lit("http://t.example/stream?link="), h))
-    return tables(spark, sf, "customer")[0].select("c_custkey", keys.stream_key(F.get(urls, (F.col("c_custkey") % 3).cast("int"))).alias("key"))
+    shapes = [("http://t.example/a/play/", h, "/3"), ("http://t.example/stream/x.mkv?index=3&link=magnet%3A%3Fxt%3Durn%3Abtih%3A", _base32(h), "%26dn%3Dx"), ("http://t.example/stream?link=", h, ""), ("http://t.example/stream?index=3&link=", _base32(h), ""), ("http://t.example/video?index=3&link=", h, "")]
+    urls = F.array(*(F.concat(F.lit(a), x, F.lit(z)) for a, x, z in shapes))
+    return tables(spark, sf, "customer")[0].select("c_custkey", keys.stream_key(F.get(urls, (F.col("c_custkey") % 5).cast("int"))).alias("key"))
 
 
 _SPLIT = r"""parts AS (SELECT page_id, url, regexp_extract(url, '^([^:]+)://', 1) AS scheme, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path,
@@ -252,7 +264,8 @@ def s10(spark, sf):
 
 @query("S13")
 def s13(spark, sf):
-    raw = F.encode(F.substring("text", 1, 64), "UTF-8")
+    """Whole texts as 16-bit samples: how many, and the loudest."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
 
     def run(batches):
         for batch in batches:

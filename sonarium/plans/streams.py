@@ -17,15 +17,18 @@ QUERIES, ORACLE = {}, {}
 
 
 def _folder(spark: SparkSession) -> str:
+    """A new folder in the one that the driver and all executors share; only in local mode a temporary one stands in where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{named.rstrip('/')}/{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="sonarium-")
 
 
-def _as_stream(df: DataFrame, folder: str, parts: int = 3) -> DataFrame:
-    """df written as files and read as a stream of one file at a time."""
-    df.coalesce(parts).write.parquet(f"{folder}/in")
+def _as_stream(df: DataFrame, folder: str, files: int = 3) -> DataFrame:
+    """df written as files and read as a stream of so many files at a time."""
+    df.write.parquet(f"{folder}/in")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return s.read(df.sparkSession, f"{folder}/in", schema, 1)
+    return s.read(df.sparkSession, f"{folder}/in", schema, files)
 
 
 def g33_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,8 +46,11 @@ def r13_stream(spark: SparkSession, sf: str) -> DataFrame:
     folder = _folder(spark)
     ads, q = tables(spark, sf, "ad_points", "q_points")
     # all landmarks of a document stay in one file
-    stream = _as_stream(q.repartition(2, "q"), folder, 2)
-    each = s.match_each(lambda: match.live(ads, ads.limit(0), ads.limit(0)), 8, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    stream = _as_stream(q.repartition("q"), folder)
+    # the index as it is after ads were enrolled and one was removed: the overlay serves the new ones, the tombstone hides the old
+    gone = ads.where("ad % 7 = 3").select("ad").distinct()
+    index = ads.where("ad % 5 <> 0"), ads.where("ad % 5 = 0"), gone
+    each = s.match_each(lambda: match.live(*index), 8, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("q", "ad", "off", "score")
 
@@ -74,6 +80,6 @@ def r9_stream(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES |= {"G33_stream": g33_stream, "R13_stream": r13_stream, "R1_stream": r1_stream, "R9_stream": r9_stream}
 ORACLE |= {
     "G33_stream": catalogue.ORACLE["G33"],
-    "R13_stream": match_plans.ORACLE["G2"],
+    "R13_stream": match_plans.ORACLE["G2"].replace("JOIN ad_points p ON p.h = q.h", "JOIN ad_points p ON p.h = q.h AND p.ad % 7 <> 3"),
     "R9_stream": "SELECT event_id AS id, md5(CAST(event_id AS VARCHAR)) AS hash, epoch_us(ts) // 1000 AS ts FROM events",
 }

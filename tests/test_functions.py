@@ -1,6 +1,10 @@
-"""Codecs, keys, media time and the fingerprint kernel against published cases."""
+"""Codecs, keys, media time, signatures and the fingerprint kernel against plain versions."""
 
+import base64
 import hashlib
+import random
+from fractions import Fraction
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -8,7 +12,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sonarium.functions import codec, fingerprint, keys, media
+from sonarium.functions import codec, ed25519, fingerprint, keys, media
 
 
 @given(st.lists(st.tuples(st.integers(0, (1 << 24) - 1), st.integers(0, 20_000)), max_size=60))
@@ -41,31 +45,84 @@ def test_cut_frames_are_corrupt():
             list(codec.frames(whole[:n]))
 
 
+def plain_ticks(t, n, d):
+    """t * n / d seconds in nanoseconds, halves away from zero, within 64 bits."""
+    if not d:
+        return 0
+    x = Fraction(t * n * 10**9, d)
+    whole = int(abs(x) + Fraction(1, 2)) * (1 if x >= 0 else -1)
+    return max(-media.LONG_MAX - 1, min(media.LONG_MAX, whole))
+
+
 def test_ticks(spark):
-    cases = [(1, 1, 3, 333333333), (2, 1, 3, 666666667), (1, 1, 2_000_000_000, 1), ((1 << 33) - 1, 1, 90000, 95443717677778), (3, 1001, 30000, 100100000), (1, 1, 0, 0), (-1, 1, 3, -333333333), (1 << 62, 1, 1, media.LONG_MAX)]
-    df = spark.createDataFrame([c[:3] for c in cases], "t long, n long, d long")
-    assert [r.x for r in df.select(media.ticks(F.col("t"), F.col("n"), F.col("d")).alias("x")).collect()] == [c[3] for c in cases]
-    ms = spark.createDataFrame([(1_500_000,), (-1_500_000,), (1 << 60,)], "n long").select(media.to_ms(F.col("n")).alias("m"))
-    assert [r.m for r in ms.collect()] == [2, -2, media.INT_MAX]
+    rng = random.Random(5)
+    cases = [(rng.randrange(-(1 << k), 1 << k), rng.choice([1, 7, 1000, 1001]), rng.choice([0, 1, 3, 25, 48_000, 90_000, 1 << 30])) for k in (4, 20, 33, 50) for _ in range(12)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i long, t long, n long, d long")
+    got = {r.i: r.x for r in df.select("i", media.ticks(F.col("t"), F.col("n"), F.col("d")).alias("x")).collect()}
+    assert got == {i: plain_ticks(*c) for i, c in enumerate(cases)}
+    times = [2_499_999, 2_500_000, -2_500_000, 7, 1 << 61]
+    ms = spark.createDataFrame([(x,) for x in times], "n long").select(media.to_ms(F.col("n")).alias("m"))
+    assert [r.m for r in ms.collect()] == [min(media.INT_MAX, plain_ticks(x, 1, 10**15)) for x in times]
+
+
+def plain_url(url, hide):
+    """A URL without user, fragment and volatile parameters, or (hide) with these hidden."""
+    u = urlsplit(url)
+    host = u.netloc if hide else u.netloc.rpartition("@")[2].lower()
+    if hide and "@" in host:
+        user, _, rest = host.partition("@")
+        host = f"{user.split(':')[0]}:xxxxx@{rest}" if ":" in user else host
+    kept = [(p.split("=")[0], p if "=" in p else p + "=") for p in u.query.split("&") if p]
+    if hide:
+        kept = [(n, f"{n}=REDACTED" if n.lower() in keys.VOLATILE else p) for n, p in kept]
+    else:
+        kept = [(n, p) for n, p in kept if n.lower() not in keys.VOLATILE]
+    query = "&".join(p for _, p in sorted(kept, key=lambda x: x[0]))
+    return f"{u.scheme.lower()}://{host}{u.path}" + (f"?{query}" if query else "") + (f"#{u.fragment}" if hide and u.fragment else "")
 
 
 def test_urls(spark):
-    h = "0123456789abcdef0123456789abcdef01234567"
-    one = lambda f, u: spark.createDataFrame([(u,)], "u string").select(f(F.col("u")).alias("x")).first().x
-    url = "https://user:pw@CDN.example/v/1.mkv?token=abc&b=2&a=1&Expires=9#t=5"
-    assert one(keys.normalised_url, url) == "https://cdn.example/v/1.mkv?a=1&b=2"
-    assert one(keys.redacted_url, url) == "https://user:xxxxx@CDN.example/v/1.mkv?Expires=REDACTED&a=1&b=2&token=REDACTED#t=5"
-    assert one(keys.stream_key, f"http://h/play/{h.upper()}/2") == f"ih:{h}/2"
-    assert one(keys.stream_key, f"http://h/stream/f.mkv?link={h}&index=1&play") == f"ih:{h}/1"
-    assert one(keys.stream_key, f"http://h/stream?link={h}") == ""
-    assert one(keys.stream_key, "http://h/other") == ""
+    rng = random.Random(6)
+    urls = []
+    for i in range(40):
+        params = [rng.choice(["q=ä", "page=2", "Sig=zz", "EXPIRES=1", "lang", "key=k", "z=", "b=%20"]) for _ in range(rng.randrange(4))]
+        urls.append(f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(['', 'ann@', 'ann:secret@'])}Video.Example:81/f{i}.mp4" + ("?" + "&".join(params) if params else "") + rng.choice(["", "#part"]))
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", keys.normalised_url(F.col("u")).alias("n"), keys.redacted_url(F.col("u")).alias("r"))
+    for r in df.collect():
+        assert (r.n, r.r) == (plain_url(r.u, False), plain_url(r.u, True))
+
+
+def test_torrent_keys(spark):
+    rng = random.Random(7)
+    for raw in (rng.randbytes(20) for _ in range(5)):
+        h, b32 = raw.hex(), base64.b32encode(raw).decode()
+        cases = {f"http://h/x/play/{h.upper()}/4": f"ih:{h}/4", f"http://h/play/{b32}/4": f"ih:{h}/4", f"http://h/stream/a.mkv?link={b32.lower()}&index=9": f"ih:{h}/9", f"http://h/stream?index=1&link=magnet%3A%3Fdn%3Da%26xt%3Durn%3Abtih%3A{b32}%26tr%3Db": f"ih:{h}/1"}
+        cases |= {f"http://h/stream?link={h}": "", f"http://h/play/{h[:-1]}/4": "", f"http://h/file?link={h}&index=1": "", f"http://h/stream?link={b32[:-1]}1&index=1": ""}
+        got = spark.createDataFrame([(u,) for u in cases], "u string").select("u", keys.stream_key(F.col("u")).alias("k")).collect()
+        assert {r.u: r.k for r in got} == cases
 
 
 def test_content_key(spark):
-    data = bytes(i * 7 % 256 for i in range(300 * 1024))
-    row = (len(data), bytearray(data[: keys.EDGE]), bytearray(data[-keys.EDGE :]))
-    got = spark.createDataFrame([row], "n long, a binary, b binary").select(keys.content(F.col("n"), F.col("a"), F.col("b")).alias("k")).first().k
-    assert got == "c:" + hashlib.sha256(len(data).to_bytes(8, "little") + data[: keys.EDGE] + data[-keys.EDGE :]).hexdigest()
+    rng = random.Random(8)
+    for size in (0, 5, keys.EDGE, keys.EDGE + 1, 200_001):
+        data = rng.randbytes(size)
+        row = (size, bytearray(data[: keys.EDGE]), bytearray(data[-keys.EDGE :]))
+        got = spark.createDataFrame([row], "n long, a binary, b binary").select(keys.content(F.col("n"), F.col("a"), F.col("b")).alias("k")).first().k
+        assert got == "c:" + hashlib.sha256(size.to_bytes(8, "little") + data[: keys.EDGE] + data[-keys.EDGE :]).hexdigest()
+
+
+def test_signatures():
+    rng = random.Random(9)
+    for n in (0, 1, 200):
+        seed, message = rng.randbytes(32), rng.randbytes(n)
+        public = ed25519.public_key(seed)
+        sig = ed25519.sign(seed, public, message)
+        assert ed25519.verify(public, message, sig) and not ed25519.verify(public, message + b"x", sig)
+        assert not ed25519.verify(ed25519.public_key(rng.randbytes(32)), message, sig)
+    # the first test vector of RFC 8032
+    seed = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
+    assert ed25519.public_key(seed).hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
+    assert ed25519.sign(seed, ed25519.public_key(seed), b"").hex().startswith("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bac")
 
 
 def naive_landmarks(pcm):
