@@ -39,12 +39,12 @@ _HASH = "(?:[0-9a-fA-F]{40}|[a-zA-Z2-7]{32})"
 def infohash(text: Column) -> Column:
     """The 40 hex digits in lower case of an infohash in hex or base32; null for others."""
 
-    def quarter(i: int) -> Column:
-        four = F.substring(F.upper(text), 4 * i + 1, 4)
-        value = sum(((F.instr(F.lit(BASE32), F.substring(four, j + 1, 1)) - 1) * 32 ** (3 - j) for j in range(1, 4)), (F.instr(F.lit(BASE32), F.substring(four, 1, 1)) - 1) * 32**3)
+    def five(i: Column) -> Column:
+        """Five hex digits of four letters."""
+        value = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), lambda a, j: a * 32 + F.instr(F.lit(BASE32), F.substr(F.upper(text), i * 4 + j, F.lit(1))) - 1)
         return F.lower(F.lpad(F.hex(value), 5, "0"))
 
-    return F.when(text.rlike("^[0-9a-fA-F]{40}$"), F.lower(text)).when(text.rlike("^[a-zA-Z2-7]{32}$"), F.concat(*map(quarter, range(8))))
+    return F.when(text.rlike("^[0-9a-fA-F]{40}$"), F.lower(text)).when(text.rlike("^[a-zA-Z2-7]{32}$"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), five), ""))
 
 
 def torrent(infohash_: Column, index: Column) -> Column:

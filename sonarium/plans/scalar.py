@@ -82,8 +82,13 @@ def p16(spark, sf):
 
 def _base32(hex_digits):
     """Upper-case base32 of 40 hex digits, by groups of five."""
-    value = lambda g: F.conv(F.substring(hex_digits, 5 * g + 1, 5), 16, 10).cast("long")
-    return F.concat(*(F.substr(F.lit(keys.BASE32), (F.shiftright(value(g), s).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for g in range(8) for s in (15, 10, 5, 0)))
+
+    def letter(i):
+        five = F.conv(F.substr(hex_digits, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("long")
+        unit = F.element_at(F.array(*map(F.lit, (32_768, 1024, 32, 1))), i % 4 + 1)
+        return F.substr(F.lit(keys.BASE32), (F.floor(five / unit) % 32 + 1).cast("int"), F.lit(1))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
 
 
 @query("F11", "SELECT c_custkey, 'ih:' || substr(sha256(c_name), 1, 40) || '/' || CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '7' END AS key FROM customer")
