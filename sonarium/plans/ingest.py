@@ -267,7 +267,11 @@ def p15(spark, sf):
     return tables(spark, sf, "ads")[0].select("id", bad.alias("reason"))
 
 
-@query("K3", None)
+@query("K3", with_("file_maps", "file_aliases") + """, names(n) AS (VALUES ('c1'), ('k3'), ('a7')),
+reached AS (SELECT key FROM file_maps WHERE key IN (SELECT n FROM names) UNION SELECT key FROM file_aliases WHERE alias IN (SELECT n FROM names)),
+gone AS (SELECT key AS alias FROM reached UNION SELECT alias FROM file_aliases WHERE key IN (SELECT key FROM reached) UNION SELECT n FROM names)
+SELECT key, CAST(NULL AS VARCHAR) AS alias FROM (SELECT key FROM file_maps WHERE key NOT IN (SELECT key FROM reached) UNION SELECT 'c1')
+UNION ALL SELECT key, alias FROM file_aliases WHERE key NOT IN (SELECT key FROM reached) UNION ALL SELECT 'c1', alias FROM gone WHERE alias <> 'c1'""")
 def k3(spark, sf):
     maps, aliases = tables(spark, sf, "file_maps", "file_aliases")
     keys, names = i.refile(maps.select("key"), aliases.select("alias", "key"), "c1", ["k3", "a7"])
