@@ -57,10 +57,18 @@ def s9(spark, sf):
     return judged.groupBy(F.floor(F.col("arrival") / 1000).alias("page"), "outcome").agg(F.count("*").alias("n"))
 
 
-@query("S11", with_("records", "batch") + "SELECT origin, count(*) FILTER (seq <= p) AS out_of_order FROM (SELECT origin, seq, lag(seq) OVER (PARTITION BY origin ORDER BY arrival) AS p FROM batch) GROUP BY origin")
+MAX_ENTRIES = 500
+
+
+@query("S11", with_("records", "batch") + f"""SELECT origin, entries, least(coalesce(bad - 1, entries), {MAX_ENTRIES}) AS accepted, CASE WHEN bad <= {MAX_ENTRIES} THEN 'order' WHEN entries > {MAX_ENTRIES} THEN 'entries' ELSE '' END AS error FROM (
+  SELECT origin, count(*) AS entries, min(n) FILTER (seq <= p) AS bad FROM (SELECT origin, seq, lag(seq) OVER w AS p, row_number() OVER w AS n FROM batch WINDOW w AS (PARTITION BY origin ORDER BY arrival)) GROUP BY origin)""")
 def s11(spark, sf):
-    p = F.lag("seq").over(Window.partitionBy("origin").orderBy("arrival"))
-    return tables(spark, sf, "batch")[0].withColumn("p", p).groupBy("origin").agg(F.count_if(F.col("seq") <= F.col("p")).alias("out_of_order"))
+    """Bodies of entries, one of each origin, as a reader takes them: up to the first number that does not rise, or the most entries of a body; and what was wrong."""
+    w = Window.partitionBy("origin").orderBy("arrival")
+    rows = tables(spark, sf, "batch")[0].select("origin", "seq", F.lag("seq").over(w).alias("p"), F.row_number().over(w).cast("long").alias("n"))
+    read = rows.groupBy("origin").agg(F.count("*").alias("entries"), F.min(F.when(F.col("seq") <= F.col("p"), F.col("n"))).alias("bad"))
+    error = F.when(F.col("bad") <= MAX_ENTRIES, "order").when(F.col("entries") > MAX_ENTRIES, "entries").otherwise("")
+    return read.select("origin", "entries", F.least(F.coalesce(F.col("bad") - 1, F.col("entries")), F.lit(MAX_ENTRIES)).alias("accepted"), error.alias("error"))
 
 
 @query("S19", with_("truth") + "SELECT file, ad, start_ms, end_ms, verified FROM truth WHERE end_ms > start_ms")
@@ -72,11 +80,22 @@ def s19(spark, sf):
     return texts.select("file", F.inline(ads)).where("endMs > startMs").select("file", "ad", F.col("startMs").alias("start_ms"), F.col("endMs").alias("end_ms"), "verified")
 
 
-@query("S21", with_("ad_points") + "SELECT ad, sha256(string_agg(h || ':' || t, ',' ORDER BY h, t)) AS digest FROM ad_points GROUP BY ad")
-def s21(spark, sf):
+def _digests(points):
     rows = F.sort_array(F.collect_list(F.struct("h", "t")))
     text = F.array_join(F.transform("r", lambda e: F.concat_ws(":", e["h"].cast("string"), e["t"].cast("string"))), ",")
-    return tables(spark, sf, "ad_points")[0].groupBy("ad").agg(rows.alias("r")).select("ad", F.sha2(text, 256).alias("digest"))
+    return points.groupBy("ad").agg(rows.alias("r")).select("ad", F.sha2(text, 256).alias("digest"))
+
+
+@query("S21", with_("ad_points") + "SELECT ad, sha256(string_agg(h || ':' || t, ',' ORDER BY h, t)) AS digest, ad % 7 <> 3 AS valid FROM ad_points GROUP BY ad")
+def s21(spark, sf):
+    """An index written with the digest of each ad, opened and checked; the postings of some ads are damaged in between."""
+    folder, points = _folder(spark), tables(spark, sf, "ad_points")[0]
+    _digests(points).write.parquet(f"{folder}/digests")
+    damaged = F.when(F.col("ad") % 7 == 3, F.col("h").bitwiseXOR(F.lit(1))).otherwise(F.col("h"))
+    points.withColumn("h", damaged).write.parquet(f"{folder}/points")
+    now = _digests(spark.read.parquet(f"{folder}/points")).withColumnRenamed("digest", "now")
+    told = spark.read.parquet(f"{folder}/digests").join(now, "ad", "left")
+    return told.select("ad", "digest", F.col("digest").eqNullSafe(F.col("now")).alias("valid"))
 
 
 @query("S22", "SELECT i AS id, i % 3 AS origin, 20000 + CAST('0x' || substr(md5(CAST(i AS VARCHAR)), 1, 6) AS BIGINT) % 25001 AS duration_ms, CAST('0x' || substr(md5('v' || i), 1, 6) AS BIGINT) % 100 < 70 AS voted FROM range(0, 900) r(i)")
