@@ -106,8 +106,9 @@ def i5(spark, sf):
 
 @query("I4", with_("file_maps", "peer_maps") + "SELECT key FROM file_maps f WHERE NOT EXISTS (SELECT 1 FROM peer_maps p WHERE p.key = f.key AND p.ts > f.updated)")
 def i4(spark, sf):
-    f, p = (x.alias(n) for x, n in zip(tables(spark, sf, "file_maps", "peer_maps"), "fp", strict=True))
-    return f.join(p, (F.col("p.key") == F.col("f.key")) & (F.col("p.ts") > F.col("f.updated")), "left_anti").select("key")
+    f, p = tables(spark, sf, "file_maps", "peer_maps")
+    newest = p.groupBy("key").agg(F.max("ts").alias("newest"))
+    return f.join(newest, "key", "left").where("newest IS NULL OR newest <= updated").select("key")
 
 
 @query("S6", with_("records") + "SELECT id, origin, seq FROM records WHERE id > 100 ORDER BY id LIMIT 250")
