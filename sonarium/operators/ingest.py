@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import folded
+
 DAY, AHEAD, EARLIEST, MAX_BODY, MAX_KIND = 86_400_000, 600_000, 1_577_836_800_000, 204_800, 32
 
 
@@ -122,6 +124,45 @@ def refile(keys: DataFrame, aliases: DataFrame, key: str, own_aliases: list[str]
     return new_keys, new_aliases
 
 
+def adopted(files: DataFrame, provisional: str = "session:") -> DataFrame:
+    """files (key, aliases, content, ...) after their content key is known: a provisional key gives way to it, any other takes it as an alias.
+
+    A content key that is the key or an alias already, or null, changes nothing.
+    """
+    known = F.col("content").isNull() | (F.col("key") == F.col("content")) | F.array_contains("aliases", F.col("content"))
+    passing = F.col("key").startswith(provisional)
+    key = F.when(~known & passing, F.col("content")).otherwise(F.col("key"))
+    aliases = F.when(~known & ~passing, F.array_append("aliases", F.col("content"))).otherwise(F.col("aliases"))
+    return files.withColumns({"key": key, "aliases": aliases})
+
+
+def rescanned(maps: DataFrame, enrolled: DataFrame) -> DataFrame:
+    """maps (key, updated, analyzed_ms, ...) after enrolments (ts): what was analysed up to the last of them counts no more."""
+    # newest is one row
+    rows = maps.join(F.broadcast(enrolled.agg(F.max("ts").alias("newest"))))
+    return rows.withColumn("analyzed_ms", F.when(F.col("updated") <= F.col("newest"), F.lit(0)).otherwise(F.col("analyzed_ms"))).drop("newest")
+
+
+def debounced(triggers: DataFrame, wait_ms: int) -> DataFrame:
+    """(node, fired): triggers (node, ms) that come while a call is pending are served by it, wait_ms after the one that set it up.
+
+    Triggers wait_ms or more after the one before set up a call whatever came
+    earlier, so stretches between such are folded apart.
+    """
+    w = Window.partitionBy("node").orderBy("ms")
+    rows = triggers.withColumn("first", F.when(F.col("ms") - F.lag("ms").over(w) < wait_ms, 0).otherwise(1))
+    rows = rows.withColumn("stretch", F.sum("first").over(w.rangeBetween(Window.unboundedPreceding, 0))).select("node", "stretch", "ms")
+
+    def fold(held: list[tuple]) -> list[tuple]:
+        fired: list[tuple] = []
+        for node, _, ms in held:
+            if not fired or ms >= fired[-1][1]:
+                fired.append((node, ms + wait_ms))
+        return fired
+
+    return folded(rows, ["node", "stretch"], ["ms"], fold, "node long, fired long")
+
+
 def near_reports(reports: DataFrame, existing: DataFrame, reach: int = 10_000) -> DataFrame:
     """reports with target: the nearest existing report of the same user and file within reach, the earlier id of equal ones; else null.
 

@@ -38,8 +38,6 @@ def same(key: str, plans, other: str) -> None:
         ORACLE[key] = plans.ORACLE[other]
 
 
-same("R14", log_plans, "K5")
-same("R17", log_plans, "K3")
 same("U6", catalogue, "P7")
 same("U7", catalogue, "J17")
 
@@ -51,12 +49,6 @@ def s5(spark, sf):
     return ads.agg(F.count("*").alias("ads"), F.max("id").alias("newest")).join(F.broadcast(policy.agg(F.count("*").alias("origins"))))
 
 
-@query("S9", with_(*log_plans._LOG) + ", " + log_plans._INGEST + " SELECT arrival // 1000 AS page, outcome, count(*) AS n FROM judged GROUP BY ALL")
-def s9(spark, sf):
-    judged = log_plans._judged(spark, sf)
-    return judged.groupBy(F.floor(F.col("arrival") / 1000).alias("page"), "outcome").agg(F.count("*").alias("n"))
-
-
 MAX_ENTRIES = 500
 
 
@@ -310,7 +302,6 @@ def _session_query(gap: int):
 
 
 query("R7", with_("intervals") + _sessions(600_000))(_session_query(600_000))
-query("R12", with_("intervals") + _sessions(5_000))(_session_query(5_000))
 
 
 @query("R16", with_("own_detections", "peer_detections") + "SELECT key, ad, start_ms, 'own' AS side FROM own_detections WHERE confirmed UNION ALL SELECT key, ad, start_ms, 'remote' FROM peer_detections r WHERE NOT EXISTS (SELECT 1 FROM own_detections o WHERE o.key = r.key AND o.ad = r.ad AND r.start_ms < o.end_ms AND o.start_ms < r.end_ms)")
@@ -393,15 +384,6 @@ def x12(spark, sf):
     return hits("pin", ads.select("id")).unionByName(hits("unpin", pins.select(F.col("ad").alias("id"))))
 
 
-#: Families of the metrics: name, kind, label.
-METRICS = [("windows_total", "counter", ""), ("match_seconds", "histogram", ""), ("detections_total", "counter", "confirmed"), ("index_postings", "gauge", ""), ("records_total", "counter", "outcome"), ("reports_total", "counter", ""), ("open_files", "gauge", "")]
-
-
-@query("X14", "SELECT unnest(['windows_total', 'match_seconds', 'detections_total', 'index_postings', 'records_total', 'reports_total', 'open_files']) AS name, unnest(['counter', 'histogram', 'counter', 'gauge', 'counter', 'counter', 'gauge']) AS kind, unnest(['', '', 'confirmed', '', 'outcome', '', '']) AS label")
-def x14(spark, sf):
-    return spark.createDataFrame(METRICS, "name string, kind string, label string")
-
-
 @query("X18", with_("ad_points", "ads") + match_plans._QUALITY + " SELECT q.ad, q.worst_ad, a.label, q.worst_score >= 3 AS over FROM quality q JOIN ads a ON a.id = q.worst_ad")
 def x18(spark, sf):
     pts, ads = tables(spark, sf, "ad_points", "ads")

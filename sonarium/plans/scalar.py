@@ -60,13 +60,20 @@ def f8(spark, sf):
     return tables(spark, sf, "events")[0].select("event_id", media.to_ms(ns).alias("ms"), media.sample_count(ns).alias("samples"))
 
 
-@query("F9", "SELECT doc_id, 'c:' || sha256(unhex(array_to_string(list_transform(range(0, 8), lambda i: printf('%02X', (octet_length(b) >> CAST(8 * i AS INTEGER)) & 255)), '')) || CASE WHEN octet_length(b) <= 131072 THEN b[1:65536] || b[greatest(1, octet_length(b) - 65535):] ELSE b[1:65536] || b[octet_length(b) - 65535:] END) AS key FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)")
-def f9(spark, sf):
+_CONTENT = "SELECT doc_id, 'c:' || sha256(unhex(array_to_string(list_transform(range(0, 8), lambda i: printf('%02X', (octet_length(b) >> CAST(8 * i AS INTEGER)) & 255)), '')) || CASE WHEN octet_length(b) <= 131072 THEN b[1:65536] || b[greatest(1, octet_length(b) - 65535):] ELSE b[1:65536] || b[octet_length(b) - 65535:] END) AS key FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)"
+
+
+def content_keys(df, row: str, text: str):
     """Content keys of whole texts: their size, first and last 64 KiB (which overlap or are equal in short ones)."""
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
     size = F.octet_length(raw).cast("long")
     tail = F.substr(raw, F.greatest(F.lit(1), F.octet_length(raw) - keys.EDGE + 1), F.lit(keys.EDGE))
-    return tables(spark, sf, "documents")[0].select("doc_id", keys.content(size, F.substr(raw, F.lit(1), F.lit(keys.EDGE)), tail).alias("key"))
+    return df.select(row, keys.content(size, F.substr(raw, F.lit(1), F.lit(keys.EDGE)), tail).alias("key"))
+
+
+@query("F9", _CONTENT)
+def f9(spark, sf):
+    return content_keys(tables(spark, sf, "documents")[0], "doc_id", "text")
 
 
 @query("F10", "SELECT c_custkey, 'id:' || substr(sha256(c_name), 1, 32) AS key FROM customer")

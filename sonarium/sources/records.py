@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import codec
 
@@ -35,6 +36,23 @@ def decoded(frames: DataFrame) -> DataFrame:
     return frames.select("frame").mapInPandas(run, SCHEMA)
 
 
+def write_snapshot(path: str, node: str, records: DataFrame) -> None:
+    """A snapshot of a log under path: the frames of its records (as encoded takes them) and the node that made it."""
+    encoded(records).write.parquet(f"{path}/records")
+    records.sparkSession.createDataFrame([(node,)], "node string").coalesce(1).write.parquet(f"{path}/node")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """The node and the records (SCHEMA) of a snapshot, unchecked as if a peer had sent them; Corrupt where it names no node."""
+    try:
+        named = spark.read.parquet(f"{path}/node").take(1)
+    except AnalysisException as e:
+        raise codec.Corrupt(f"no snapshot in {path}") from e
+    if not named:
+        raise codec.Corrupt(f"the snapshot in {path} names no node")
+    return named[0].node, decoded(spark.read.parquet(f"{path}/records"))
+
+
 def round_trip(log: DataFrame) -> DataFrame:
     """(origin, seq, kind, ts) of a log after its records went through frames. Origins are hashed to keys, bodies name the ad."""
 
