@@ -11,7 +11,7 @@ from ..sources import config, records
 from ..streaming import state
 from . import ingest as log_plans, more, scalar
 from .fixtures import SELF, tables, with_
-from .streams import _as_stream, _folder
+from .streams import _as_stream, _folder, _told
 
 QUERIES, ORACLE = {}, {}
 
@@ -204,9 +204,4 @@ def r8_stream(spark, sf):
     """What the stores of the last 45 minutes hold after a whole stream, whatever order it came in."""
     folder = _folder(spark)
     stream = _as_stream(tables(spark, sf, "intervals")[0].select("file", "ord", "to_ms"), folder)
-    write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/b{n}")
-    stream = state.recent(stream, 2_700_000).writeStream.outputMode("update").foreachBatch(write)
-    stream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    told = spark.read.parquet(f"{folder}/out/*")
-    last = told.groupBy("file").agg(F.max("batch").alias("batch"))
-    return told.join(last, ["file", "batch"]).select("file", "ord")
+    return _told(state.recent(stream, 2_700_000), folder, "file").select("file", "ord")

@@ -31,14 +31,18 @@ def _as_stream(df: DataFrame, folder: str, files: int = 3) -> DataFrame:
     return s.read(df.sparkSession, f"{folder}/in", schema, files)
 
 
+def _told(rows: DataFrame, folder: str, *by: str) -> DataFrame:
+    """What a stream in update mode has told last of each key once it has ended."""
+    q = rows.writeStream.outputMode("update").foreachBatch(s.told_each(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.told_last(rows.sparkSession, f"{folder}/out", *by)
+
+
 def g33_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Votes by last writer, from a stream."""
     folder = _folder(spark)
     stream = _as_stream(tables(spark, sf, "votes_log")[0], folder)
-    q = stream.writeStream.foreachBatch(s.merge_latest(f"{folder}/latest", "ad", "origin")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{folder}/latest/v{last}").select("ad", "origin", "value", "reason", "ts", "seq")
+    return _told(s.latest(stream, "ad", "origin"), folder, "ad", "origin").select("ad", "origin", "value", "reason", "ts", "seq")
 
 
 def r13_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,11 +63,7 @@ def r1_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of each file after the whole stream: those of the last batch that touched it."""
     folder = _folder(spark)
     stream = _as_stream(tables(spark, sf, "blocks")[0], folder)
-    q = stream.writeStream.foreachBatch(s.candidates_each(folder)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    found = spark.read.parquet(f"{folder}/candidates/*").withColumn("batch", F.regexp_extract(F.input_file_name(), "/candidates/v([0-9]+)/", 1).cast("int"))
-    last = found.groupBy("file").agg(F.max("batch").alias("batch"))
-    return found.join(last, ["file", "batch"]).drop("batch")
+    return _told(s.candidates(stream, idle_ms=None), folder, "file")
 
 
 def r9_stream(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Streams: landmark windows matched against a static index, candidates kept per file, records merged by last writer."""
+"""Streams: landmark windows matched against an index, candidates kept per file, rows of the last writer, each record once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import catalogue, detect, match
 from ..operators.detect import CONFIRM_SCORE
@@ -36,47 +38,60 @@ def match_each(index: Callable[[], DataFrame], min_score: int, out: Callable[[Da
     return batch
 
 
-def candidates_each(path: str, confirm_score: int = CONFIRM_SCORE, idle_ms: int = IDLE_MS) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: under path, the blocks of open files (blocks/vN) and the candidates of files that a batch touched (candidates/vN).
+def candidates(blocks: DataFrame, confirm_score: int = CONFIRM_SCORE, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """(file, ad, start, end, score, agree, confirmed) of each file that blocks of a batch touch, all of them told anew; blocks: a stream of BLOCK.
 
-    A file's candidates are folded anew from its blocks, which its length
-    bounds, so blocks may come late and in any order. A file whose last block
-    lies idle_ms or more of media time behind the newest of all is closed: its
-    blocks are no longer carried over.
+    A file's candidates are folded from its blocks, which its length bounds
+    and which are the state, so blocks may come late, twice and in any order.
+    A file of which nothing comes for idle_ms of wall time is closed: its
+    blocks go from the state. A stream that waits for that never ends by
+    itself; one that takes what is there and ends has no idle_ms (None).
+    """
+    columns = ["block_from", "block_to", "ad", "start", "end", "score", "ord"]
+    at = {c: i for i, c in enumerate(columns)}
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = {tuple(r) for r in held.get[0]} if held.exists else set()
+        for b in batches:
+            values = [b[c].astype(object).where(b[c].notna(), None).tolist() for c in columns]
+            rows.update(zip(*values, strict=True))
+        ordered = sorted(rows, key=lambda r: (r[at["block_from"]], r[at["block_to"]], r[at["ord"]], r[at["ad"]] is not None, r))
+        held.update(([list(r) for r in ordered],))
+        if idle_ms is not None:
+            held.setTimeoutDuration(idle_ms)
+        found = detect.fold_candidates([dict(zip(columns, r, strict=True)) for r in ordered], confirm_score)
+        if found:
+            yield pd.DataFrame(found).assign(file=key[0])[["file", "ad", "start", "end", "score", "agree", "confirmed"]]
+
+    out = "file string, ad long, start long, end long, score long, agree long, confirmed boolean"
+    return blocks.groupBy("file").applyInPandasWithState(step, out, "rows array<array<long>>", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def latest(log: DataFrame, *by: str) -> DataFrame:
+    """The latest row of each key by (ts, seq), whatever order rows come in: a stream in update mode, whose state is one row of each key."""
+    return catalogue.latest(log, *by)
+
+
+def told_each(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: what a batch tells anew goes to path/bN, with its number N as batch.
+
+    Only what changed is written, and a batch that runs again after a failure
+    writes the same again.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        rows = df.dropDuplicates(["file", "ord", "ad"])
-        if number > 0:
-            before = spark.read.parquet(f"{path}/blocks/v{number - 1}")
-            rows = rows.unionByName(before).dropDuplicates(["file", "ord", "ad"])
-        newest = rows.agg(F.max("block_to").alias("newest"))
-        last = rows.groupBy("file").agg(F.max("block_to").alias("last"))
-        # newest is one row
-        open_files = last.join(F.broadcast(newest)).where(F.col("last") > F.col("newest") - idle_ms).select("file")
-        touched = df.select("file").distinct()
-        found = detect.candidates(rows.join(touched, "file", "left_semi"), confirm_score)
-        found.write.mode("overwrite").parquet(f"{path}/candidates/v{number}")
-        rows.join(open_files, "file", "left_semi").write.mode("overwrite").parquet(f"{path}/blocks/v{number}")
+        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/b{number}")
 
     return batch
 
 
-def merge_latest(path: str, *by: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a table under path that holds the latest row of each key by (ts, seq), whatever order rows come in.
-
-    Every batch writes a version of its own, named by its number, so a batch
-    that runs again after a failure writes the same again.
-    """
-
-    def batch(df: DataFrame, number: int) -> None:
-        rows = df
-        if number > 0:
-            rows = df.unionByName(df.sparkSession.read.parquet(f"{path}/v{number - 1}"))
-        catalogue.latest(rows, *by).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return batch
+def told_last(spark: SparkSession, path: str, *by: str) -> DataFrame:
+    """Of all that told_each wrote under path, the rows of the last batch that told of each key."""
+    told = spark.read.parquet(f"{path}/*")
+    return told.join(told.groupBy(*by).agg(F.max("batch").alias("batch")), [*by, "batch"]).drop("batch")
 
 
 def unique_records(records: DataFrame, delay: str = "1 day") -> DataFrame:

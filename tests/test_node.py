@@ -81,3 +81,10 @@ def test_files_newer_than_the_last_enrolment_keep_their_coverage(spark):
     left = lambda e: {r.key: r.analyzed_ms for r in ingest.rescanned(maps, e).collect()}
     assert left(enrolled) == {"a": 0, "b": 70}
     assert left(enrolled.where(F.lit(False))) == {"a": 70, "b": 70}
+
+
+def test_candidates_of_a_stream_equal_those_of_the_batch(spark, sf_dir):
+    from sonarium.plans import registry
+
+    rows = lambda name: sorted(map(tuple, registry.QUERIES[name](spark, sf_dir).select("file", "ad", "start", "end", "score", "agree", "confirmed").collect()), key=repr)
+    assert rows("R1_stream") == rows("R1") != []
