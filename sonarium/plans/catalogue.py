@@ -167,6 +167,14 @@ def j17(spark, sf):
     return d.join(kept, "ad").join(ads.select(F.col("id").alias("ad"), "label", "type"), "ad").select("key", "ad", "start_ms", "origin", "label", "type")
 
 
+@query("U7", _sql(_TRACKED, *_ALL, _tracking(262144), then="SELECT a.id, CASE WHEN t.id IS NOT NULL THEN a.label END AS label, CASE WHEN t.id IS NOT NULL THEN a.type END AS type, t.id IS NOT NULL AS ok FROM ads a LEFT JOIN tracking t ON t.id = a.id"))
+def u7(spark, sf):
+    """Label and type of every ad that is asked for, if it is tracked."""
+    kept = _tracked(spark, sf, c.MAX_ADS).select("id", F.lit(True).alias("found"))
+    rows = _get(spark, sf, "ads")[0].join(kept, "id", "left").withColumn("ok", F.coalesce("found", F.lit(False)))
+    return rows.select("id", F.when(F.col("ok"), F.col("label")).alias("label"), F.when(F.col("ok"), F.col("type")).alias("type"), "ok")
+
+
 @query("T2", _sql("ads", then="SELECT id FROM ads ORDER BY created DESC, id LIMIT 262144"))
 def t2(spark, sf):
     """The newest ads, where there are more than an index takes."""

@@ -135,7 +135,14 @@ def j6(spark, sf):
     return r.join(filed, "id").orderBy(F.desc("id")).limit(200).select(F.col("id").alias("record"), "kind")
 
 
-QUERIES["T11"], ORACLE["T11"] = QUERIES["J6"], ORACLE["J6"]
+@query("T11", with_("records") + "SELECT ad, id AS record, kind FROM records WHERE kind <> 'file.map' QUALIFY row_number() OVER (PARTITION BY ad ORDER BY id DESC) <= 200")
+def t11(spark, sf):
+    """The newest 200 records of each ad."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("ad").orderBy(F.desc("id")))
+    rows = tables(spark, sf, "records")[0].where("kind <> 'file.map'").withColumn("rank", rank)
+    return rows.where("rank <= 200").select("ad", F.col("id").alias("record"), "kind")
 
 
 @query("R11", with_("records") + "SELECT id FROM records WHERE id > 50 AND (via IS NULL OR via <> 2) ORDER BY id LIMIT 500")
@@ -212,11 +219,21 @@ def k9(spark, sf):
     return changed.join(maps, "key").select("key", "digest", (F.floor(F.col("updated") / i.DAY) * i.DAY).alias("ts"))
 
 
-@query("K10", with_("records") + "SELECT via, kind, CAST(count(*) * 2 AS BIGINT) AS n FROM records WHERE via IS NOT NULL GROUP BY ALL")
+@query("K10", with_("records") + """, c AS (SELECT via, kind, count(*) FILTER (id % 3 = 0) AS old, count(*) FILTER (id % 3 > 0) AS new FROM records WHERE via IS NOT NULL GROUP BY ALL)
+SELECT via, kind, old + new AS n, coalesce(CASE WHEN kind <> 'ad.dup' THEN 'pushed ' || kind END, 'stored ' || kind) AS note FROM c""")
 def k10(spark, sf):
-    n = tables(spark, sf, "records")[0].where("via IS NOT NULL").groupBy("via", "kind").agg(F.count("*").alias("n"))
-    maps = n.groupBy("via").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("m"))
-    return maps.select("via", F.explode(i.merge_counts(F.col("m"), F.col("m"))).alias("kind", "n"))
+    """Counters by kind that peers have stored, with those of a push added; a note that the push leaves out stays as it was."""
+    rows = tables(spark, sf, "records")[0].where("via IS NOT NULL")
+
+    def counts(part, name):
+        n = part.groupBy("via", "kind").agg(F.count("*").alias("n"))
+        return n.groupBy("via").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias(name))
+
+    none = F.create_map().cast("map<string,bigint>")
+    both = counts(rows.where("id % 3 = 0"), "old").join(counts(rows.where("id % 3 > 0"), "new"), "via", "full")
+    merged = both.select("via", F.explode(i.merge_counts(F.coalesce("old", none), F.coalesce("new", none))).alias("kind", "n"))
+    pushed = F.when(F.col("kind") != "ad.dup", F.concat(F.lit("pushed "), "kind"))
+    return merged.withColumn("note", F.coalesce(pushed, F.concat(F.lit("stored "), "kind")))
 
 
 @query("K12", with_("reports") + "SELECT id FROM reports WHERE NOT (user = 'u2' AND (file_key IN ('k1', 'k4') OR norm IN ('n1', 'n4')) AND pos_ms BETWEEN 1000000 AND 50000000)".replace("user =", '"user" ='))

@@ -31,17 +31,6 @@ def query(key: str, sql: str | None = None):
     return keep
 
 
-def same(key: str, plans, other: str) -> None:
-    """A query that the reference reaches by another way, but that asks the same."""
-    QUERIES[key] = plans.QUERIES[other]
-    if other in plans.ORACLE:
-        ORACLE[key] = plans.ORACLE[other]
-
-
-same("U6", catalogue, "P7")
-same("U7", catalogue, "J17")
-
-
 @query("S5", "SELECT (SELECT count(*) FROM part) AS ads, (SELECT count(*) FROM supplier) AS origins, (SELECT max(p_partkey) FROM part) AS newest")
 def s5(spark, sf):
     ads, policy = tables(spark, sf, "ads", "origin_policy")
@@ -90,14 +79,6 @@ def s21(spark, sf):
     return told.select("ad", "digest", F.col("digest").eqNullSafe(F.col("now")).alias("valid"))
 
 
-@query("S22", "SELECT i AS id, i % 3 AS origin, 20000 + CAST('0x' || substr(md5(CAST(i AS VARCHAR)), 1, 6) AS BIGINT) % 25001 AS duration_ms, CAST('0x' || substr(md5('v' || i), 1, 6) AS BIGINT) % 100 < 70 AS voted FROM range(0, 900) r(i)")
-def s22(spark, sf):
-    """A synthetic world of ads, from a rule: three origins, 20 to 45 seconds, votes on seven of ten."""
-    draw = lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("long")
-    i = F.col("id").cast("string")
-    return spark.range(900).select("id", (F.col("id") % 3).alias("origin"), (20_000 + draw(i) % 25_001).alias("duration_ms"), (draw(F.concat(F.lit("v"), i)) % 100 < 70).alias("voted"))
-
-
 WALL = 1_704_100_000_000
 
 

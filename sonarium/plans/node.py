@@ -183,6 +183,41 @@ def x14(spark, sf):
     return spark.createDataFrame(rows, "name string, kind string, labels string, bounds long, last double")
 
 
+@query("U6", "SELECT doc_id, lower(text) AS folded FROM documents")
+def u6(spark, sf):
+    """A function of one's own in SQL texts: the folding of case, which keeps nulls; a SQL function, so that it is part of the plan."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION fold(x STRING) RETURNS STRING RETURN lower(x)")
+    return spark.sql("SELECT doc_id, fold(text) AS folded FROM {documents}", documents=tables(spark, sf, "documents")[0])
+
+
+#: The synthetic world (fixed values): ads, collisions, ads and maps of trash.
+ADS, COLLISIONS, TRASH_ADS, TRASH_MAPS = 900, 60, 3500, 1800
+
+
+def _draw(seed: str, n: int, low: int = 0) -> tuple[str, str]:
+    """A number from low on, of n, that follows from seed and i, in both dialects."""
+    h = f"substr(md5('{seed}' || CAST(i AS {{}})), 1, 6)"
+    return f"({low} + CAST(conv({h.format('STRING')}, 16, 10) AS BIGINT) % {n})", f"({low} + CAST('0x' || {h.format('VARCHAR')} AS BIGINT) % {n})"
+
+
+def _world(duck: int) -> str:
+    d = lambda *a: _draw(*a)[duck]
+    rows = lambda n: f"range({n}) r(i)" if duck else f"(SELECT id AS i FROM range({n}))"
+    none, text = "CAST(NULL AS BIGINT)", "VARCHAR" if duck else "STRING"
+    head = lambda part, kind: f"SELECT '{part}' AS part, i AS id, {kind} AS kind"
+    return f"""{head("ad", f"CAST(NULL AS {text})")}, i % 3 AS origin, {d("length", 25001, 20000)} AS duration_ms, {none} AS of, {none} AS shift, {none} AS score FROM {rows(ADS)}
+UNION ALL {head("collision", "CASE i % 3 WHEN 0 THEN 'near' WHEN 1 THEN 'half' ELSE 'bed' END")}, (i + 1) % 3, CASE i % 3 WHEN 2 THEN {d("bed", 4001)} ELSE {d("length", 25001, 20000)} END, i, CASE i % 3 WHEN 0 THEN {d("shift", 4)} END, {none} FROM {rows(COLLISIONS)}
+UNION ALL {head("vote", f"CASE WHEN {d('kind', 100)} < 5 THEN 'boundary' ELSE 'good' END")}, 0, {none}, i, {none}, {none} FROM {rows(ADS)} WHERE {d("vote", 100)} < 70
+UNION ALL {head("trash", f"CASE WHEN {d('spam', 100)} < 60 THEN 'not_ad' END")}, 3, {d("short", 6001, 2000)}, {none}, {none}, {none} FROM {rows(TRASH_ADS)}
+UNION ALL {head("map", f"CAST(NULL AS {text})")}, 3, {none}, {d("many", 20, 5)}, {none}, {d("score", 15, 20)} FROM {rows(TRASH_MAPS)}"""
+
+
+@query("S22", _world(1))
+def s22(spark, sf):
+    """A synthetic world, from rules: honest ads of three origins and the votes on them, ads that collide with others (near copies, halves, shared beds), and the ads and maps of a spammer."""
+    return spark.sql(_world(0))
+
+
 #: After all events of the tables, by more than they may come late.
 FAR = log_plans.NOW + 410 * i.DAY
 
