@@ -279,12 +279,6 @@ def t12(spark, sf):
     return rows.select("via", F.array_join(F.transform("r", lambda e: F.concat_ws(":", e["kind"], (-e["m"]).cast("string"))), ",").alias("counts"))
 
 
-@query("P15", with_("ads", "records") + "SELECT id, CASE WHEN length(label) > 200 OR regexp_matches(label, '[[:cntrl:]]') THEN 'label' WHEN duration_ms > 600000 THEN 'duration' WHEN n_points < 50 THEN 'landmarks' WHEN fp_version NOT BETWEEN 1 AND 65536 THEN 'version' END AS reason FROM ads")
-def p15(spark, sf):
-    bad = F.when((F.length("label") > 200) | F.col("label").rlike(r"\p{Cntrl}"), "label").when(F.col("duration_ms") > 600_000, "duration").when(F.col("n_points") < 50, "landmarks").when(~F.col("fp_version").between(1, 65_536), "version")
-    return tables(spark, sf, "ads")[0].select("id", bad.alias("reason"))
-
-
 @query("K3", with_("file_maps", "file_aliases") + """, names(n) AS (VALUES ('c1'), ('k3'), ('a7')),
 reached AS (SELECT key FROM file_maps WHERE key IN (SELECT n FROM names) UNION SELECT key FROM file_aliases WHERE alias IN (SELECT n FROM names)),
 gone AS (SELECT key AS alias FROM reached UNION SELECT alias FROM file_aliases WHERE key IN (SELECT key FROM reached) UNION SELECT n FROM names)

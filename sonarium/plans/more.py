@@ -203,11 +203,6 @@ def k23(spark, sf):
     return n.select("file", F.to_json(F.struct("file", "detections", "best")).alias("json"))
 
 
-@query("P20", "SELECT page_id, regexp_matches(url, '^https://([a-z0-9-]+\\.)*example\\.(com|org)(:443)?/') AS allowed FROM pages")
-def p20(spark, sf):
-    return tables(spark, sf, "pages")[0].select("page_id", F.col("url").rlike(r"^https://([a-z0-9-]+\.)*example\.(com|org)(:443)?/").alias("allowed"))
-
-
 @query("W3", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY epoch_us(ts) // 3600000000 ORDER BY value DESC, event_id) <= 30")
 def w3(spark, sf):
     """The strongest 30 of each bucket, as SQL does it; the kernel does it on arrays."""

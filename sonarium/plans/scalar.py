@@ -148,13 +148,6 @@ def f17(spark, sf):
     return x.select("id", media.label_or_default(F.col("label"), F.col("type"), F.col("hex_id")).alias("label"))
 
 
-@query("F18", with_("records") + "SELECT id, CASE kind WHEN 'ad.add' THEN 'added ' || ad WHEN 'ad.vote' THEN 'voted on ' || ad WHEN 'ad.dup' THEN 'called ' || ad || ' a duplicate' WHEN 'ad.label' THEN 'labelled ' || ad ELSE 'published a map' END AS summary FROM records")
-def f18(spark, sf):
-    a = F.col("ad").cast("string")
-    said = F.when(F.col("kind") == "ad.add", F.concat(F.lit("added "), a)).when(F.col("kind") == "ad.vote", F.concat(F.lit("voted on "), a)).when(F.col("kind") == "ad.dup", F.concat(F.lit("called "), a, F.lit(" a duplicate"))).when(F.col("kind") == "ad.label", F.concat(F.lit("labelled "), a)).otherwise("published a map")
-    return tables(spark, sf, "records")[0].select("id", said.alias("summary"))
-
-
 @query("F19", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey * 11 END AS total FROM orders")
 def f19(spark, sf):
     total = F.when(F.col("o_orderkey") % 5 == 0, F.lit("*")).otherwise((F.col("o_orderkey") * 11).cast("string"))
@@ -181,12 +174,6 @@ def f23(spark, sf):
     return tables(spark, sf, "orders")[0].select("o_orderkey", metrics.status_class(F.col("o_orderkey") % 700).alias("class"))
 
 
-@query("F24", with_("records") + "SELECT id, ad, kind FROM records")
-def f24(spark, sf):
-    body = F.to_json(F.struct("ad", "kind"))
-    return tables(spark, sf, "records")[0].select("id", body.alias("body")).select("id", F.from_json("body", "ad long, kind string").alias("b")).select("id", "b.ad", "b.kind")
-
-
 @query("K22", with_("own_detections") + "SELECT key, ad, start_ms, '{\"start\":' || start_ms || ',\"end\":' || end_ms || ',\"score\":' || score || '}' AS json FROM own_detections")
 def k22(spark, sf):
     return tables(spark, sf, "own_detections")[0].select("key", "ad", "start_ms", F.to_json(F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "score")).alias("json"))
