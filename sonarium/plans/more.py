@@ -181,7 +181,10 @@ def k18(spark, sf):
     return ads.where("(author IS NULL OR author = 1) AND fp_version = 1").join(adds.select(F.col("ad").alias("id")), "id", "left_anti").select("id")
 
 
-@query("K19")
+_V = "greatest(1, CAST(ceil(length(bin({})) / 7.0) AS BIGINT))"
+
+
+@query("K19", with_("records") + f"SELECT id, p + {_V.format('p')} AS bytes FROM (SELECT id, 1 + length(kind) + 32 + {_V.format('seq')} + {_V.format('2 * ts')} + 1 + 2 + 64 AS p FROM records)")
 def k19(spark, sf):
     from ..sources import records as source
 

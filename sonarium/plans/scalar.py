@@ -261,7 +261,8 @@ def s10(spark, sf):
     return record_source.round_trip(tables(spark, sf, "records")[0])
 
 
-@query("S13")
+@query("S13", """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), s AS (SELECT doc_id, unnest(list_transform(range(0, length(h) // 4), lambda i: CAST('0x' || substr(h, 4 * i + 3, 2) || substr(h, 4 * i + 1, 2) AS INTEGER))) AS x FROM d)
+SELECT d.doc_id, length(h) // 4 AS n, coalesce(top, 0.0) AS top FROM d LEFT JOIN (SELECT doc_id, max(abs(CASE WHEN x >= 32768 THEN x - 65536 ELSE x END)) / 32768.0 AS top FROM s GROUP BY doc_id) m ON m.doc_id = d.doc_id""")
 def s13(spark, sf):
     """Whole texts as 16-bit samples: how many, and the loudest."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
