@@ -189,7 +189,7 @@ def k19(spark, sf):
     from ..sources import records as source
 
     r = tables(spark, sf, "records")[0].select("id", "kind", F.unhex(F.sha2(F.col("origin").cast("string"), 256)).alias("origin"), "seq", "ts", F.lit(bytearray(b"{}")).alias("body"), F.lit(bytearray(64)).alias("sig"))
-    return source.encoded(r).select("id", F.octet_length("frame").alias("bytes"))
+    return source.encoded(r).select("id", F.octet_length("frame").cast("long").alias("bytes"))
 
 
 @query("K20", match_plans.ORACLE["T10"])
