@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,14 +165,17 @@ def debounced(triggers: DataFrame, wait_ms: int) -> DataFrame:
     return folded(rows, ["node", "stretch"], ["ms"], fold, "node long, fired long")
 
 
-def near_reports(reports: DataFrame, existing: DataFrame, reach: int = 10_000) -> DataFrame:
-    """reports with target: the nearest existing report of the same user and file within reach, the earlier id of equal ones; else null.
+def near_reports(reports: DataFrame, existing: DataFrame, reach: int = 10_000, rank: Callable[[Column, Column], Column] = F.struct) -> DataFrame:
+    """reports with target: of the existing reports of the same user and file within reach, the first by rank of its distance and id; else null.
 
+    Without another rank that is the nearest, the earlier id of equal ones.
     Positions are bucketed by reach, so each report meets the three buckets
     around it only.
     """
+    own = ["id", "user", "file_key", "pos_ms"]
     e = existing.select(F.col("user").alias("u"), F.col("file_key").alias("f"), F.col("pos_ms").alias("p"), F.col("id").alias("target")).withColumn("bucket", F.floor(F.col("p") / reach))
     asked = reports.withColumn("bucket", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("pos_ms") / reach) + d)))
-    hits = asked.join(e, (asked["user"] == e["u"]) & (asked["file_key"] == e["f"]) & (asked["bucket"] == e["bucket"]) & (F.abs(F.col("pos_ms") - F.col("p")) <= reach) & (F.col("id") != F.col("target")))
-    best = hits.groupBy("id").agg(F.min(F.struct(F.abs(F.col("pos_ms") - F.col("p")).alias("d"), "target")).alias("best")).select("id", F.col("best.target").alias("target"))
-    return reports.join(best, "id", "left")
+    away = F.abs(F.col("pos_ms") - F.col("p"))
+    hits = asked.join(e, (asked["user"] == e["u"]) & (asked["file_key"] == e["f"]) & (asked["bucket"] == e["bucket"]) & (away <= reach) & (F.col("id") != F.col("target")))
+    best = hits.groupBy(own).agg(F.min(F.struct(rank(away, F.col("target")).alias("rank"), away.alias("d"), "target")).alias("best")).select(*own, F.col("best.target").alias("target"))
+    return reports.join(best, own, "left")
