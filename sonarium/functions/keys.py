@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,38 +33,60 @@ def storable(key: Column) -> Column:
     return key.rlike("^(ih|c|id):")
 
 
-#: The base32 alphabet of RFC 4648.
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The base32 alphabet of RFC 4648, and the digits that conv() has for it.
+BASE32, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _HASH = "(?:[0-9a-fA-F]{40}|[a-zA-Z2-7]{32})"
 
 
-def infohash(text: Column) -> Column:
-    """The 40 hex digits in lower case of an infohash in hex or base32; null for others."""
+def _converted(text: Column, base: int, width: int, to: int, to_width: int, times: tuple[int, ...]) -> Column:
+    """text in another base, by groups of at most 60 bits: of width digits to to_width ones, each so many times as given."""
+    at, parts = 1, []
+    for n in times:
+        parts.append(F.lpad(F.conv(F.substring(text, at, width * n), base, to), to_width * n, "0"))
+        at += width * n
+    return F.concat(*parts)
+
 
-    def five(i: Column) -> Column:
-        """Five hex digits of four letters."""
-        value = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), lambda a, j: a * 32 + F.instr(F.lit(BASE32), F.substr(F.upper(text), i * 4 + j, F.lit(1))) - 1)
-        return F.lower(F.lpad(F.hex(value), 5, "0"))
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is evaluated once. Generated code only calls it, so its methods stay small enough to be compiled (8000 bytes)."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
-    return F.when(text.rlike("^[0-9a-fA-F]{40}$"), F.lower(text)).when(text.rlike("^[a-zA-Z2-7]{32}$"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), five), ""))
+
+def base32(hex_digits: Column) -> Column:
+    """Upper-case base32 of 40 hex digits."""
+    return _let(hex_digits, lambda h: F.translate(_converted(h, 16, 5, 32, 4, (3, 3, 2)), _DIGITS, BASE32))
+
+
+def infohash(text: Column) -> Column:
+    """The 40 hex digits in lower case of an infohash in hex or base32; null for others."""
+    of_base32 = lambda digits: F.lower(_converted(digits, 32, 4, 16, 5, (3, 3, 2)))
+    return _let(text, lambda t: F.when(t.rlike("^[0-9a-fA-F]{40}$"), F.lower(t)).when(t.rlike("^[a-zA-Z2-7]{32}$"), _let(F.translate(F.upper(t), BASE32, _DIGITS), of_base32)))
 
 
 def torrent(infohash_: Column, index: Column) -> Column:
     """Infohashes in hex or base32 become lower-case hex, others stay as they are; no index is the first."""
-    norm = F.coalesce(infohash(infohash_), infohash_)
-    return F.when(F.coalesce(infohash_, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("ih:"), norm, F.lit("/"), F.coalesce(F.nullif(index, F.lit("")), F.lit("1"))))
+    key = lambda h: F.concat(F.lit("ih:"), F.coalesce(infohash(h), h), F.lit("/"), F.coalesce(F.nullif(index, F.lit("")), F.lit("1")))
+    return _let(infohash_, lambda h: F.when(F.coalesce(h, F.lit("")) == "", F.lit("")).otherwise(key(h)))
 
 
 def stream_key(url: Column) -> Column:
     """The torrent key that a stream URL names (/play/HASH/N, or /stream?link=HASH&index=N, the link a hash or a magnet link with one); else empty."""
     play = rf"/play/({_HASH})/([^/?#]+)/?(?:[?#].*)?$"
-    play_hash, play_n = F.regexp_extract(url, play, 1), F.regexp_extract(url, play, 2)
-    query = F.regexp_extract(url, _URL, 4)
-    link = F.regexp_extract(query, r"(?:^|&)link=([^&]*)", 1)
-    link = F.coalesce(F.nullif(F.regexp_extract(F.url_decode(link), rf"urn:btih:({_HASH})(?:[^0-9a-zA-Z]|$)", 1), F.lit("")), link)
-    n = F.regexp_extract(query, r"(?:^|&)index=([^&]*)", 1)
-    is_stream = F.regexp_extract(url, _URL, 3).rlike("^/stream(/|$)") & (n != "") & link.rlike(f"^{_HASH}$")
-    return F.when(play_hash != "", torrent(play_hash, play_n)).when(is_stream, torrent(link, n)).otherwise(F.lit(""))
+
+    def of_link(link: Column, n: Column) -> Column:
+        magnet = F.nullif(F.regexp_extract(F.url_decode(link), rf"urn:btih:({_HASH})(?:[^0-9a-zA-Z]|$)", 1), F.lit(""))
+        return _let(F.coalesce(magnet, link), lambda x: F.when(x.rlike(f"^{_HASH}$"), torrent(x, n)).otherwise(F.lit("")))
+
+    def of_query(u: Column, query: Column) -> Column:
+        n = F.regexp_extract(query, r"(?:^|&)index=([^&]*)", 1)
+        is_stream = F.regexp_extract(u, _URL, 3).rlike("^/stream(/|$)") & (n != "")
+        return F.when(is_stream, of_link(F.regexp_extract(query, r"(?:^|&)link=([^&]*)", 1), n)).otherwise(F.lit(""))
+
+    def key(u: Column) -> Column:
+        stream = _let(F.regexp_extract(u, _URL, 4), lambda q: of_query(u, q))
+        return _let(F.regexp_extract(u, play, 1), lambda h: F.when(h != "", torrent(h, F.regexp_extract(u, play, 2))).otherwise(stream))
+
+    return _let(url, key)
 
 
 def _parameters(url: Column) -> Column:
