@@ -185,9 +185,9 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "v").join(right, "u").select("u", "v", "set_u", "set_v")
 
 
-def _bits_of(rows: DataFrame):
-    """A broadcast filter with a bit on for each of the row hashes: at most MOST_BITS / 32768 rows come to the driver, whatever the input."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * rows.count()).bit_length()))
+def _bits_of(rows: DataFrame, n: int):
+    """A broadcast filter with a bit on for each of the n row hashes: at most MOST_BITS / 32768 rows come to the driver, whatever the input."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
     bit = F.col("row").bitwiseAND(F.lit(bits - 1))
     maps = rows.groupBy(F.shiftright(bit, 15).alias("at")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(_BITMAP - 1))).alias("map"))
     out = bytearray(bits // 8)
@@ -232,9 +232,12 @@ def near_duplicates(df: DataFrame, k: int, percent: int = PERCENT, side: int = S
     best = buckets.groupBy("node").agg(F.max("centre").alias("centre")).select(F.col("node").alias("u"), (-F.col("centre.least")).alias("v"))
     best = common.written(best, "best-centres")
     wanted = common.written(classes.select("node", "fp", "row").join(best.select(F.col("u").alias("node")), "node", "left_semi"), "wanted-sets")
-    again = read.select("row", "text").mapInArrow(_sets(k, _bits_of(wanted)), "row long, fp binary, set binary")
-    sets = common.written(again.join(common.few(wanted), ["row", "fp"]).select("node", "set"), "shingle-sets")
-    if sets.count() > wanted.count():  # rows equal in id and text make the same set
+    n_wanted = wanted.count()
+    bits = _bits_of(wanted, n_wanted)
+    again = read.select("row", "text").mapInArrow(_sets(k, bits), "row long, fp binary, set binary")
+    sets = common.written(again.join(F.broadcast(wanted) if n_wanted <= common.FEW_KEYS else wanted, ["row", "fp"]).select("node", "set"), "shingle-sets")
+    bits.destroy()
+    if sets.count() > n_wanted:  # rows equal in id and text make the same set
         sets = common.written(sets.groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
     links = common.written(_with_sets(best.where("u <> v"), sets).mapInArrow(_confirm(percent), "u long, v long"), "centre-links")
     grouped = components(links)
@@ -254,19 +257,21 @@ def near_duplicates(df: DataFrame, k: int, percent: int = PERCENT, side: int = S
     # a pair that shares a large bucket shares the first half of its key; its first equal half is that of a bucket, small or large, too
     halves = open_.where(F.col("n") > SMALL).select(F.floor(F.col("table") / side).cast("int").alias("i"), "node", "component").distinct()
     halves = common.written(halves.join(classes.select("node", "halves"), "node").select("i", F.get("halves", F.col("i")).alias("h"), "node", "component"), "open-halves")
-    counts = halves.groupBy("i", "h", "component").agg(F.count("*").alias("n")).groupBy("i", "h").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("big")).where("parts > 1")
-    counts = counts.select("i", "h", F.col("big.component").alias("big"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("rest"))
-    halves = halves.join(counts, ["i", "h"])
-    block = lambda n, *salt: F.pmod(F.xxhash64("node", *map(F.lit, salt)), F.col(n)).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = halves.where("component <> big").select("i", "h", "node", "component", block("rest", 1).alias("p"), F.explode(upto("all")).alias("q"), F.lit(True).alias("left"))
-    right = halves.select("i", "h", "node", "component", F.explode(upto("rest")).alias("p"), block("all", 2).alias("q"), F.lit(False).alias("left"))
-    dealt = left.unionByName(right).join(sets.join(classes.select("node", "halves"), "node"), "node")
-    blocks = dealt.groupBy("i", "h", "p", "q").applyInPandas(_compare_blocks(percent, side), "u long, v long")
-    more = common.written(more.unionByName(blocks), "bucket-links")
+    if not halves.isEmpty():
+        counts = halves.groupBy("i", "h", "component").agg(F.count("*").alias("n")).groupBy("i", "h").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("big")).where("parts > 1")
+        counts = counts.select("i", "h", F.col("big.component").alias("big"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("rest"))
+        halves = halves.join(counts, ["i", "h"])
+        block = lambda n, *salt: F.pmod(F.xxhash64("node", *map(F.lit, salt)), F.col(n)).cast("int")
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        left = halves.where("component <> big").select("i", "h", "node", "component", block("rest", 1).alias("p"), F.explode(upto("all")).alias("q"), F.lit(True).alias("left"))
+        right = halves.select("i", "h", "node", "component", F.explode(upto("rest")).alias("p"), block("all", 2).alias("q"), F.lit(False).alias("left"))
+        dealt = left.unionByName(right).join(sets.join(classes.select("node", "halves"), "node"), "node")
+        blocks = dealt.groupBy("i", "h", "p", "q").applyInPandas(_compare_blocks(percent, side), "u long, v long")
+        more = more.unionByName(blocks)
+    more = common.written(more, "bucket-links")
     common.dropped(sets, joined)
     if not more.isEmpty():
-        grouped = components(links.unionByName(more))
+        grouped = components(grouped.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     # class -> component -> least id of the component; a class without links is its own
     linked_ = grouped.join(classes.select("node", "fp", "least"), "node")
     names = common.written(linked_.groupBy("component").agg(F.min("least").alias("component_id")), "component-names")

@@ -175,6 +175,21 @@ def test_large_star_small_star(spark):
     assert got == {x: root(x) for u, v in edges if u != v for x in (u, v)}
 
 
+def test_components_plan_little_on_the_driver(spark, monkeypatch):
+    """Two steps read their links four times, links that are stars need no step, and a path ends at stars without one step more."""
+    edges = spark.createDataFrame([(2, 1), (3, 1), (9, 8)], "u long, v long")
+    two = components._star(components._star(edges, True), False)
+    assert two._jdf.queryExecution().analyzed().collectLeaves().size() <= 4
+    assert sorted(map(tuple, two.collect())) == [(2, 1), (3, 1), (9, 8)]
+    asked, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: asked.append(name) or write(df, name))
+    assert sorted(map(tuple, components.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)] and asked == ["links"]
+    asked.clear()
+    path = spark.createDataFrame([(2, 1), (3, 2), (None, 3), (7, 7)], "u long, v long")
+    assert sorted(map(tuple, components.components(path).collect())) == [(1, 1), (2, 1), (3, 1)] and asked == ["links", "stars"]
+    assert components.components(path.limit(0)).count() == 0
+
+
 # decontamination
 
 
